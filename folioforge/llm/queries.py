@@ -2,11 +2,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, packing, splitting
+from folioforge.llm import bpe, encodings, glyphs, packing, repeated, splitting
 from folioforge.session import table
 
 
+def _repeated(spark: SparkSession, d: str) -> repeated.Repeated:
+    return repeated.Repeated(table(spark, d, "chunks"), table(spark, d, "manifest_item"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _repeated(spark, d).found().where(F.col("words") >= repeated.MIN_WORDS).select("chunk_id", "line_no")
+
+
+def p3_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return _repeated(spark, d).patterns()
+
+
+def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return _repeated(spark, d).cleaned()
+
+
+def _forms(spark: SparkSession, d: str, only_changed: bool) -> DataFrame:
+    refs = glyphs.forms(table(spark, d, "extracted_refs"), "ref_id", ["title", "surname"], only_changed)
+    truth = glyphs.forms(table(spark, d, "latex_refs"), "truth_id", ["title"], only_changed)
+    return refs.withColumn("tab_name", F.lit("extracted_refs")).unionByName(truth.withColumn("tab_name", F.lit("latex_refs")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _forms(spark, d, True).select("tab_name", "field_name", "row_id")
+
+
+def p4_forms(spark: SparkSession, d: str) -> DataFrame:
+    return _forms(spark, d, False).select("tab_name", "field_name", "row_id", "form")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_table(table(spark, d, "chunks")).where("n_pieces > 1 and piece = 0").select("chunk_id")
 
@@ -23,7 +54,15 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_pieces, p7_ids, p8_containers)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.repaired(table(spark, d, "documents")).where("affected").select("doc_id")
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.repaired(table(spark, d, "documents")).where("affected").select("doc_id", "restored", "gain")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_patterns, p3_cleaned, p4_found, p4_forms, p5_found, p5_pieces, p7_ids, p8_containers, p9_found, p9_restored)}
 SQL = {
     "p5_found": "SELECT chunk_id FROM chunks WHERE length(text) > 1500",
 }
