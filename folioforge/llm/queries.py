@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, encodings, glyphs, names, packing, repeated, splitting
+from folioforge.llm import bpe, encodings, glyphs, linkage, names, packing, repeated, splitting
 from folioforge.session import table
 
 
@@ -54,6 +54,14 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_table(table(spark, d, "chunks"))
 
 
+def p6_matches(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.matches(table(spark, d, "extracted_refs"), table(spark, d, "latex_refs"), table(spark, d, "match_labels"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_matches(spark, d).select("ref_id", "truth_id")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_table(table(spark, d, "documents"), "doc_id", "text")
 
@@ -70,7 +78,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return encodings.repaired(table(spark, d, "documents")).where("affected").select("doc_id", "restored", "gain")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p3_found, p3_patterns, p3_cleaned, p4_found, p4_forms, p5_found, p5_pieces, p7_ids, p8_containers, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p3_found, p3_patterns, p3_cleaned, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_matches, p7_ids, p8_containers, p9_found, p9_restored)}
 SQL = {
     "p5_found": "SELECT chunk_id FROM chunks WHERE length(text) > 1500",
 }
