@@ -4,10 +4,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, encodings, glyphs, linkage, names, packing, repeated, splitting
+from folioforge.llm import bpe, encodings, glyphs, linkage, names, packing, repeated, scans, splitting
 from folioforge.session import table
 
 
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(table(spark, d, "chunks"), table(spark, d, "extracted_refs"), table(spark, d, "manifest_item"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_repaired(spark, d).where("affected").select("tab_name", "row_id")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return names.variants(table(spark, d, "extracted_refs"))
 
@@ -78,7 +86,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return encodings.repaired(table(spark, d, "documents")).where("affected").select("doc_id", "restored", "gain")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p3_found, p3_patterns, p3_cleaned, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_matches, p7_ids, p8_containers, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_entities, p3_found, p3_patterns, p3_cleaned, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_matches, p7_ids, p8_containers, p9_found, p9_restored)}
 SQL = {
     "p5_found": "SELECT chunk_id FROM chunks WHERE length(text) > 1500",
 }
