@@ -34,7 +34,7 @@ DIM, WINDOW, NEGATIVE, EPOCHS = 24, 2, 5, 3
 #: What a scan shows, and what may have been printed.
 GLYPHS = (("c", "e"), ("e", "c"), ("@", "a"), ("+", "t"), ("!", "i"), ("!", "l"), ("1", "l"), ("1", "i"), ("0", "o"), ("5", "s"), ("8", "b"), ("6", "b"), ("9", "g"), ("$", "s"), ("€", "e"), ("£", "f"),
           ("cl", "d"), ("d", "cl"), ("q", "g"), ("g", "q"), ("rn", "m"), ("m", "rn"), ("b", "h"), ("h", "b"), ("ſ", "f"), ("ſ", "s"), ("f", "t"), ("t", "f"), ("h", "ti"), ("h", "li"), ("vv", "w"), ("w", "vv"),
-          ("m", "in"), ("n", "ri"), ("ri", "n"), ("ii", "u"), ("u", "ii"), ("li", "h"), ("nn", "m"), ("u", "n"), ("n", "u"), ("l", "i"), ("i", "l"), ("l", "1"), ("o", "c"), ("c", "o"), ("a", "o"), ("v", "y"), ("y", "v"),
+          ("m", "in"), ("n", "ri"), ("ri", "n"), ("ii", "u"), ("u", "ii"), ("li", "h"), ("nn", "m"), ("u", "n"), ("n", "u"), ("l", "i"), ("i", "l"), ("l", "1"), ("o", "c"), ("c", "o"), ("a", "o"), ("v", "y"), ,
           ("|", "l"), ("|", "i"), ("|", ""), ("^", ""), ("~", ""), ("’", ""), ("‘", ""), ("'", ""), ("`", ""), ("*", ""), ("·", ""), ("¦", ""), ("\\", ""), ("_", ""), ("°", "o"), ("µ", "u"), ("I", "l"), ("l", "I"), ("O", "0"), ("}", ")"))
 _SYMBOL = re.compile(r"(?<=[^\W\d_])[@+!^~|ſ€£$\\*`¦](?=[^\W\d_])|(?<=[^\W\d_])[@+!^~|ſ¦](?=[^\W\d_]|$)|^[@+!^~|ſ](?=[^\W\d_]{2})")
 _DIGIT = re.compile(r"(?<=[a-zà-ÿ])[0158](?=[a-zà-ÿ])|^[0158](?=[a-zà-ÿ]{3})|(?<=[a-zà-ÿ]{4})[0158]$")
@@ -42,13 +42,18 @@ _TOKEN = re.compile(r"\S+")
 _EDGE = ".,;:()[]?“”\"'«»„…"
 _PAGE = re.compile(r"^\W*(?:(?:page|p\.|pp\.|seite|s\.|página|pág\.)\s*)?(?:[-–—·•*|~]\s*)?(\d{1,4})(?:\s*[-–—·•*|~])?(?:\s*(?:of|/|von|de|sur)\s*\d{1,4})?\s*$", re.IGNORECASE)
 _PAGE_BOX = re.compile(r"^\s*\[(\d{1,4})\]\s*$")
-_BREAK = re.compile(r"([^\W\d_][\w’'-]*)([-¬­‐])[ \t]*\n[ \t]*([^\W_][\w’']*)")
+_BREAK = re.compile(r"([^\W\d_][\w’'-]*)([-¬­‐])[ \t]*\n[ \t]*([^\W_][\w’']*)(\S*)[ \t]*")
 _BREAK_CJK = re.compile(r"([぀-ヿ一-鿿])[-¬­‐]\n(?=[぀-ヿ一-鿿])")
 
 
+def _bare(token: str) -> str:
+    """A token without the punctuation around it; an exclamation mark is one only behind a word."""
+    return token.strip(_EDGE).rstrip("!" + _EDGE)
+
+
 def words(text: str) -> list[str]:
     """Space-delimited words without the punctuation around them, hyphens inside kept; no numbers."""
-    return [w for t in text.split() if (w := t.strip(_EDGE)) and not w[0].isdigit()]
+    return [w for t in text.split() if (w := _bare(t)) and not w[0].isdigit()]
 
 
 def _texts(chunks: DataFrame, refs: DataFrame) -> DataFrame:
@@ -263,8 +268,8 @@ class Repairer:
             nonlocal affected
             if self.broken(m.group(1), m.group(2), m.group(3)):
                 affected = True
-                return m.group(1) + m.group(3) + "\n"
-            return m.group(1) + "-" + m.group(3) + "\n" if m.group(2) != "-" else m.group(1) + "-" + m.group(3) + "\n"
+                return f"{m.group(1)}{m.group(3)}{m.group(4)}\n"
+            return f"{m.group(1)}-{m.group(3)}{m.group(4)}\n"
 
         if "\n" in text:
             text = _BREAK.sub(lambda m: join(m), text)
@@ -275,13 +280,13 @@ class Repairer:
         low: list[str] | None = None
         for i, m in enumerate(tokens):
             raw = m.group()
-            w = raw.strip(_EDGE)
+            w = _bare(raw)
             if len(w) < 4 or w.lower() in self.n or raw.isascii() and raw.isdigit():
                 continue
             if not w.isascii() and ord(w[0]) > 0x2E7F:
                 continue
             if low is None:
-                low = [t.group().strip(_EDGE).lower() for t in tokens]
+                low = [_bare(t.group()).lower() for t in tokens]
             fixed = self.correct(w, low[max(0, i - 4):i] + low[i + 1:i + 5])
             if fixed is not None and fixed != w:
                 s = m.start() + raw.index(w)
