@@ -32,10 +32,10 @@ from folioforge.session import materialize
 WORD_SHARE, PAIR_SHARE, LEAST = 1e-5, 5e-7, 5
 DIM, WINDOW, NEGATIVE, EPOCHS = 24, 2, 5, 3
 #: What a scan shows, and what may have been printed.
-GLYPHS = (("c", "e"), ("e", "c"), ("@", "a"), ("+", "t"), ("!", "i"), ("!", "l"), ("1", "l"), ("1", "i"), ("0", "o"), ("5", "s"), ("8", "b"), ("6", "b"), ("9", "g"), ("$", "s"), ("€", "e"), ("£", "f"),
-          ("cl", "d"), ("d", "cl"), ("q", "g"), ("g", "q"), ("rn", "m"), ("m", "rn"), ("b", "h"), ("h", "b"), ("ſ", "f"), ("ſ", "s"), ("f", "t"), ("t", "f"), ("h", "ti"), ("h", "li"), ("vv", "w"), ("w", "vv"),
-          ("m", "in"), ("n", "ri"), ("ri", "n"), ("ii", "u"), ("u", "ii"), ("li", "h"), ("nn", "m"), ("u", "n"), ("n", "u"), ("l", "i"), ("i", "l"), ("l", "1"), ("o", "c"), ("c", "o"), ("a", "o"), ("v", "y"), ,
-          ("|", "l"), ("|", "i"), ("|", ""), ("^", ""), ("~", ""), ("’", ""), ("‘", ""), ("'", ""), ("`", ""), ("*", ""), ("·", ""), ("¦", ""), ("\\", ""), ("_", ""), ("°", "o"), ("µ", "u"), ("I", "l"), ("l", "I"), ("O", "0"), ("}", ")"))
+GLYPHS = (("c", "e"), ("@", "a"), ("+", "t"), ("!", "i"), ("!", "l"), ("1", "l"), ("1", "i"), ("0", "o"), ("5", "s"), ("8", "b"), ("6", "b"), ("9", "g"), ("$", "s"), ("€", "e"), ("£", "f"),
+          ("cl", "d"), ("d", "cl"), ("q", "g"), ("rn", "m"), ("m", "rn"), ("b", "h"), ("ſ", "f"), ("ſ", "s"), ("h", "ti"), ("h", "li"), ("vv", "w"),
+          ("m", "in"), ("n", "ri"), ("ri", "n"), ("ii", "u"), ("li", "h"), ("nn", "m"), ("|", "l"), ("|", "i"), ("|", ""), ("^", ""), ("~", ""), ("’", ""), ("‘", ""), ("'", ""), ("`", ""),
+          ("*", ""), ("·", ""), ("¦", ""), ("\\", ""), ("_", ""), ("°", "o"), ("µ", "u"), ("I", "l"), ("l", "I"))
 _SYMBOL = re.compile(r"(?<=[^\W\d_])[@+!^~|ſ€£$\\*`¦](?=[^\W\d_])|(?<=[^\W\d_])[@+!^~|ſ¦](?=[^\W\d_]|$)|^[@+!^~|ſ](?=[^\W\d_]{2})")
 _DIGIT = re.compile(r"(?<=[a-zà-ÿ])[0158](?=[a-zà-ÿ])|^[0158](?=[a-zà-ÿ]{3})|(?<=[a-zà-ÿ]{4})[0158]$")
 _TOKEN = re.compile(r"\S+")
