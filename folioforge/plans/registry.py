@@ -1,10 +1,12 @@
 """All registered queries of the core with their SQL."""
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
+MODULES = ("scalars", "ledger", "search", "matching", "analytics", "streams", "fixtures")
 
 
 def query(name: str, sql: str | None = None):
@@ -19,9 +21,20 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def _load() -> None:
+    for m in MODULES:
+        try:
+            importlib.import_module(f"folioforge.plans.{m}")
+        except ModuleNotFoundError as e:
+            if e.name != f"folioforge.plans.{m}":
+                raise
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)
