@@ -31,6 +31,7 @@ from folioforge.session import materialize
 
 WORD_SHARE, PAIR_SHARE, LEAST = 1e-5, 5e-7, 5
 DIM, WINDOW, NEGATIVE, EPOCHS = 24, 2, 5, 3
+SALTS = 16
 #: What a scan shows, and what may have been printed.
 GLYPHS = (("c", "e"), ("@", "a"), ("+", "t"), ("!", "i"), ("!", "l"), ("1", "l"), ("1", "i"), ("0", "o"), ("5", "s"), ("8", "b"), ("6", "b"), ("9", "g"), ("$", "s"), ("€", "e"), ("£", "f"),
           ("cl", "d"), ("d", "cl"), ("q", "g"), ("rn", "m"), ("m", "rn"), ("b", "h"), ("ſ", "f"), ("ſ", "s"), ("h", "ti"), ("h", "li"), ("vv", "w"),
@@ -43,6 +44,8 @@ _EDGE = ".,;:()[]?“”\"'«»„…"
 _PAGE = re.compile(r"^\W*(?:(?:page|p\.|pp\.|seite|s\.|página|pág\.)\s*)?(?:[-–—·•*|~]\s*)?(\d{1,4})(?:\s*[-–—·•*|~])?(?:\s*(?:of|/|von|de|sur)\s*\d{1,4})?\s*$", re.IGNORECASE)
 _PAGE_BOX = re.compile(r"^\s*\[(\d{1,4})\]\s*$")
 _BREAK = re.compile(r"([^\W\d_][\w’'-]*)([-¬­‐])[ \t]*\n[ \t]*([^\W_][\w’']*)(\S*)[ \t]*")
+_HYPHEN_END = re.compile(r"[-¬­‐][ \t]*\n")
+_NOT_ALNUM = re.compile(r"[^a-z0-9]+")
 _BREAK_CJK = re.compile(r"([぀-ヿ一-鿿])[-¬­‐]\n(?=[぀-ヿ一-鿿])")
 
 
@@ -148,6 +151,7 @@ class Repairer:
         self.n = dict(zip(vocab, counts))
         self.u, self.v = u, v
         self.known: dict[str, tuple[str, ...]] = {}
+        self.clean: set[str] = set()
         self.sources = re.compile("|".join(sorted({re.escape(a) for a, _ in GLYPHS}, key=len, reverse=True)))
         self.edits: dict[str, list[str]] = {}
         for a, b in GLYPHS:
@@ -207,6 +211,16 @@ class Repairer:
             return out if out != w else None
         return None
 
+    def _passes(self, raw: str) -> bool:
+        """Whether a token stays as it is in any context; such tokens are kept in a bounded set."""
+        w = _bare(raw)
+        ok = len(w) < 4 or w.lower() in self.n or not w.isascii() and ord(w[0]) > 0x2E7F or self.correct(w, []) is None
+        if ok:
+            if len(self.clean) > 1_000_000:
+                self.clean.clear()
+            self.clean.add(raw)
+        return ok
+
     def broken(self, left: str, mark: str, right: str) -> bool:
         """Whether the hyphen between two parts at a line end isn't the word's own."""
         a, b = left.lower(), right.lower()
@@ -242,13 +256,13 @@ class Repairer:
     def furniture(self, line: str, titles: tuple[str, ...]) -> bool:
         if not line or len(line) > 200:
             return False
-        m = _PAGE.match(line)
-        if m:
-            return True
-        m = _PAGE_BOX.match(line)
-        if m:
-            return int(m.group(1)) > 60
-        return self.header(line, titles)
+        if len(line) < 40:
+            if _PAGE.match(line):
+                return True
+            m = _PAGE_BOX.match(line)
+            if m:
+                return int(m.group(1)) > 60
+        return bool(titles) and self.header(line, titles)
 
     def repair(self, text: str | None, titles: tuple[str, ...]) -> tuple[bool, str | None]:
         """(affected, repaired text)."""
@@ -271,22 +285,22 @@ class Repairer:
                 return f"{m.group(1)}{m.group(3)}{m.group(4)}\n"
             return f"{m.group(1)}-{m.group(3)}{m.group(4)}\n"
 
-        if "\n" in text:
+        if _HYPHEN_END.search(text):
             text = _BREAK.sub(lambda m: join(m), text)
             new = _BREAK_CJK.sub(r"\1", text)
             affected, text = affected or new != text, new
+        clean = self.clean
+        suspects = {t for t in text.split() if t not in clean and not self._passes(t)}
+        if not suspects:
+            return affected, reflow(text)
         tokens = list(_TOKEN.finditer(text))
         out, last = [], 0
-        low: list[str] | None = None
+        low = [_bare(t.group()).lower() for t in tokens]
         for i, m in enumerate(tokens):
             raw = m.group()
-            w = _bare(raw)
-            if len(w) < 4 or w.lower() in self.n or raw.isascii() and raw.isdigit():
+            if raw not in suspects:
                 continue
-            if not w.isascii() and ord(w[0]) > 0x2E7F:
-                continue
-            if low is None:
-                low = [_bare(t.group()).lower() for t in tokens]
+            w = _bare(raw)
             fixed = self.correct(w, low[max(0, i - 4):i] + low[i + 1:i + 5])
             if fixed is not None and fixed != w:
                 s = m.start() + raw.index(w)
@@ -304,6 +318,9 @@ def reflow(text: str) -> str:
 
 
 def _squeeze(s: str) -> str:
+    """Letters and digits only, folded."""
+    if s.isascii():
+        return _NOT_ALNUM.sub("", s.lower())
     s = "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c))
     return "".join(c for c in s if c.isalnum())
 
@@ -333,7 +350,10 @@ def repaired(chunks: DataFrame, refs: DataFrame, manifest: DataFrame) -> DataFra
     titles = manifest.where("title is not null").groupBy("doc_hash").agg(F.collect_set("title").alias("titles"))
     rows = chunks.select(F.lit("chunks").alias("tab_name"), F.col("chunk_id").cast("bigint").alias("row_id"), "doc_hash", "text", "title").unionByName(
         refs.select(F.lit("extracted_refs").alias("tab_name"), F.col("ref_id").cast("bigint").alias("row_id"), "doc_hash", F.col("raw").alias("text"), F.lit(None).cast("string").alias("title")))
-    rows = rows.join(titles, "doc_hash", "left").select("tab_name", "row_id", "text", "title", "titles")
+    # a paper with very many rows is spread over SALTS keys; titles are one short row a paper
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)))
+    titles = titles.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    rows = rows.join(titles, ["doc_hash", "salt"], "left").select("tab_name", "row_id", "text", "title", "titles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _READY:
