@@ -165,12 +165,28 @@ class _Single:
     """One page read as another, as tables over code points and classes."""
 
     def __init__(self, read: str, written: str) -> None:
-        self.to = np.arange(PUNCT1, dtype=np.uint32)
+        self.to = np.arange(PUNCT1 + 3, dtype=np.uint32)
+        self.to[PUNCT1 + 1:] = BEYOND
         for c, b in ((c, b) for b, c in enumerate(_byte_chars(read)) if b >= 0x80):
             out = bytes([b]).decode(written, "ignore")
-            if out and not "\x80" <= out <= "\x9f" and ord(c) < PUNCT1:
-                self.to[ord(c)] = ord(out)
+            at = int(_slots(np.array([ord(c)]))[0])
+            if out and not "\x80" <= out <= "\x9f" and at != PUNCT1:
+                self.to[at] = ord(out)
         self.to_class = classes(self.to)
+        self.to_class[PUNCT1] = -1  # all beyond the tables
+
+
+#: The two characters of one-byte pages that lie beyond the tables' range (the ligatures fi and fl).
+BEYOND = (0xFB01, 0xFB02)
+
+
+def _slots(codes: np.ndarray) -> np.ndarray:
+    """Index of each code point in the tables; PUNCT1 stands for all that have none."""
+    low = np.minimum(codes, PUNCT1)
+    if len(codes) and codes.max() >= BEYOND[0]:
+        for k, c in enumerate(BEYOND, 1):
+            low = np.where(codes == c, PUNCT1 + k, low)
+    return low
 
 
 _UTF8: list[_Utf8In] = []
@@ -189,7 +205,7 @@ def _setup() -> None:
     global _SINGLE_TO, _SINGLE_CLASS
     tables = [_Single(*p) for p in READ_WRITTEN]
     _SINGLE_TO = np.stack([t.to for t in tables])
-    _SINGLE_CLASS = np.stack([np.append(t.to_class, -1) for t in tables])  # the last stands for all beyond
+    _SINGLE_CLASS = np.stack([t.to_class for t in tables])
 
 
 def _from_utf8(model: Model, text: str, lo: int, hi: int, readers: list[_Utf8In]) -> tuple[str, float]:
@@ -220,17 +236,17 @@ def _from_utf8(model: Model, text: str, lo: int, hi: int, readers: list[_Utf8In]
 
 def _from_single(model: Model, codes: np.ndarray, c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray | None, float]:
     """Best pair of one-byte pages over the improbable runs: the new code points and the gain."""
-    at = np.flatnonzero((codes > 0x7F) & (codes < PUNCT1))
+    low = _slots(codes)
+    at = np.flatnonzero((codes > 0x7F) & (low != PUNCT1))
     run = np.searchsorted(starts, at, "right") - 1
     inside = (run >= 0) & (at < ends[run])
     at, run = at[inside], run[inside]
     if not len(at):
         return None, 0.0
-    new = _SINGLE_TO[:, codes[at]]  # all tables at once
+    new = _SINGLE_TO[:, low[at]]  # all tables at once
     ch = new != codes[at]
     pairs = np.unique(np.concatenate([at[at > 0] - 1, at[at < len(codes) - 1]]))
     which = np.maximum(np.searchsorted(starts, pairs + 1, "right") - 1, 0)
-    low = np.minimum(codes, PUNCT1)
     old_l, old_r = c[pairs], c[pairs + 1]
     # neighbours outside the runs are ASCII or beyond the tables, so the tables leave them as they are
     new_l, new_r = _SINGLE_CLASS[:, low[pairs]], _SINGLE_CLASS[:, low[pairs + 1]]
@@ -258,11 +274,11 @@ def _may_gain(model: Model, codes: np.ndarray, c: np.ndarray) -> bool:
     Runs hold whole stretches, so what a run gains is a sum over its stretches; a stretch that loses
     lowers it. Where this says no, no run needs to be isolated.
     """
-    at = np.flatnonzero((codes > 0x7F) & (codes < PUNCT1))
+    low = _slots(codes)
+    at = np.flatnonzero((codes > 0x7F) & (low != PUNCT1))
     if not len(at):
         return False
     first = np.flatnonzero(np.append(True, np.diff(at) > 1))
-    low = np.minimum(codes, PUNCT1)
     n = len(codes)
     right = np.minimum(at + 1, n - 1)
     left = np.maximum(at - 1, 0)
