@@ -4,6 +4,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,27 @@ DEFAULTS = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for each application.
+
+    Functions of the package are sent by name; without this, workers that don't share the driver's
+    path could not import them.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="folioforge-code-")) / "folioforge.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(path))
+    _SHIPPED.add(sc.applicationId)
+
+
 def local_session(name: str = "folioforge", cores: int | str = 8, **conf: str) -> SparkSession:
     """A local session for tests and the benchmark."""
     b = SparkSession.builder.master(f"local[{cores}]").appName(name)
@@ -47,6 +70,7 @@ def materialize(df: DataFrame) -> DataFrame:
     Cuts lineage, survives the loss of any executor, keeps column pruning (parquet).
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -64,4 +88,5 @@ def drop_table(spark: SparkSession, df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
