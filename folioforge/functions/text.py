@@ -193,3 +193,116 @@ def digit_bag(c) -> Column:
 def digits_conflict(a: Column, b: Column) -> Column:
     """Each side has a digit run the other lacks."""
     return (F.size(F.array_except(a, b)) > 0) & (F.size(F.array_except(b, a)) > 0)
+
+
+SPECIAL = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "þ": "th", "ð": "d", "ı": "i"}
+
+
+def fold_ascii(c) -> Column:
+    """Lower-case letters and digits without accents, special letters spelt out (X07, X08); Latin letters by rule.
+
+    The accented letters of the Latin blocks are taken from the Unicode data, so it stays in the JVM.
+    """
+    import unicodedata
+    src, dst = [], []
+    for cp in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        base = unicodedata.normalize("NFD", chr(cp).lower())[0]
+        if base != chr(cp) and base.isascii():
+            src.append(chr(cp)), dst.append(base)
+    s = F.translate(F.lower(col(c)), "".join(src), "".join(dst))
+    for k, v in SPECIAL.items():
+        s = F.replace(s, F.lit(k), F.lit(v))
+    return F.regexp_replace(F.regexp_replace(s, r"\p{M}", ""), r"[^\p{L}\p{N} ]", "")
+
+
+def title_equal(a, b) -> Column:
+    """Titles equal without TeX, case, accents and punctuation."""
+    def k(c):
+        return collapse(normalize_title(fold_ascii(F.regexp_replace(F.regexp_replace(col(c), r"\\[A-Za-z]+\s*", ""), r"[{}$\\]", ""))))
+    return k(a) == k(b)
+
+
+def paper_title_matches(a, b) -> Column:
+    """Equal titles, or a word Jaccard coefficient of at least 0.9."""
+    return title_equal(a, b) | (jaccard(F.array_distinct(words(a)), F.array_distinct(words(b))) >= 0.9)
+
+
+def spacing_to_combining(c) -> Column:
+    """Spacing accents as combining marks."""
+    return F.translate(col(c), "\u00b4\u0060\u02c6\u02dc\u00a8\u02da\u00b8\u02c7\u02d8\u02d9\u02dd", "\u0301\u0300\u0302\u0303\u0308\u030a\u0327\u030c\u0306\u0307\u030b")
+
+
+def multiset_overlap(a: Column, b: Column) -> Column:
+    """Size of the multiset intersection of two arrays."""
+    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
+
+
+def same_columns(a: Column, b: Column, tol: float) -> Column:
+    """At least two starts of b within tolerance of one of a, and at least half of the larger set."""
+    hit = F.size(F.filter(b, lambda x: F.exists(a, lambda y: F.abs(x - y) <= tol)))
+    return (hit >= 2) & (hit * 2 >= F.greatest(F.size(a), F.size(b)))
+
+
+def verify_record(title, surname, year, entry) -> Column:
+    """struct(score, reason) of a registry record against a printed entry.
+
+    The year may differ by one; the surname must stand in the entry; the title's long words must be
+    found to 0.6, or to 0.7 without a surname.
+    """
+    ws = words(entry)
+    y = F.col(year) if isinstance(year, str) else year
+    year_ok = y.isNull() | F.arrays_overlap(ws, F.array((y - 1).cast("string"), y.cast("string"), (y + 1).cast("string")))
+    has = col(surname).isNotNull()
+    name_ok = ~has | normalize_title(entry).contains(normalize_title(surname))
+    share = title_overlap(title, entry)
+    need = F.when(has, 0.6).otherwise(0.7)
+    reason = F.when(~year_ok, "year").when(~name_ok, "author").when(share.isNull(), "no title").when(share < need, "title")
+    return F.struct(F.when(reason.isNull(), share).alias("score"), reason.alias("reason"))
+
+
+def byte_prefix(c, most: int) -> Column:
+    """Longest prefix of at most ``most`` UTF-8 bytes that ends at a character."""
+    chars = F.split(col(c), "")
+    cut = F.aggregate(chars, F.struct(F.lit("").alias("s"), F.lit(0).alias("n"), F.lit(True).alias("go")), lambda a, x: F.when(
+        a["go"] & (a["n"] + F.octet_length(x) <= most), F.struct(F.concat(a["s"], x).alias("s"), (a["n"] + F.octet_length(x)).alias("n"), F.lit(True).alias("go"))).otherwise(F.struct(a["s"].alias("s"), a["n"].alias("n"), F.lit(False).alias("go"))), lambda a: a["s"])
+    return F.when(F.octet_length(col(c)) <= most, col(c)).otherwise(cut)
+
+
+def page_range(c, count) -> Column:
+    """"A-B" or "A" as struct(lo, hi) clamped to the pages there are; null where A is beyond B or the end."""
+    lo = F.regexp_extract(col(c), r"^\s*([0-9]{1,9})", 1).try_cast("int")
+    hi = F.coalesce(F.regexp_extract(col(c), r"-\s*([0-9]{1,9})\s*$", 1).try_cast("int"), lo)
+    n = col(count) if isinstance(count, str) else F.lit(count)
+    a, b = F.greatest(lo, F.lit(1)), F.least(hi, n)
+    return F.when(col(c).rlike(r"^\s*[0-9]{1,9}(?:\s*-\s*[0-9]{1,9})?\s*$") & (a <= b), F.struct(a.alias("lo"), b.alias("hi")))
+
+
+def page_route(text, warnings: Column | None = None) -> Column:
+    """struct(backend, reason) of a page: failed, unmapped, empty, damaged or ok."""
+    t = F.coalesce(col(text), F.lit(""))
+    w = warnings if warnings is not None else F.array().cast("array<string>")
+    has = lambda p: F.exists(F.coalesce(w, F.array().cast("array<string>")), lambda x: x.startswith(p))
+    reason = F.when(has("failed:"), "failed").when(has("unicode_mapping:"), "unmapped").when(F.length(F.regexp_replace(t, r"\s", "")) == 0, "empty").when(replacement_share(t) >= 0.01, "damaged").otherwise("ok")
+    return F.struct(F.when(reason == "ok", "default").otherwise("fallback").alias("backend"), reason.alias("reason"))
+
+
+def glued_marker(c) -> Column:
+    """Whether a [n] is glued to a word, as in an index."""
+    return col(c).rlike(r"\p{L}\[[0-9]+\]\p{L}")
+
+
+def bibliographic_numbers(c) -> Column:
+    """struct(volume, issue, pages) of an entry by the first of three forms."""
+    forms = (r"vol\.\s*([0-9]+)(?:,\s*no\.\s*([0-9]+))?,\s*pp\.\s*([0-9]+\s*[–-]\s*[0-9]+)", r"([0-9]+)\s*(?:\(([0-9]+)\))?\s*[,:]\s*([0-9]+\s*[–-]\s*[0-9]+)")
+    get = lambda i: F.coalesce(*[F.nullif(F.regexp_extract(col(c), p, i), F.lit("")) for p in forms])
+    return F.struct(get(1).alias("volume"), get(2).alias("issue"), F.regexp_replace(get(3), r"\s", "").alias("pages"))
+
+
+def quoted_title(c) -> Column:
+    """A title between double quotes (X102)."""
+    return F.nullif(F.regexp_extract(col(c), r'[“"]([^“”"]{4,}?),?[”"]', 1), F.lit(""))
+
+
+def find_url(c) -> Column:
+    """First URL of an entry without closing marks (X103)."""
+    return F.nullif(F.regexp_replace(F.regexp_extract(col(c), r"(https?://[^\s<>\"]+)", 1), r"[.,;)\]]+$", ""), F.lit(""))

@@ -179,3 +179,82 @@ def html_fields(s: pd.Series) -> pd.DataFrame:
 def decode_entities(s: pd.Series) -> pd.Series:
     """Named and numeric entities decoded, unknown ones kept."""
     return s.map(lambda x: None if x is None else _html.unescape(x))
+
+
+def resolve(base, href) -> Column:
+    """A reference against a base URL, normalised."""
+    b, h = col(base), F.trim(col(href))
+    root = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*://[^?#]*/)", 1)
+    full = F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(F.regexp_extract(b, r"^([A-Za-z]+:)", 1), h)).when(h.startswith("/"), F.concat(root, h)).when(
+        h.startswith("?"), F.concat(F.regexp_replace(b, r"[?#].*$", ""), h)).when(h.startswith("#") | (h == ""), b).otherwise(F.concat(F.when(F.length(folder) > F.length(root), folder).otherwise(F.concat(root, F.lit("/"))), h))
+    return F.when(full.rlike(r"^(?i)https?://"), normalize_url(full))
+
+
+def proxied_url(login, target) -> Column:
+    """A login URL with its encoded target."""
+    return F.concat(col(login), percent_encode(target))
+
+
+def unproxy_host(host, suffix: str) -> Column:
+    """journals-example-org.proxy.edu as journals.example.org."""
+    h = F.lower(col(host))
+    name = F.regexp_replace(h, r"\." + suffix.replace(".", r"\.") + "$", "")
+    plain = F.replace(F.replace(F.replace(name, F.lit("--"), F.lit("\x01")), F.lit("-"), F.lit(".")), F.lit("\x01"), F.lit("-"))
+    return F.when(h.endswith("." + suffix), F.when(name.contains("."), name).otherwise(plain)).otherwise(h)
+
+
+def content_disposition(c) -> Column:
+    """struct(kind, filename); filename* wins, path parts are dropped."""
+    ext = F.try_url_decode(F.nullif(F.regexp_extract(col(c), r"(?i)filename\*\s*=\s*[A-Za-z0-9-]*'[^']*'([^;\s]+)", 1), F.lit("")))
+    plain = F.nullif(F.regexp_replace(F.regexp_extract(col(c), r"(?i)filename\s*=\s*(\"[^\"]*\"|[^;\s]+)", 1), '"', ""), F.lit(""))
+    return F.struct(F.lower(F.trim(F.split_part(col(c), F.lit(";"), F.lit(1)))).alias("kind"), F.regexp_replace(F.coalesce(ext, plain), r"^.*[/\\]", "").alias("filename"))
+
+
+def classify_pdf_response(url, mime, disposition) -> Column:
+    """Verdict from URL, media type and disposition."""
+    m = F.lower(F.trim(F.split_part(F.coalesce(col(mime), F.lit("")), F.lit(";"), F.lit(1))))
+    d = content_disposition(F.coalesce(col(disposition), F.lit("")))["filename"]
+    return F.when(m.isin("application/pdf", "application/x-pdf"), "likely").when(F.lower(F.coalesce(d, F.lit(""))).endswith(".pdf"), "likely").when(m.startswith("text/html"), "no").otherwise(classify_pdf_url(url))
+
+
+def link_header(c) -> Column:
+    """map rel -> URL of a Link header (X114)."""
+    parts = F.regexp_extract_all(col(c), F.lit(r'(<[^>]*>[^,<]*rel="?[A-Za-z]+"?)'), F.lit(1))
+    return F.map_from_entries(F.transform(parts, lambda p: F.struct(F.lower(F.regexp_extract(p, r'rel="?([A-Za-z]+)', 1)), F.regexp_extract(p, r"<([^>]*)>", 1))))
+
+
+def http_date(c) -> Column:
+    """Unix seconds of an HTTP date in one of its three shapes (X119)."""
+    s = F.regexp_replace(F.trim(col(c)), r"^[A-Za-z]+,?\s+", "")
+    t = F.coalesce(F.try_to_timestamp(s, F.lit("dd MMM yyyy HH:mm:ss z")), F.try_to_timestamp(s, F.lit("dd-MMM-yy HH:mm:ss z")), F.try_to_timestamp(F.regexp_replace(s, r"\s+", " "), F.lit("MMM d HH:mm:ss yyyy")))
+    return F.unix_timestamp(t)
+
+
+def set_cookie(c) -> Column:
+    """struct(name, value, domain, path, secure, max_age) of a Set-Cookie header."""
+    attr = lambda n: F.nullif(F.trim(F.regexp_extract(col(c), rf"(?i);\s*{n}\s*=\s*([^;]*)", 1)), F.lit(""))
+    return F.struct(F.trim(F.regexp_extract(col(c), r"^\s*([^=;]+)=", 1)).alias("name"), F.regexp_extract(col(c), r"^\s*[^=;]+=\"?([^;\"]*)", 1).alias("value"), F.lower(F.regexp_replace(attr("domain"), r"^\.", "")).alias("domain"),
+                    F.coalesce(attr("path"), F.lit("/")).alias("path"), col(c).rlike(r"(?i);\s*secure(?:;|\s*$)").alias("secure"), attr("max-age").try_cast("bigint").alias("max_age"))
+
+
+def extra_map(c) -> Column:
+    """"Key: value" lines as a map, keys lower-cased, the first of each wins (X112)."""
+    kv = F.filter(F.transform(F.split(col(c), "\n"), lambda x: F.struct(F.lower(F.trim(F.split_part(x, F.lit(":"), F.lit(1)))).alias("k"), F.trim(F.regexp_replace(x, r"^[^:]*:?", "")).alias("v"))), lambda e: (e["k"] != "") & (e["v"] != ""))
+    return F.aggregate(kv, F.create_map().cast("map<string,string>"), lambda m, e: F.when(F.map_contains_key(m, e["k"]), m).otherwise(F.map_concat(m, F.create_map(e["k"], e["v"]))))
+
+
+def openurl(resolver: str, doi, title, year) -> Column:
+    """An OpenURL link (X131)."""
+    kv = [F.when(col(v).isNotNull(), F.concat(F.lit(k + "="), percent_encode(col(v).cast("string")))) for k, v in (("rft_id", doi), ("rft.atitle", title), ("rft.date", year))]
+    return F.concat(F.lit(resolver + "?url_ver=Z39.88-2004&"), F.concat_ws("&", *kv))
+
+
+def doi_from_url(c) -> Column:
+    """DOI in a URL's decoded path or query, publisher tails cut."""
+    return F.nullif(F.regexp_replace(F.regexp_extract(F.lower(percent_decode(c)), r"(10\.[0-9]{4,9}/[^\s?#&]+)", 1), r"/(?:pdf|full|abstract|epdf|html)$|\.pdf$", ""), F.lit(""))
+
+
+def arxiv_from_url(c) -> Column:
+    """arXiv id of an arxiv.org URL."""
+    return F.nullif(F.regexp_extract(F.lower(col(c)), r"arxiv\.org/(?:abs|pdf|html)/([a-z-]*/?[0-9.]+[0-9])(?:v[0-9]+)?", 1), F.lit(""))

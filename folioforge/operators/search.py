@@ -1,10 +1,15 @@
 """Lexical, vector and fused search as DataFrame plans."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import words
+from folioforge.session import materialize
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -57,16 +62,55 @@ def l2_normalize(a: Column) -> Column:
     return F.when(n == 0, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x.cast("double") / n))
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """Exact cosine top k of each query vector (T02): queries in blocks against all vectors.
+#: Query vectors in one block; a block is all that is sent to the workers at a time.
+BLOCK = 4096
+
+
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """(query_id, key, score, rank): exact cosine top k of each query vector, ties by ascending key.
 
-    ``queries`` is (query_id, q). A stated query set is broadcast block by block; the k best of each
-    partition are found by partial aggregation before the shuffle.
+    ``queries`` is (query_id, q). The queries go over all vectors in blocks of fixed size; each
+    partition multiplies a block with its vectors and keeps the k best of each query, so what is
+    shuffled is k rows a query and partition. Vectors of another length than the query score 0, as do
+    zero ones; null vectors aren't found.
     """
-    base = vectors.select(F.col(key), l2_normalize(F.col(vec)).alias("v"))
-    qs = queries.select("query_id", l2_normalize(F.col("q")).alias("q"))
-    scored = base.crossJoin(F.broadcast(qs)).select("query_id", key, F.round(dot(F.col("v"), F.col("q")), 9).alias("score"))
-    return top_k(scored, k, key)
+    spark = vectors.sparkSession
+    base = vectors.select(F.col(key), F.col(vec).alias("v")).where("v is not null")
+    qs = materialize(queries.where("q is not null").withColumn("b", F.lit(0)))
+    n = qs.count()
+    kinds = dict(base.dtypes)[key], dict(qs.dtypes)["query_id"]
+    parts = None
+    for i in range(max(1, -(-n // block))):
+        mine = qs if n <= block else qs.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // block))) == i)
+        rows = mine.select("query_id", "q").collect()  # a block, by hash: about ``block`` rows
+        sent = spark.sparkContext.broadcast(([r.query_id for r in rows], [list(r.q) for r in rows]))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, q = sent.value
+            best: list[list] = [[] for _ in ids]
+            for dim in {len(x) for x in q}:
+                at = [j for j, x in enumerate(q) if len(x) == dim]
+                m = np.array([q[j] for j in at], np.float64)
+                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+                for batch in (batches if len({len(x) for x in q}) == 1 else (batches := list(batches))):
+                    vs = batch.column(1).to_pylist()
+                    keys = batch.column(0).to_pylist()
+                    x = np.array([v if len(v) == dim else [0.0] * dim for v in vs], np.float64).reshape(len(vs), dim)
+                    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                    s = np.round(m @ x.T, 9) + 0.0
+                    for row, j in enumerate(at):
+                        top = np.argpartition(-s[row], k - 1)[:k] if len(vs) > k else range(len(vs))
+                        least = min((s[row][t] for t in top), default=0.0)
+                        near = np.flatnonzero(s[row] >= least)  # ties at the end are ranked by key
+                        best[j] = sorted(best[j] + [(-float(s[row][t]), keys[t]) for t in near])[:k]
+            out = [(ids[j], kk, -v) for j, b in enumerate(best) for v, kk in b]
+            yield pa.RecordBatch.from_pydict({"query_id": [o[0] for o in out], key: [o[1] for o in out], "score": [o[2] for o in out]}, schema=schema)
+
+        schema = pa.schema([("query_id", pa.string() if kinds[1] == "string" else pa.int64() if kinds[1] == "bigint" else pa.int32()), (key, pa.string() if kinds[0] == "string" else pa.int64() if kinds[0] == "bigint" else pa.int32()), ("score", pa.float64())])
+        got = base.mapInArrow(run, f"query_id {kinds[1]}, `{key}` {kinds[0]}, score double")
+        got = got if n <= block else materialize(got)
+        parts = got if parts is None else parts.unionByName(got)
+    return top_k(parts, k, key)
 
 
 def reciprocal_rank_fusion(lists: DataFrame, key: str, by: str = "query_id") -> DataFrame:

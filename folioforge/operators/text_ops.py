@@ -165,19 +165,29 @@ def word_error_rate(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def nearest_rank(x: Column, p: float) -> Column:
-    """Nearest-rank percentile: sorted[ceil(p n) - 1]."""
-    s = F.array_sort(F.collect_list(x))
-    return F.element_at(s, F.greatest(F.ceil(F.lit(p) * F.size(s)), F.lit(1)).cast("int"))
+def order_statistic(df: DataFrame, by: str, value: str, index) -> DataFrame:
+    """(by, value): the value at a position of each group's sorted values.
+
+    ``index`` maps the group's size (a Column) to a position from 0. Values are counted on the map side
+    and positions found by running sums over the different values, so no group is gathered.
+    """
+    c = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n = c.groupBy(by).agg(F.sum("__c").alias("__n"))
+    c = c.withColumn("__upto", F.sum("__c").over(w)).join(n, by).withColumn("__k", index(F.col("__n")))
+    return c.where((F.col("__upto") > F.col("__k")) & (F.col("__upto") - F.col("__c") <= F.col("__k"))).select(by, value)
+
+
+def nearest_rank(p: float):
+    """Position of the nearest-rank percentile: ceil(p n) - 1."""
+    return lambda n: F.greatest(F.ceil(F.lit(p) * n) - 1, F.lit(0))
 
 
-def rounded_rank(x: Column, p: float) -> Column:
-    """Percentile by the index round((n - 1) p)."""
-    s = F.array_sort(F.collect_list(x))
-    return F.element_at(s, (F.round((F.size(s) - 1) * F.lit(p)) + 1).cast("int"))
+def rounded_rank(p: float):
+    """Position round((n - 1) p)."""
+    return lambda n: F.round((n - 1) * F.lit(p)).cast("bigint")
 
 
-def upper_median(x: Column) -> Column:
-    """sorted[n / 2]."""
-    s = F.array_sort(F.collect_list(x))
-    return F.element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
+def upper_median(n: Column) -> Column:
+    """Position n / 2."""
+    return F.floor(n / 2)

@@ -83,7 +83,7 @@ def a07(spark, d):
 
 @query("a08_rounded_rank", "SELECT doc_hash, list_sort(list(idx))[(round((count(*) - 1) * 0.95) + 1)::INT] AS p95 FROM extracted_refs WHERE idx IS NOT NULL GROUP BY 1")
 def a08(spark, d):
-    return table(spark, d, "extracted_refs").groupBy("doc_hash").agg(O.rounded_rank(F.col("idx"), 0.95).alias("p95"))
+    return O.order_statistic(table(spark, d, "extracted_refs"), "doc_hash", "idx", O.rounded_rank(0.95)).select("doc_hash", F.col("idx").alias("p95"))
 
 
 @query("a10_median", "SELECT event_type, round(median(value), 9) AS median FROM events GROUP BY 1")
@@ -93,7 +93,7 @@ def a10(spark, d):
 
 @query("a16_upper_median", "SELECT doc_hash, list_sort(list(length(raw)))[(count(*) // 2 + 1)::INT] AS med FROM extracted_refs WHERE raw IS NOT NULL GROUP BY 1")
 def a16(spark, d):
-    return table(spark, d, "extracted_refs").where("raw is not null").groupBy("doc_hash").agg(O.upper_median(F.length("raw")).alias("med"))
+    return O.order_statistic(table(spark, d, "extracted_refs").select("doc_hash", F.length("raw").alias("med")), "doc_hash", "med", O.upper_median)
 
 
 @query("a28_ratio", "SELECT doc_hash, round(count(doi)::DOUBLE / nullif(count(*), 0), 6) AS r_null, round(coalesce(count(doi)::DOUBLE / nullif(count(year), 0), 0), 6) AS r_zero FROM extracted_refs GROUP BY 1")

@@ -109,3 +109,15 @@ scalar("x130_candidates", "manifest_item", "doc_hash", F.concat_ws(" ", F.concat
 scalar("x54_media_type", "runs", "run_id", F.lower(F.trim(F.split_part(F.concat("backend_name", F.lit("; v="), "backend_version"), F.lit(";"), F.lit(1)))), "lower(trim(backend_name))")
 scalar("f04_extraction_status", "runs", "run_id", F.exists(F.coalesce(F.from_json("warnings_json", "array<string>"), F.array().cast("array<string>")), lambda w: w.rlike("^(failed|resource_limit|unicode_mapping|extraction_incomplete):")),
        "len(list_filter(coalesce(from_json(warnings_json, '[\"VARCHAR\"]'), []), lambda w: regexp_matches(w, '^(failed|resource_limit|unicode_mapping|extraction_incomplete):'))) > 0")
+scalar("x22_title_equal", "extracted_refs", "ref_id", text.title_equal("title", "title"), "CASE WHEN title IS NOT NULL THEN true END")
+scalar("x13_verify_record", "extracted_refs", "ref_id", text.verify_record("title", "surname", "year", "raw")["reason"], None)
+scalar("x08_fold_ascii", "extracted_refs", "ref_id", text.fold_ascii("surname"), None)
+scalar("f20_page_route", "chunks", "chunk_id", text.page_route("text")["reason"],
+       r"CASE WHEN length(regexp_replace(coalesce(text, ''), '\s', '', 'g')) = 0 THEN 'empty' WHEN (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[\x{FFFD}\x{E000}-\x{F8FF}]', '', 'g')))::DOUBLE / length(text) >= 0.01 THEN 'damaged' ELSE 'ok' END")
+scalar("f45_glued_marker", "chunks", "chunk_id", text.glued_marker("text"), r"regexp_matches(text, '\p{L}\[[0-9]+\]\p{L}')")
+scalar("x97_numbers", "extracted_refs", "ref_id", F.concat_ws("|", F.coalesce(text.bibliographic_numbers("raw")["volume"], F.lit("")), F.coalesce(text.bibliographic_numbers("raw")["pages"], F.lit(""))),
+       r"coalesce(nullif(regexp_extract(raw, 'vol\.\s*([0-9]+)(?:,\s*no\.\s*([0-9]+))?,\s*pp\.\s*([0-9]+\s*[–-]\s*[0-9]+)', 1), ''), nullif(regexp_extract(raw, '([0-9]+)\s*(?:\(([0-9]+)\))?\s*[,:]\s*([0-9]+\s*[–-]\s*[0-9]+)', 1), ''), '') || '|' || coalesce(regexp_replace(coalesce(nullif(regexp_extract(raw, 'vol\.\s*([0-9]+)(?:,\s*no\.\s*([0-9]+))?,\s*pp\.\s*([0-9]+\s*[–-]\s*[0-9]+)', 3), ''), nullif(regexp_extract(raw, '([0-9]+)\s*(?:\(([0-9]+)\))?\s*[,:]\s*([0-9]+\s*[–-]\s*[0-9]+)', 3), '')), '\s', '', 'g'), '')")
+scalar("x102_quoted_title", "extracted_refs", "ref_id", text.quoted_title("raw"), "nullif(regexp_extract(raw, '[“\"]([^“”\"]{4,}?),?[”\"]', 1), '')")
+scalar("x103_find_url", "extracted_refs", "ref_id", text.find_url("raw"), r"""nullif(regexp_replace(regexp_extract(raw, '(https?://[^\s<>"]+)', 1), '[.,;)\]]+$', ''), '')""")
+scalar("t11_byte_prefix", "extracted_refs", "ref_id", F.octet_length(text.byte_prefix("title", 40)) <= 40, "CASE WHEN title IS NOT NULL THEN true END")
+scalar("u06_multiset_overlap", "extracted_refs", "ref_id", text.multiset_overlap(text.words(F.coalesce("title", F.lit(""))), text.words(F.coalesce("raw", F.lit("")))), None)
