@@ -42,18 +42,19 @@ def d27(spark, d):
 
 
 URL = "'HTTPS://Journals.Example.ORG:443/a/../' || lower(pmcid) || '/./pdf?utm_source=x&v=' || doc_version::VARCHAR || '#top'"
-URL_S = F.concat(F.lit("HTTPS://Journals.Example.ORG:443/a/../"), F.lower("pmcid"), F.lit("/./pdf?utm_source=x&v="), F.col("doc_version").cast("string"), F.lit("#top"))
+def _url():
+    return F.concat(F.lit("HTTPS://Journals.Example.ORG:443/a/../"), F.lower("pmcid"), F.lit("/./pdf?utm_source=x&v="), F.col("doc_version").cast("string"), F.lit("#top"))
 
 
 @query("x38_normalize_url", "SELECT pmcid, doc_version, 'https://journals.example.org/' || lower(pmcid) || '/pdf?v=' || doc_version::VARCHAR AS url FROM manifest_item")
 def x38(spark, d):
-    return table(spark, d, "manifest_item").select("pmcid", "doc_version", U.normalize_url(URL_S).alias("url"))
+    return table(spark, d, "manifest_item").select("pmcid", "doc_version", U.normalize_url(_url()).alias("url"))
 
 
 @query("f34_host_policy", "SELECT pmcid, doc_version, 'allow' AS action, 'possible' AS pdf FROM manifest_item")
 def f34(spark, d):
     rules = spark.createDataFrame([("example.org", "block"), ("journals.example.org", "allow"), ("org", "block")], "domain string, action string")
-    u = table(spark, d, "manifest_item").select("pmcid", "doc_version", U.normalize_url(URL_S).alias("url"))
+    u = table(spark, d, "manifest_item").select("pmcid", "doc_version", U.normalize_url(_url()).alias("url"))
     return U.host_policy(u, "url", rules).select("pmcid", "doc_version", "action", U.classify_pdf_url("url").alias("pdf"))
 
 
