@@ -41,7 +41,11 @@ _SYMBOL = re.compile(r"(?<=[^\W\d_])[@+!^~|ſ€£$\\*`¦](?=[^\W\d_])|(?<=[^\W\
 _DIGIT = re.compile(r"(?<=[a-zà-ÿ])[0158](?=[a-zà-ÿ])|^[0158](?=[a-zà-ÿ]{3})|(?<=[a-zà-ÿ]{4})[0158]$")
 _TOKEN = re.compile(r"\S+")
 _EDGE = ".,;:()[]?“”\"'«»„…"
-_PAGE = re.compile(r"^\W*(?:(?:page|p\.|pp\.|seite|s\.|página|pág\.)\s*)?(?:[-–—·•*|~]\s*)?(\d{1,4})(?:\s*[-–—·•*|~])?(?:\s*(?:of|/|von|de|sur)\s*\d{1,4})?\s*$", re.IGNORECASE)
+#: A number in which a scan may have misread some digits as letters.
+_NUMBER = r"(?=[lIOoSB]*\d)[\dlIOoSB]{1,4}"
+_PAGE = re.compile(rf"^\W*(?:(?:p\s?a\s?g\s?e|p\.|pp\.|seite|s\.|página|pág\.)\s*)?(?:[-–—·•*|~]\s*)?({_NUMBER})(?:\s*[-–—·•*|~]+(?:\s*p\s?a\s?g\s?e)?)?(?:\s*(?:of|/|von|de|sur)\s*{_NUMBER})?\s*$", re.IGNORECASE)
+#: What sets a running title off from the author, number or remark beside it.
+_SET_OFF = re.compile(r"\s[—·/|]\s|[:,]\s|^\W*\d{1,4}\b|\b\d{1,4}\W*$")
 _PAGE_BOX = re.compile(r"^\s*\[(\d{1,4})\]\s*$")
 _BREAK = re.compile(r"([^\W\d_][\w’'-]*)([-¬­‐])[ \t]*\n[ \t]*([^\W_][\w’']*)(\S*)[ \t]*")
 _HYPHEN_END = re.compile(r"[-¬­‐][ \t]*\n")
@@ -249,7 +253,8 @@ class Repairer:
             k = len(head)
             while k < len(t) and at + k < len(s) and t[k] == s[at + k]:
                 k += 1
-            if (k >= (7 if wide else 15) or k == len(t)) and len(s) - k <= max(12, min(48, k)):
+            most = min(64, 2 * k) if k >= 22 and _SET_OFF.search(line) else min(48, k)
+            if (k >= (7 if wide else 15) or k == len(t)) and len(s) - k <= max(12, most):
                 return True
         return False
 
