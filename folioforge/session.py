@@ -1,7 +1,7 @@
 """Session settings and the one place where lineage is cut."""
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -57,7 +57,7 @@ def shared_dir(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if d:
         return d.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     d = tempfile.mkdtemp(prefix="folioforge-")
     spark.conf.set("spark.checkpoint.dir", "file://" + d)
@@ -71,19 +71,19 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(spark: SparkSession, df: DataFrame) -> None:
-    """Remove the files of a table made by :func:`materialize` that no later plan reads."""
-    root = shared_dir(spark)
-    jvm = spark._jvm
-    for f in {os.path.dirname(p) for p in df.inputFiles()}:
-        if f.startswith(root.replace("file://", "file:")) or root.replace("file://", "") in f:
-            p = jvm.org.apache.hadoop.fs.Path(f)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/folioforge-{spark.sparkContext.applicationId}"
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Remove the tables this application wrote; for the end of a job, as earlier results read them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
