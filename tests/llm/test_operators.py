@@ -181,6 +181,15 @@ def test_variants_table(spark):
     assert names.variants(df.limit(0)).count() == 0
 
 
+def test_linked_pairs_and_the_top_n_report(spark):
+    keys = [names.fold(x) for x in ("Astrid Losobranoski", "Losobranoski, Astrid", "A. Losobranoski", "Quentin Zarubamel", "Zarubamel, Q.")]
+    df = spark.createDataFrame(list(enumerate(keys)), "id bigint, key string")
+    got = {(r.a, r.b) for r in names.linked_pairs(df).collect()}
+    assert got == {(0, 1), (0, 2), (1, 2), (3, 4)}
+    top = {(r.a, r.b) for r in names.linked_pairs(df, top_n=1).collect()}
+    assert top < got and (3, 4) in top
+
+
 # ---- 6
 def test_record_linkage(spark):
     ex = [(1, "Effects of renal beams and chronic ballots", "Zarubamel", 2011), (2, "EFFECTS OF RENAL BEAMS AND CHRONIC BALLTOS. J. Archive Sci.", "Zarubamel", 2011), (3, "Reply to comments on Effects of renal beams and chronic ballots", "Zarubamel", 2012),
