@@ -25,6 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,8 +50,8 @@ SHORT = {"abby": "abigail", "andy": "andrew", "drew": "andrew", "tony": "anthony
 GRAM = 5
 #: Least cosine of a candidate pair; least average similarity of two clusters that are merged.
 COSINE, LINK = 0.35, 0.5
-#: Least overlap of the letter pairs of two names' long words: linked names share a long word but for a slip.
-OVERLAP = 0.6
+#: Most bits in which the signatures of two names with a similarity differ.
+SLIP_BITS, MASK = 6, (1 << 63) - 1
 #: Components of up to this many names are compared in full; in larger ones pairs below the cosine count as 0.
 FULL_COMPARISON = 150
 _STOP = {"of", "and", "the", "for", "in"}
@@ -242,16 +243,41 @@ def grams(key: str) -> list[str]:
 
 
 @lru_cache(maxsize=100_000)
-def signature(key: str) -> tuple[int, int]:
-    """Bits of the letter pairs of a name's two longest words, or of an organisation's own words, in two halves of 63."""
-    ws = sorted(set(re.findall(r"[^\W\d_]{4,}", key)), key=lambda w: (-len(w), w))
-    ws = [w for w in ws if w not in ORG_WORDS] if parse(key)[0] == "org" else ws[:2]
+def _family_bits(s: str) -> int:
+    """Bits of a surname: of its letter pairs, or a hash where it is too short to hold a slip."""
+    if len(s) <= 5:
+        return xxhash.xxh3_64_intdigest(s) & MASK
+    v, w = 0, f"^{s}$"
+    for i in range(len(w) - 1):
+        v |= 1 << (ord(w[i]) * 131 + ord(w[i + 1]) * 17) % 63
+    return v
+
+
+def _shape_bits(letters: list[str]) -> int:
+    """Bits of the first letters of words, as often as they occur, and of their number."""
     v = 0
-    for w in ws:
-        w = f"^{w}$"
-        for i in range(len(w) - 1):
-            v |= 1 << ((ord(w[i]) * 131 + ord(w[i + 1]) * 17) % 126)
-    return v & ((1 << 63) - 1), v >> 63
+    for c, n in Counter(letters).items():
+        for k in range(n):
+            v |= 1 << (ord(c) * 31 + k * 7) % 40
+    return v | (len(letters) * 0x9E3779B1 & 0x7FFFFF) << 40
+
+
+@lru_cache(maxsize=100_000)
+def signature(key: str) -> tuple[int | None, int | None, int | None]:
+    """Bits of the surname of each reading of a person, and of the words of an organisation or acronym.
+
+    ``similarity`` above 0 implies that a surname of one name and one of the other, or the words of both,
+    differ in at most SLIP_BITS: one edit changes 3 letter pairs of each surname at most, organisations have
+    at most two slips, and an acronym stands for as many words as it has letters. Where more than three words
+    follow an acronym their slips are not bounded: the last value is negative, which stands for any.
+    """
+    kind = parse(key)
+    if kind[0] == "org":
+        return None, None, _shape_bits([w[0] for w in kind[1]])
+    families = sorted({_family_bits(s) for s, _ in kind[1]})
+    acronyms, rest = kind[2]
+    shape = None if not acronyms else -1 if len(rest) > 3 else _shape_bits([*"".join(acronyms), *(w[0] for w in rest)])
+    return families[0] if families else None, families[1] if len(families) > 1 else None, shape
 
 
 def linked_pairs(keys: DataFrame, cosine: float = COSINE, top_n: int | None = None) -> DataFrame:
@@ -274,20 +300,20 @@ def linked_pairs(keys: DataFrame, cosine: float = COSINE, top_n: int | None = No
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out, s1, s2 = [], [], [], []
+            ids, out, signs = [], [], []
             for i, key, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 w = weights(v)
                 rest = np.sqrt(np.maximum(1 - np.cumsum(w * w), 0))  # norm behind each gram
                 k = int(np.searchsorted(-rest, -cosine, "right")) + 1 if len(w) else 0
-                a, b = signature(key)
+                sign = signature(key)
                 for x in v[:k]:
-                    ids.append(i), out.append(x["gram"]), s1.append(a), s2.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], ["id", "gram", "s1", "s2"])
+                    ids.append(i), out.append(x["gram"]), signs.append(sign)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string()), *(pa.array([x[j] for x in signs], pa.int64()) for j in range(3))], ["id", "gram", "s1", "s2", "s3"])
 
-    heads = materialize(vector.select("id", "key", "v").mapInArrow(prefix, "id bigint, gram string, s1 bigint, s2 bigint").withColumn("gram", F.xxhash64("gram")))
+    heads = materialize(vector.select("id", "key", "v").mapInArrow(prefix, "id bigint, gram string, s1 bigint, s2 bigint, s3 bigint").withColumn("gram", F.xxhash64("gram")))
     # counted inside the join, so pairs that can't be linked never leave it
-    pairs = heads.alias("x").join(heads.alias("y"), F.expr(
-        f"x.gram = y.gram and x.id < y.id and bit_count(x.s1 & y.s1) + bit_count(x.s2 & y.s2) >= {OVERLAP} * least(bit_count(x.s1) + bit_count(x.s2), bit_count(y.s1) + bit_count(y.s2))"))
+    near = " or ".join(f"bit_count(x.{p} ^ y.{q}) <= {SLIP_BITS}" for p, q in (("s1", "s1"), ("s1", "s2"), ("s2", "s1"), ("s2", "s2"), ("s3", "s3")))
+    pairs = heads.alias("x").join(heads.alias("y"), F.expr(f"x.gram = y.gram and x.id < y.id and ({near} or (x.s3 < 0 or y.s3 < 0) and x.s3 is not null and y.s3 is not null)"))
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     key = vector.select("id", "key")
     pairs = pairs.join(key.select(F.col("id").alias("a"), F.col("key").alias("ka")), "a").join(key.select(F.col("id").alias("b"), F.col("key").alias("kb")), "b")

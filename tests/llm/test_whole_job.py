@@ -1,7 +1,7 @@
 """Cases that an earlier form of an operator lost."""
 import random
 
-from folioforge.llm import linkage
+from folioforge.llm import linkage, names
 from tests.llm.test_operators import REF, TRUTH
 
 
@@ -24,3 +24,33 @@ def test_keys_of_ordered_blocks():
     assert keys("eyidence adaptive columns first campaign") & keys("evidence adaptive columns first campaign")
     assert keys("hoow coastal reefs") & keys("how coastal reefs") and keys("hoow reefs") & keys("how reefs") and keys("hoow", "zarubamel") & keys("how", "zarubamel")
     assert not keys("renal beams chronic ballots viral") & keys("spinal reefs coastal transect kelp")
+
+
+# ---- 2
+def test_short_surname_behind_long_given_names(spark):
+    pairs = [("Alexander William Ford", "Ford, A W"), ("Katherine Elizabeth Wong", "Wong, K E"), ("Jennifer Margaret Smith", "Smith, J M")]
+    people = [n for p in pairs for n in p]
+    rng = random.Random(7)
+    for i in range(300):  # the given names and initials are common, the surnames are not
+        s = "".join(rng.choice("bdfgklmnprstv") + rng.choice("aeiou") for _ in range(4))
+        people.append(f"{pairs[i % 3][0].rsplit(' ', 1)[0]} {s}" if i % 2 else f"{s}x, {pairs[i % 3][1].split(', ')[1]}")
+    keys = [names.fold(x) for x in people]
+    df = spark.createDataFrame(list(enumerate(keys)), "id bigint, key string")
+    got = {(r.a, r.b) for r in names.linked_pairs(df).collect()}
+    assert {(0, 1), (2, 3), (4, 5)} <= got
+
+
+def test_signatures_of_all_similar_names_are_near():
+    rng = random.Random(3)
+    base = ["Quentin D. Zarubamel", "Zarubamel, Q. D.", "Quentin de Zarubamel", "Q. Ford", "Ann Ford", "WHO Genva", "World Health Office, Genva", "Institute of Soil and Water", "Inst. of Soil and Water", "UN WHO"]
+    keys = []
+    for x in base:
+        keys.append(names.fold(x))
+        for _ in range(25):
+            i = rng.randrange(len(x) - 1)
+            keys.append(names.fold(rng.choice([x[:i] + x[i + 1:], x[:i] + x[i + 1] + x[i] + x[i + 2:], x[:i] + rng.choice("abcxyz") + x[i:]])))
+    keys = [k for k in keys if k]
+    bits = [names.signature(k) for k in keys]
+    near = lambda a, b: any(p is not None and q is not None and (p ^ q).bit_count() <= names.SLIP_BITS for p in a[:2] for q in b[:2]) or None not in (a[2], b[2]) and (min(a[2], b[2]) < 0 or (a[2] ^ b[2]).bit_count() <= names.SLIP_BITS)
+    similar = [(a, b) for i, a in enumerate(keys) for j, b in enumerate(keys[:i]) if names.similarity(a, b) > 0 and not near(bits[i], bits[j])]
+    assert not similar
