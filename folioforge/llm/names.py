@@ -8,8 +8,8 @@ and average-linkage clustering over each component of linked names groups the va
 the n most similar partners of each name only, as a report; by default all partners are kept.
 
 Scale: everything after the first distinct works on different names, not on rows; postings of rare grams
-are short; components above ``max_component`` names are split by a stricter similarity first, so no task
-gathers an unbounded group.
+are short; all pairs of a component are compared, those of a large one in blocks over the executors, so the
+result doesn't depend on its size. A component's similarities above 0 are clustered in one task.
 
 Defined results: null and blank names link to nothing; a name that only has initials or one letter
 links to nothing; values with equal folded forms are variants of each other.
@@ -52,8 +52,8 @@ GRAM = 5
 COSINE, LINK = 0.35, 0.5
 #: Most bits in which the signatures of two names with a similarity differ.
 SLIP_BITS, MASK = 6, (1 << 63) - 1
-#: Components of up to this many names are compared in full; in larger ones pairs below the cosine count as 0.
-FULL_COMPARISON = 150
+#: Components of up to this many names are compared in one task, larger ones in blocks of BLOCK names over all.
+FULL_COMPARISON, BLOCK = 150, 500
 _STOP = {"of", "and", "the", "for", "in"}
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*\.?", re.UNICODE)
 _FOLD = str.maketrans({"ø": "o", "đ": "d", "ł": "l", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d", "ı": "i", "’": "'", "‘": "'"})
@@ -344,7 +344,7 @@ def average_linkage(n: int, links: list[tuple[int, int, float]], least: float =
     sim: list[dict[int, float]] = [{} for _ in range(n)]
     for i, j, s in links:
         sim[i][j] = sim[j][i] = max(s, sim[i].get(j, 0.0))
-    size, label, alive = [1] * n, list(range(n)), set(range(n))
+    size, held, alive = [1] * n, {i: [i] for i in range(n)}, set(range(n))
     import heapq
     heap = [(-s, i, j) for i in range(n) for j, s in sim[i].items() if i < j]
     heapq.heapify(heap)
@@ -363,13 +363,57 @@ def average_linkage(n: int, links: list[tuple[int, int, float]], least: float =
         sim[i].pop(j, None)
         size[i] += size[j]
         alive.discard(j)
-        label = [i if x == j else x for x in label]
+        held[i] += held.pop(j)
         for k, x in sim[i].items():
             heapq.heappush(heap, (-x / (size[i] * size[k]), min(i, k), max(i, k)))
+    label = [0] * n
+    for i, members in held.items():
+        for x in members:
+            label[x] = i
     return label
 
 
-def entities(authors: DataFrame, name_col: str = "author", cosine: float = COSINE, link: float = LINK, max_component: int = 2000) -> DataFrame:
+def similar_in_blocks(names: DataFrame) -> DataFrame:
+    """(component, a, b, sim) of all pairs with sim > 0 of each component of ``names`` (component, n, node, key); a < b.
+
+    A task compares two blocks at a time: their signatures first, then the names that are near.
+    """
+    spread = names.withColumn("of", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("p", F.pmod(F.xxhash64("node", F.lit(7)), F.col("of")).cast("int"))
+    blocks = materialize(spread.groupBy("component", "p").agg(F.first("of").alias("of"), F.collect_list(F.struct("node", "key")).alias("v")))
+    x = blocks.select("component", F.col("v").alias("vx"), "p", F.explode(F.sequence("p", F.col("of") - 1)).alias("q"))
+    pairs = x.join(blocks.select("component", F.col("p").alias("q"), F.col("v").alias("vy")), ["component", "q"]).select("component", "p", "q", "vx", "vy")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                c, p, q, vx, vy = (col[row].as_py() for col in batch.columns)
+                out: list[tuple[int, int, float]] = []
+                i, j = np.nonzero(_near(_signs(vx), _signs(vy)))
+                for u, w in zip(i.tolist(), j.tolist()):
+                    (a, ka), (b, kb) = sorted((tuple(vx[u].values()), tuple(vy[w].values())))
+                    if a != b and (p != q or u < w) and (s := similarity(ka, kb)) > 0:
+                        out.append((a, b, s))
+                yield pa.RecordBatch.from_arrays([pa.array([c] * len(out), pa.int64()), *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64())))], ["component", "a", "b", "sim"])
+
+    return pairs.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), "component", "p", "q").mapInArrow(run, "component bigint, a bigint, b bigint, sim double")
+
+
+def _signs(v: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    signs = [signature(x["key"]) for x in v]
+    return np.array([[y or 0 for y in s] for s in signs], np.int64).reshape(-1, 3), np.array([[y is not None for y in s] for s in signs], bool).reshape(-1, 3)
+
+
+def _near(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which names of two blocks ``similarity`` may link."""
+    out = np.zeros((len(x[0]), len(y[0])), bool)
+    for p, q in ((0, 0), (0, 1), (1, 0), (1, 1), (2, 2)):
+        a, b = x[0][:, p, None], y[0][None, :, q]
+        near = np.bitwise_count((a ^ b) & MASK) <= SLIP_BITS
+        out |= (near | (a < 0) | (b < 0)) & x[1][:, p, None] & y[1][None, :, q]
+    return out
+
+
+def entities(authors: DataFrame, name_col: str = "author", cosine: float = COSINE, link: float = LINK) -> DataFrame:
     """(name, entity) of every different name of ``authors``; names of one entity are its variants."""
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -380,25 +424,17 @@ def entities(authors: DataFrame, name_col: str = "author", cosine: float = COSIN
     keys = names.select("id", "key").distinct()
     links = materialize(linked_pairs(keys, cosine))
     member = materialize(connected_components(links))
-    # components too large for one task are cut at a stricter similarity, again and again
-    step = link
-    while step < 0.95:
-        large = member.groupBy("component").count().where(F.col("count") > max_component).select("component")
-        if large.isEmpty():
-            break
-        step += 0.1
-        inside = large.join(member, "component").select("node")
-        kept = links.where(F.col("sim") >= step).join(inside.withColumnRenamed("node", "a"), "a", "left_semi")
-        parts = connected_components(kept)
-        alone = inside.join(parts, "node", "left_anti").select("node", F.col("node").alias("component"))
-        member = materialize(member.join(large, "component", "left_anti").select("node", "component").unionByName(parts).unionByName(alone))
-    grouped = links.join(member.select(F.col("node").alias("a"), "component"), "a").join(member.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b").where("component = cb").join(keys.select(F.col("id").alias("a"), F.col("key").alias("ka")), "a").join(keys.select(F.col("id").alias("b"), F.col("key").alias("kb")), "b").select("component", "a", "b", "ka", "kb", "sim")
+    grouped = links.join(member.select(F.col("node").alias("a"), "component"), "a").join(keys.select(F.col("id").alias("a"), F.col("key").alias("ka")), "a").join(keys.select(F.col("id").alias("b"), F.col("key").alias("kb")), "b").select("component", "a", "b", "ka", "kb", "sim")
+    large = member.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > FULL_COMPARISON)
+    if not large.isEmpty():  # clustered on the similarities alone, which are complete
+        inside = member.join(large, "component").join(keys.withColumnRenamed("id", "node"), "node")
+        grouped = grouped.join(large, "component", "left_anti").unionByName(similar_in_blocks(inside).select("component", "a", "b", F.lit(None).cast("string").alias("ka"), F.lit(None).cast("string").alias("kb"), "sim"))
 
     def cluster(rows: list[tuple]) -> list[tuple[int, int]]:
         ids = sorted({r[1] for r in rows} | {r[2] for r in rows})
         at = {x: k for k, x in enumerate(ids)}
         sims = {(at[a], at[b]): s for _, a, b, _, _, s in rows}
-        if len(ids) <= FULL_COMPARISON:  # pairs below the cosine threshold have a similarity too
+        if rows[0][3] is not None:  # pairs below the cosine threshold have a similarity too
             key = {r[1]: r[3] for r in rows} | {r[2]: r[4] for r in rows}
             for i in range(len(ids)):
                 for j in range(i + 1, len(ids)):

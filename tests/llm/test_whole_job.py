@@ -54,3 +54,23 @@ def test_signatures_of_all_similar_names_are_near():
     near = lambda a, b: any(p is not None and q is not None and (p ^ q).bit_count() <= names.SLIP_BITS for p in a[:2] for q in b[:2]) or None not in (a[2], b[2]) and (min(a[2], b[2]) < 0 or (a[2] ^ b[2]).bit_count() <= names.SLIP_BITS)
     similar = [(a, b) for i, a in enumerate(keys) for j, b in enumerate(keys[:i]) if names.similarity(a, b) > 0 and not near(bits[i], bits[j])]
     assert not similar
+
+
+def test_entities_do_not_depend_on_the_size_of_a_component(spark, monkeypatch):
+    # a slip shares no gram with the name it is of, only the initial links both
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("bdfgklmnprstv") + rng.choice("aeiou") for _ in range(n))
+    given = [c + word(4)[1:] for c in "BDFG"]
+    people = [f(g) for g in given for f in (lambda g: f"{g} Zarubamel", lambda g: f"{g[:3]}{g[4]}{g[3]}{g[5:]} Zarubamel", lambda g: f"{g[0]}. Zarubamel")]
+    others = [f"{'BDFG'[i % 4]}. {word(4)}" for i in range(600)]
+    df = spark.createDataFrame([(p,) for p in people + others], "author string")
+
+    def found(full: int) -> set[frozenset]:
+        monkeypatch.setattr(names, "FULL_COMPARISON", full)
+        groups: dict = {}
+        for r in names.entities(df).collect():
+            groups.setdefault(r.entity, set()).add(r.name)
+        return {frozenset(g) for g in groups.values()}
+
+    monkeypatch.setattr(names, "BLOCK", 2, raising=False)
+    assert found(2) == found(100_000) and {frozenset(people[i:i + 3]) for i in range(0, 12, 3)} <= found(2)
