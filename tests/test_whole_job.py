@@ -23,3 +23,11 @@ def test_title_agreement_over_whole_entries(spark, tmp_path):
     for i, a, b in rows:
         a, b = (" ".join(re.findall(r"[^\W_]+", (x or "").lower())) for x in (a, b))
         assert got[i] == pytest.approx(1 - distance(a, b) / max(len(a), len(b)) if a and b else 0.0, abs=1e-6)
+
+
+def test_late_deliveries_in_many_files(spark, tmp_path):
+    for i in range(10):  # the last files hold the oldest rows
+        df = spark.createDataFrame([(i, f"20{20 - i:02d}-01-01 00:00:00"), (0, "2020-01-01 00:00:00")], "run_id bigint, landed_at string")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "runs.parquet"))
+    got = [r.run_id for r in registry.queries()["st08_deliveries_once"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == list(range(10))
