@@ -205,15 +205,34 @@ def test_record_linkage(spark):
     assert linkage.matches(refs.limit(0), truth, labels).count() == 0
 
 
-def test_block_index_finds_all_pairs_that_agree_in_three_blocks():
+def test_hamming_index_finds_all_pairs_within_the_radius(spark):
     rng = random.Random(3)
-    words = ["renal", "beams", "chronic", "ballots", "viral", "kelp", "coastal", "transect", "spinal", "reefs"]
-    titles = [" ".join(rng.choices(words, k=5)) for _ in range(120)]
-    keys = [linkage.index_keys(t, None, frozenset())[0] for t in titles]
-    for i in range(120):
-        for j in range(i):
-            a, b = linkage.blocks(titles[i], frozenset()), linkage.blocks(titles[j], frozenset())
-            assert (sum(x == y for x, y in zip(a, b)) >= 3) == bool(keys[i] & keys[j])
+    words = ["renal", "beams", "chronic", "ballots", "viral", "kelp", "coastal", "transect", "spinal", "reefs", "x", "新しい指標"]
+    titles = {" ".join(rng.choices(words, k=rng.randint(1, 7))) for _ in range(150)}
+    for t in list(titles):
+        i = rng.randrange(len(t))
+        titles |= {t[:i] + "q" + t[i + 1:], t[:i] + t[i + 1:], t[:i] + t[i:i + 2][::-1] + t[i + 2:], t[:len(t) * 2 // 3]}
+    titles = sorted(t for t in titles if t.strip())
+    df = linkage._entities(spark.createDataFrame([("t" + t,) for t in titles] + [("szarubamel",), (None,)], "e string"))
+    at = {r.i: r.e[1:] for r in df.collect()}
+    got = {(at[r.ia], at[r.ib]) for r in linkage.candidates(df, df).collect()}
+    vec = {t: [sum(c << k * linkage.CHUNK_BITS for k, c in enumerate(v)) for v in linkage.vectors(t)] for t in titles}
+    near = {(a, b) for a in titles for b in titles if any((x ^ y).bit_count() <= linkage.RADIUS for x, y in zip(vec[a], vec[b]))}
+    assert near <= got and len(got) < 0.2 * len(titles) ** 2
+    # a slip changes few bits of a vector, a cut title keeps its first one
+    d = lambda a, b: (linkage.vectors(a)[0], linkage.vectors(b)[0])
+    assert all(sum((x ^ y).bit_count() for x, y in zip(*d("chronic renal ballots of reefs", o))) <= 6 for o in ("chronic renal balolts of reefs", "chronic renal ballots of", "chronic ranal ballots of reefs"))
+
+
+def test_calibration_is_measured_on_labels_not_seen(spark):
+    word = lambda rng: "".join(rng.choice("bdfgklmnprstv") + rng.choice("aeiou") for _ in range(4))
+    rng = random.Random(8)
+    titles = [" ".join(word(rng) for _ in range(6)) for _ in range(60)]
+    refs = spark.createDataFrame([(i, "h", 1, 0, None, None, "Zarubamel" if i % 2 else None, 2001, None, t, 9, 9) for i, t in enumerate(titles)], REF)
+    truth = spark.createDataFrame([(i, None, ["Quentin Zarubamel"], t if i % 3 else t + ": part II", 2001 + i % 4, 9) for i, t in enumerate(titles)], TRUTH)
+    labels = spark.createDataFrame([(i, i, int(i % 3 > 0 and i % 4 < 2)) for i in range(60)], "ref_id bigint, truth_id bigint, is_match int")
+    c = linkage.calibration(refs, truth, labels)
+    assert c["n"] > 30 and c["brier"] < c["brier_of_share"] and linkage.calibration(refs.limit(0), truth, labels) == {"n": 0.0}
 
 
 # ---- 1

@@ -18,14 +18,6 @@ def test_slip_in_a_common_word_moves_no_block_out_of_reach(spark):
     assert got == {(i, i) for i in range(30)}
 
 
-def test_keys_of_ordered_blocks():
-    common = frozenset({"evidence", "how"})
-    keys = lambda c, s=None: linkage.index_keys(c, s, common, anywhere=True)[0]
-    assert keys("eyidence adaptive columns first campaign") & keys("evidence adaptive columns first campaign")
-    assert keys("hoow coastal reefs") & keys("how coastal reefs") and keys("hoow reefs") & keys("how reefs") and keys("hoow", "zarubamel") & keys("how", "zarubamel")
-    assert not keys("renal beams chronic ballots viral") & keys("spinal reefs coastal transect kelp")
-
-
 # ---- 2
 def test_short_surname_behind_long_given_names(spark):
     pairs = [("Alexander William Ford", "Ford, A W"), ("Katherine Elizabeth Wong", "Wong, K E"), ("Jennifer Margaret Smith", "Smith, J M")]
