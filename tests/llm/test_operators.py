@@ -216,12 +216,24 @@ def test_hamming_index_finds_all_pairs_within_the_radius(spark):
     df = linkage._entities(spark.createDataFrame([("t" + t,) for t in titles] + [("szarubamel",), (None,)], "e string"))
     at = {r.i: r.e[1:] for r in df.collect()}
     got = {(at[r.ia], at[r.ib]) for r in linkage.candidates(df, df).collect()}
-    vec = {t: [sum(c << k * linkage.CHUNK_BITS for k, c in enumerate(v)) for v in linkage.vectors(t)] for t in titles}
-    near = {(a, b) for a in titles for b in titles if any((x ^ y).bit_count() <= linkage.RADIUS for x, y in zip(vec[a], vec[b]))}
-    assert near <= got and len(got) < 0.2 * len(titles) ** 2
-    # a slip changes few bits of a vector, a cut title keeps its first one
-    d = lambda a, b: (linkage.vectors(a)[0], linkage.vectors(b)[0])
-    assert all(sum((x ^ y).bit_count() for x, y in zip(*d("chronic renal ballots of reefs", o))) <= 6 for o in ("chronic renal balolts of reefs", "chronic renal ballots of", "chronic ranal ballots of reefs"))
+    def parts(t):
+        s = linkage.letters_of(t)
+        return linkage.vector(s, linkage.WHOLE), linkage.vector(s[:24], linkage.FIRST), linkage.vector(s[-24:], linkage.LAST), linkage.vector(s[:36], linkage.WHOLE), len(s)
+
+    vec = {t: parts(t) for t in titles}
+    d = lambda p, q, k: (p[k] ^ q[k]).bit_count()
+
+    def near(p, q):
+        gap = abs(p[4] - q[4])
+        whole = d(p, q, 0) <= linkage.RADIUS[0] and gap <= linkage.SLACK
+        first = d(p, q, 1) <= linkage.RADIUS[1] and (min(p[4], q[4]) < 36 or d(p, q, 3) <= linkage.FAR_LONGER) and (gap > linkage.CUT or d(p, q, 0) <= linkage.FAR)
+        return whole or first or d(p, q, 2) <= linkage.RADIUS[2] and gap <= 12 and d(p, q, 0) <= linkage.FAR
+
+    assert {(a, b) for a in titles for b in titles if near(vec[a], vec[b])} <= got and len(got) < 0.2 * len(titles) ** 2
+    # a slip changes few bits, a cut title keeps its first letters; folding never adds distance
+    base = parts("chronic renal ballots of reefs")
+    assert all(d(base, parts(o), 1) <= 6 for o in ("chronic renal balolts of reefs", "chronic renal ballots of", "chronic ranal ballots of reefs"))
+    assert all((linkage.folded(vec[a][0]) ^ linkage.folded(vec[b][0])).bit_count() <= d(vec[a], vec[b], 0) for a in titles[:40] for b in titles)
 
 
 def test_calibration_is_measured_on_labels_not_seen(spark):
