@@ -218,16 +218,17 @@ def test_hamming_index_finds_all_pairs_within_the_radius(spark):
     got = {(at[r.ia], at[r.ib]) for r in linkage.candidates(df, df).collect()}
     def parts(t):
         s = linkage.letters_of(t)
-        return linkage.vector(s, linkage.WHOLE), linkage.vector(s[:24], linkage.FIRST), linkage.vector(s[-24:], linkage.LAST), linkage.vector(s[:36], linkage.WHOLE), len(s)
+        return linkage.vector(s, linkage.WHOLE), linkage.vector(s[:24], linkage.FIRST), linkage.vector(s[-24:], linkage.LAST), linkage.vector(s[:36], linkage.WHOLE), linkage.vector(s[:48], linkage.WHOLE), len(s)
 
     vec = {t: parts(t) for t in titles}
     d = lambda p, q, k: (p[k] ^ q[k]).bit_count()
 
     def near(p, q):
-        gap = abs(p[4] - q[4])
+        gap, n = abs(p[5] - q[5]), min(p[5], q[5])
         whole = d(p, q, 0) <= linkage.RADIUS[0] and gap <= linkage.SLACK
-        first = d(p, q, 1) <= linkage.RADIUS[1] and (min(p[4], q[4]) < 36 or d(p, q, 3) <= linkage.FAR_LONGER) and (gap > linkage.CUT or d(p, q, 0) <= linkage.FAR)
-        return whole or first or d(p, q, 2) <= linkage.RADIUS[2] and gap <= 12 and d(p, q, 0) <= linkage.FAR
+        begins = n < 36 or d(p, q, 3 if n < 48 else 4) <= linkage.FAR_LONGER
+        first = d(p, q, 1) <= linkage.RADIUS[1] and begins and (gap > linkage.CUT or d(p, q, 0) <= linkage.FAR)
+        return whole or first or d(p, q, 2) <= linkage.RADIUS[2] and gap <= linkage.SHIFT and d(p, q, 0) <= linkage.FAR
 
     assert {(a, b) for a in titles for b in titles if near(vec[a], vec[b])} <= got and len(got) < 0.2 * len(titles) ** 2
     # a slip changes few bits, a cut title keeps its first letters; folding never adds distance
