@@ -1,18 +1,26 @@
 """Repair text from scanned pages (problem 1).
 
 Method: skip-gram vectors (negative sampling) are learnt from the corpus' aggregated word pairs; the
-objective depends on the pair counts only, so the learning step has a fixed size. A rare word is linked
-to frequent words that differ by plausible glyph edits and is corrected to the one its context's vectors
-favour. Then running headers and page numbers are removed, words broken at line ends are joined where
-the hyphen isn't their own (corpus counts of the joined and the hyphenated form decide), and lines are
-reflowed into paragraphs.
+objective depends on the pair counts only, so the learning step has a fixed size. A rare word gets a vector
+too, the mean of the context vectors around its occurrences in a text. It is linked to those frequent words
+that are its neighbours in the vector space and one or two plausible glyph edits away: the likelihood of its
+similarity among words in their own context, against that among words in a foreign one, is weighed with the
+chance that a genuine word of its length lies so near a frequent one by accident. Both distributions are
+counted over all texts. The best neighbour corrects the word. Then running headers and page numbers are
+removed, words broken at line ends are joined where the hyphen isn't their own (corpus counts of the joined
+and the hyphenated form decide), and lines are reflowed into paragraphs.
+
+A digit or sign within a word is a misreading whatever the word; where no frequent word is near (names), the
+glyph whose letter pairs are the likeliest among the corpus' words replaces it.
 
 Bounds: frequent words have at least ``WORD_SHARE`` of all words, so there are at most 1/WORD_SHARE;
-learnt pairs have at least ``PAIR_SHARE`` of all pairs. Only those reach the driver and the workers; all
-counts run over all texts. No step groups rows by document.
+learnt pairs have at least ``PAIR_SHARE`` of all pairs. Only those reach the driver and the workers, at most
+100,000 words of 3 x 24 floats, about 30 MB; all counts run over all texts. No step groups rows by document.
 
 Defined results: null stays null, empty stays empty; a text without scan noise only has its lines
-reflowed and isn't affected; a paper without a title has no running header to be known by.
+reflowed and isn't affected; a paper without a title has no running header to be known by. A number in
+brackets on a line of its own is a page number where it is as far from the row's page as the paper's other
+page numbers are, else a label.
 """
 from __future__ import annotations
 
@@ -31,6 +39,14 @@ from folioforge.session import materialize
 
 WORD_SHARE, PAIR_SHARE, LEAST = 1e-5, 5e-7, 5
 DIM, WINDOW, NEGATIVE, EPOCHS = 24, 2, 5, 3
+#: Words on each side that make a word's context.
+AROUND = 4
+#: Share of the rare words near a frequent one that are taken to be misread, before anything is known of them.
+MISREAD = 0.05
+#: A frequent word may be misread too, from one that is so many times as frequent.
+RATIO = 8
+#: Least cosine of the mean contexts of a frequent word and the one it is misread from.
+SAME = 0.9
 SALTS = 16
 #: What a scan shows, and what may have been printed.
 GLYPHS = (("c", "e"), ("@", "a"), ("+", "t"), ("!", "i"), ("!", "l"), ("1", "l"), ("1", "i"), ("0", "o"), ("5", "s"), ("8", "b"), ("6", "b"), ("9", "g"), ("$", "s"), ("€", "e"), ("£", "f"),
@@ -47,6 +63,8 @@ _PAGE = re.compile(rf"^\W*(?:(?:p\s?a\s?g\s?e|p\.|pp\.|seite|s\.|página|pág\.)
 #: What sets a running title off from the author, number or remark beside it.
 _SET_OFF = re.compile(r"\s[—·/|]\s|[:,]\s|^\W*\d{1,4}\b|\b\d{1,4}\W*$")
 _PAGE_BOX = re.compile(r"^\s*\[(\d{1,4})\]\s*$")
+#: A line that holds a number only, whatever is around it.
+PAGE_LINE = r"(?m)^[^\w\n]*([0-9]{1,4})[^\w\n]*$"
 _BREAK = re.compile(r"([^\W\d_][\w’'-]*)([-¬­‐])[ \t]*\n[ \t]*([^\W_][\w’']*)(\S*)[ \t]*")
 _HYPHEN_END = re.compile(r"[-¬­‐][ \t]*\n")
 _NOT_ALNUM = re.compile(r"[^a-z0-9]+")
@@ -147,34 +165,92 @@ def skip_gram(pair: np.ndarray, n: np.ndarray, size: int, seed: int = 7) -> tupl
     return u, v
 
 
+def context_scores(texts: DataFrame, vocab: dict[str, int], u: np.ndarray, v: np.ndarray) -> DataFrame:
+    """(kind, n, s, q): number, sum and sum of squares of the similarities of frequent words with their own context (0) and another word's (1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 3))
+        for b in batches:
+            ids: list[int] = []
+            for t in b.column(0).to_pylist():
+                ids += [vocab.get(w, -1) for w in words(t.lower())]
+                ids += [-1] * AROUND
+            a = np.array(ids, np.int64)
+            for k in range(0, len(a), 200_000):
+                part = a[max(0, k - AROUND):k + 200_000 + AROUND]
+                if len(part) <= 2 * AROUND:
+                    continue
+                known = part >= 0
+                ctx = np.where(known[:, None], v[np.maximum(part, 0)], 0).astype(np.float64)
+                run_sum, run_n = np.cumsum(np.vstack([np.zeros(DIM), ctx]), 0), np.cumsum(np.append(0, known))
+                at = np.arange(AROUND, len(part) - AROUND)
+                q = run_sum[at + AROUND + 1] - run_sum[at - AROUND] - ctx[at]
+                n = run_n[at + AROUND + 1] - run_n[at - AROUND] - known[at]
+                ok = known[at] & (n > 0)
+                own, q = part[at][ok], q[ok] / n[ok][:, None]
+                for kind, x in enumerate((own, np.roll(own, len(own) // 2 + 1))):
+                    d = (u[x] * q).sum(1)
+                    total[kind] += len(d), d.sum(), (d * d).sum()
+        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), *(pa.array(total[:, k]) for k in range(3))], ["kind", "n", "s", "q"])
+
+    return texts.mapInArrow(run, "kind int, n double, s double, q double").groupBy("kind").agg(*[F.sum(c).alias(c) for c in "nsq"])
+
+
+def _cosine(a: np.ndarray, b: np.ndarray) -> float:
+    return float(a @ b / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-9))
+
+
 class Repairer:
     """Frequent words with their counts and vectors; corrects and cleans single texts."""
 
-    def __init__(self, vocab: list[str], counts: list[int], u: np.ndarray, v: np.ndarray) -> None:
+    def __init__(self, vocab: list[str], counts: list[int], u: np.ndarray, v: np.ndarray, own: tuple[float, float] = (0.0, 1.0), foreign: tuple[float, float] = (0.0, 1.0),
+                 contexts: np.ndarray | None = None) -> None:
         self.id = {w: i for i, w in enumerate(vocab)}
         self.n = dict(zip(vocab, counts))
-        self.u, self.v = u, v
-        self.known: dict[str, tuple[str, ...]] = {}
+        self.u, self.v, self.own, self.foreign = u, v, own, foreign
+        self.known: dict[str, dict[str, int]] = {}
         self.clean: set[str] = set()
-        self.sources = re.compile("|".join(sorted({re.escape(a) for a, _ in GLYPHS}, key=len, reverse=True)))
         self.edits: dict[str, list[str]] = {}
         for a, b in GLYPHS:
             self.edits.setdefault(a, []).append(b)
         self.starts: dict[str, list[str]] = {}
         for a in self.edits:
             self.starts.setdefault(a[0], []).append(a)
-
-    def neighbours(self, w: str) -> tuple[str, ...]:
-        """Frequent words one or (with a symbol or digit) two glyph edits away from a lower-case word."""
+        # how often a genuine word is one glyph edit from another frequent one, by length
+        near, of, pairs = Counter(), Counter(), Counter()
+        for w, n in self.n.items():
+            k = min(len(w), 12)
+            of[k] += 1
+            near[k] += any(x != w and n < RATIO * self.n.get(x, 0) and self.n[x] < RATIO * n for x in self._once(w) if x in self.n)
+            for x in zip("^" + w, w + "$"):
+                pairs[x] += n
+        self.accident = {k: (near[k] + 0.02) / (of[k] + 2.0) for k in range(1, 13)}
+        total = sum(pairs.values()) or 1
+        self.letters = {x: np.log((n + 0.1) / total) for x, n in pairs.items()}
+        self.no_letters = float(np.log(0.1 / total))
+        # words that are frequent only because a misreading is
+        misread = {}
+        for w, n in self.n.items():
+            more = [x for x in self._once(w) if self.n.get(x, 0) >= RATIO * n and len(x) > 2 and not any(c.isdigit() for c in x)] if len(w) > 2 else []
+            if more:
+                sure = bool(_SYMBOL.search(w) or _DIGIT.search(w))
+                misread[w] = max((self.odds(w, x, 1, sure, None) for x in more if sure or contexts is None or _cosine(contexts[self.id[w]], contexts[self.id[x]]) >= SAME), default=-9.0)
+        self.misread = {w for w, o in misread.items() if o > 0}
+        for w in self.misread:
+            del self.n[w]
+
+    def neighbours(self, w: str) -> dict[str, int]:
+        """Frequent words one or two glyph edits away from a lower-case word, with the number of edits."""
         hit = self.known.get(w)
         if hit is None:
             if len(self.known) > 500_000:
                 self.known.clear()
             one = self._once(w)
-            found = {x for x in one if x in self.n}
-            if not found and (_SYMBOL.search(w) or _DIGIT.search(w)):
-                found = {y for x in one for y in self._once(x) if y in self.n}
-            hit = self.known[w] = tuple(sorted(x for x in found if len(x) > 2 and not any(c.isdigit() for c in x)))
+            good = lambda x: x in self.n and len(x) > 2 and not any(c.isdigit() for c in x)
+            hit = {x: 1 for x in sorted(one) if good(x)}
+            if not hit and (_SYMBOL.search(w) or _DIGIT.search(w)):
+                hit = {x: 2 for y in sorted(one) for x in sorted(self._once(y)) if good(x)}
+            self.known[w] = hit
         return hit
 
     def _once(self, w: str) -> set[str]:
@@ -186,39 +262,58 @@ class Repairer:
                         out.add(w[:i] + b + w[i + len(a):])
         return out
 
-    def correct(self, w: str, context: list[str]) -> str | None:
-        """The corrected word, or None where it isn't misread. ``context`` are the words around it."""
+    def context(self, around: list[str]) -> np.ndarray | None:
+        """The vector of a rare word: the mean of the context vectors around it; None without a known word there."""
+        ids = [i for x in around if (i := self.id.get(x)) is not None]
+        return self.v[ids].mean(0) if ids else None
+
+    def odds(self, w: str, cand: str, edits: int, sure: bool, context: np.ndarray | None) -> float:
+        """Log-odds that a rare word is a misreading of a frequent one."""
+        accident = self.accident[min(len(w), 12)]
+        out = np.log(MISREAD) - np.log(1e-4 if sure else min(1.0, accident * 30 ** (edits - 1)))
+        if context is not None and cand in self.id:
+            x = float(self.u[self.id[cand]] @ context)
+            log_p = lambda m, d: -0.5 * ((x - m) / d) ** 2 - np.log(d)
+            out += log_p(*self.own) - log_p(*self.foreign)
+        return float(out)
+
+    def correct(self, w: str, context: np.ndarray | None) -> str | None:
+        """The corrected word, or None where it isn't misread. ``context`` is its vector."""
         low = w.lower()
-        if low in self.n or len(low) < 4:
+        if low in self.n or len(low) < 3:
             return None
-        sure = _SYMBOL.search(w) or _DIGIT.search(w)
+        sure = bool(_SYMBOL.search(w) or _DIGIT.search(w))
         cands = self.neighbours(low)
-        if not cands and "-" in low.strip("-"):  # a part of a compound
+        best = max(((self.odds(low, x, k, sure, context) + 0.05 * np.log(self.n[x]), x) for x, k in cands.items()), default=(-9.0, ""))
+        if best[0] <= 0 and "-" in low.strip("-"):  # a part of a compound
             parts = low.split("-")
-            fixed = [p if p in self.n or len(p) < 4 or not (x := self.neighbours(p)) else x[0] for p in parts]
+            fixed = [p if p in self.n or len(p) < 4 or not (o := max(((self.odds(p, x, k, sure, context), x) for x, k in self.neighbours(p).items()), default=(-9.0, "")))[0] > 0 else o[1] for p in parts]
             if fixed != parts and all(p in self.n for p in fixed):
-                cands = ("-".join(fixed),)
-        if cands:
-            if len(cands) > 1:
-                ids = [i for x in context if (i := self.id.get(x)) is not None]
-                near = self.v[ids].mean(0) if ids else np.zeros(DIM, np.float32)
-                best = max(cands, key=lambda x: float(self.u[self.id[x]] @ near) + 0.05 * np.log(self.n[x]) if x in self.id else -9.0)
-            else:
-                best = cands[0]
-            return best.capitalize() if w[0].isupper() and not w[1:].isupper() else best.upper() if w.isupper() else best
+                best = (1.0, "-".join(fixed))
+        if best[0] > 0:
+            return best[1].capitalize() if w[0].isupper() and not w[1:].isupper() else best[1].upper() if w.isupper() else best[1]
         if sure and sum(c.isalpha() for c in w) >= 4 and not re.search(r"[@/]\w+\.|https?:|\d{2}", w):
-            out = w
-            for a, b in (("@", "a"), ("+", "t"), ("!", "i"), ("ſ", "f"), ("^", ""), ("~", ""), ("|", "l"), ("¦", "")):
-                out = out.replace(a, b)
-            for a, b in (("0", "o"), ("1", "l"), ("5", "s"), ("8", "b")):
-                out = re.sub(rf"(?<=[^\W\d_]){a}|{a}(?=[^\W\d_])", b, out)
-            return out if out != w else None
+            return self.likeliest(w)
         return None
 
+    def likeliest(self, w: str) -> str | None:
+        """A word whose every digit or sign is replaced by the glyph with the likeliest letter pairs; None if one can't be."""
+        out = w
+        for i in range(len(w) - 1, -1, -1):
+            if w[i].isalpha() and w[i] != "ſ" or w[i] in "-’'":
+                continue
+            options = [out[:i] + b + out[i + 1:] for b in self.edits.get(w[i], ())]
+            if not options:
+                return None
+            out = max(options, key=lambda x: np.mean([self.letters.get(p, self.no_letters) for p in zip("^" + x.lower(), x.lower() + "$")]))
+        return out if out != w else None
+
     def _passes(self, raw: str) -> bool:
         """Whether a token stays as it is in any context; such tokens are kept in a bounded set."""
         w = _bare(raw)
-        ok = len(w) < 4 or w.lower() in self.n or not w.isascii() and ord(w[0]) > 0x2E7F or self.correct(w, []) is None
+        low = w.lower()
+        ok = len(w) < 3 or low in self.n or not w.isascii() and ord(w[0]) > 0x2E7F or not (
+            self.neighbours(low) or _SYMBOL.search(w) or _DIGIT.search(w) or "-" in low.strip("-") and any(p not in self.n and len(p) > 3 and self.neighbours(p) for p in low.split("-")))
         if ok:
             if len(self.clean) > 1_000_000:
                 self.clean.clear()
@@ -246,38 +341,43 @@ class Repairer:
             if len(t) < 6 or len(s) < 6:
                 continue
             wide = ord(t[0]) > 0x2E7F
-            head = t[:6] if wide else t[:12]
-            at = s.find(head)
-            if at < 0:
-                continue
-            k = len(head)
-            while k < len(t) and at + k < len(s) and t[k] == s[at + k]:
-                k += 1
-            most = min(64, 2 * k) if k >= 22 and _SET_OFF.search(line) else min(48, k)
-            if (k >= (7 if wide else 15) or k == len(t)) and len(s) - k <= max(12, most):
-                return True
+            step = 6 if wide else 12
+            # the beginning, or, where it is misread, what follows it
+            for start in (0, step) if len(t) >= 2 * step + 3 else (0,):
+                at = s.find(t[start:start + step])
+                if at < 0:
+                    continue
+                k = step
+                while start + k < len(t) and at + k < len(s) and t[start + k] == s[at + k]:
+                    k += 1
+                if start:  # the misread beginning belongs to it
+                    if at < start or sum(x == y for x, y in zip(t[:start], s[at - start:at])) < start // 2:
+                        continue
+                    k += start
+                most = min(64, 2 * k) if k >= 22 and _SET_OFF.search(line) else min(48, k)
+                if (k >= (7 if wide else 15) or k == len(t)) and len(s) - k <= max(12, most):
+                    return True
         return False
 
-    def furniture(self, line: str, titles: tuple[str, ...]) -> bool:
-        if not line or len(line) > 200:
+    def furniture(self, line: str, titles: tuple[str, ...], page: int | None = None, offset: int | None = None) -> bool:
+        if not line:
             return False
-        if len(line) < 40:
-            if _PAGE.match(line):
-                return True
-            m = _PAGE_BOX.match(line)
-            if m:
-                return int(m.group(1)) > 60
+        if _PAGE.match(line):
+            return True
+        m = _PAGE_BOX.match(line)
+        if m:
+            return page is not None and offset is not None and int(m.group(1)) - page == offset
         return bool(titles) and self.header(line, titles)
 
-    def repair(self, text: str | None, titles: tuple[str, ...]) -> tuple[bool, str | None]:
-        """(affected, repaired text)."""
+    def repair(self, text: str | None, titles: tuple[str, ...], page: int | None = None, offset: int | None = None) -> tuple[bool, str | None]:
+        """(affected, repaired text). ``offset`` is how far the paper's printed page numbers are from its pages."""
         if not text:
             return False, text
         affected = False
         kept = []
         lines = text.split("\n")
         for line in lines:
-            if len(lines) > 1 and self.furniture(line, titles):
+            if len(lines) > 1 and self.furniture(line, titles, page, offset):
                 affected = True
             else:
                 kept.append(line)
@@ -301,12 +401,17 @@ class Repairer:
         tokens = list(_TOKEN.finditer(text))
         out, last = [], 0
         low = [_bare(t.group()).lower() for t in tokens]
+        around: dict[str, list[str]] = {}
+        for i, m in enumerate(tokens):  # all occurrences in the text make a rare word's vector
+            if m.group() in suspects:
+                around.setdefault(low[i], []).extend(low[max(0, i - AROUND):i] + low[i + 1:i + AROUND + 1])
+        vectors = {w: self.context(x) for w, x in around.items()}
         for i, m in enumerate(tokens):
             raw = m.group()
             if raw not in suspects:
                 continue
             w = _bare(raw)
-            fixed = self.correct(w, low[max(0, i - 4):i] + low[i + 1:i + 5])
+            fixed = self.correct(w, vectors[low[i]])
             if fixed is not None and fixed != w:
                 s = m.start() + raw.index(w)
                 out += [text[last:s], fixed]
@@ -333,32 +438,63 @@ def _squeeze(s: str) -> str:
 _READY: dict[str, Repairer] = {}
 
 
-def learn(chunks: DataFrame, refs: DataFrame) -> tuple[list[str], list[int], np.ndarray, np.ndarray]:
-    """Frequent words, their counts, word vectors and context vectors; sizes are bounded by the shares."""
+def learn(chunks: DataFrame, refs: DataFrame) -> tuple:
+    """Frequent words, their counts, word and context vectors, mean and deviation of their similarity with their own and a foreign context, their mean contexts.
+
+    The sizes are bounded by the shares.
+    """
     texts = _texts(chunks, refs)
     counts = materialize(word_counts(texts))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows = counts.where(F.col("n") >= max(LEAST, WORD_SHARE * total)).orderBy("w").toPandas()
     vocab = dict(zip(rows["w"], range(len(rows))))
-    pairs = pair_counts(texts, vocab)
-    pairs = materialize(pairs)
+    pairs = materialize(pair_counts(texts, vocab))
     all_pairs = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     p = pairs.where(F.col("n") >= max(2, PAIR_SHARE * all_pairs)).orderBy("pair").toPandas()
     u, v = skip_gram(p["pair"].to_numpy(np.int64), p["n"].to_numpy(np.float64), len(vocab))
-    return list(vocab), rows["n"].tolist(), u, v
+    # the contexts of frequent words, from all their pairs
+    pair, n = p["pair"].to_numpy(np.int64), p["n"].to_numpy(np.float64)
+    a, size = pair // max(len(vocab), 1), len(vocab)
+    contexts = np.stack([np.bincount(a, n * v[pair % max(size, 1), d], size) for d in range(DIM)], 1) / np.maximum(np.bincount(a, n, size), 1)[:, None]
+    spread = []
+    for r in sorted(context_scores(texts, vocab, u, v).collect(), key=lambda r: r.kind):
+        mean = r.s / max(r.n, 1.0)
+        spread.append((mean, max(r.q / max(r.n, 1.0) - mean * mean, 1e-4) ** 0.5))
+    return list(vocab), rows["n"].tolist(), u, v, *(spread or [(0.0, 1.0)] * 2), contexts.astype(np.float32)
+
+
+def page_offsets(rows: DataFrame) -> DataFrame:
+    """(doc_hash, offset): how far most of a paper's printed page numbers are from its pages.
+
+    At least two must agree; the corpus' usual offset, if most papers have it, holds for papers with fewer.
+    """
+    n = F.explode(F.regexp_extract_all("text", F.lit(PAGE_LINE), F.lit(1)))
+    x = rows.where(F.col("page").isNotNull() & F.col("text").contains("\n")).select("doc_hash", "page", n.alias("n"))
+    x = x.groupBy("doc_hash", (F.col("n").cast("int") - F.col("page")).alias("offset")).agg(F.count("*").alias("n"))
+    x = x.groupBy("doc_hash").agg(F.max_by("offset", F.struct("n", "offset")).alias("own"), F.max("n").alias("n"))
+    x = materialize(x.select("doc_hash", F.when(F.col("n") >= 2, F.col("own")).alias("own")))
+    usual = x.where("own is not null").groupBy("own").agg(F.count("*").alias("n")).agg(F.max_by("own", F.struct("n", "own")).alias("usual"), (F.max("n") * 2 > F.sum("n")).alias("most")).first()
+    return x.select("doc_hash", F.coalesce("own", F.lit(usual.usual if usual.most else None).cast("int")).alias("offset"))
 
 
 def repaired(chunks: DataFrame, refs: DataFrame, manifest: DataFrame) -> DataFrame:
     """(tab_name, row_id, affected, text) of all chunks and entries."""
-    model = chunks.sparkSession.sparkContext.broadcast(learn(chunks, refs))
+    spark = chunks.sparkSession
+    model = spark.sparkContext.broadcast(learn(chunks, refs))
     key = uuid.uuid4().hex
+    page = lambda df: F.col("page").cast("int") if "page" in df.columns else F.lit(None).cast("int")
+    rows = chunks.select(F.lit("chunks").alias("tab_name"), F.col("chunk_id").cast("bigint").alias("row_id"), "doc_hash", page(chunks).alias("page"), "text", "title").unionByName(
+        refs.select(F.lit("extracted_refs").alias("tab_name"), F.col("ref_id").cast("bigint").alias("row_id"), "doc_hash", page(refs).alias("page"), F.col("raw").alias("text"), F.lit(None).cast("string").alias("title")))
     titles = manifest.where("title is not null").groupBy("doc_hash").agg(F.collect_set("title").alias("titles"))
-    rows = chunks.select(F.lit("chunks").alias("tab_name"), F.col("chunk_id").cast("bigint").alias("row_id"), "doc_hash", "text", "title").unionByName(
-        refs.select(F.lit("extracted_refs").alias("tab_name"), F.col("ref_id").cast("bigint").alias("row_id"), "doc_hash", F.col("raw").alias("text"), F.lit(None).cast("string").alias("title")))
+    papers = titles.join(page_offsets(rows), "doc_hash", "full_outer")
+    # only a text of several lines can hold furniture: the others don't meet their paper
+    several = F.coalesce(F.col("text").contains("\n"), F.lit(False))
     # a paper with very many rows is spread over SALTS keys; titles are one short row a paper
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)))
-    titles = titles.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    rows = rows.join(titles, ["doc_hash", "salt"], "left").select("tab_name", "row_id", "text", "title", "titles")
+    salted = rows.where(several).withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)))
+    papers = papers.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    cols = ["tab_name", "row_id", "text", "title", "titles", "page", "offset"]
+    lined = salted.join(papers, ["doc_hash", "salt"], "left").select(*cols)
+    plain = rows.where(~several).withColumn("titles", F.lit(None).cast("array<string>")).withColumn("offset", F.lit(None).cast("int")).select(*cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _READY:
@@ -368,10 +504,10 @@ def repaired(chunks: DataFrame, refs: DataFrame, manifest: DataFrame) -> DataFra
         squeezed: dict[str, str] = {}
         for b in batches:
             hit, out = [], []
-            for tab, text, title, titles in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
+            for text, title, titles, page, offset in zip(*(b.column(k).to_pylist() for k in range(2, 7))):
                 own = tuple(squeezed.setdefault(t, _squeeze(t)) for t in {*(titles or ()), *([title] if title else ())})
-                a, t = r.repair(text, own)
+                a, t = r.repair(text, own, page, offset)
                 hit.append(a), out.append(t)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hit, pa.bool_()), pa.array(out, pa.string())], ["tab_name", "row_id", "affected", "text"])
 
-    return rows.mapInArrow(run, "tab_name string, row_id bigint, affected boolean, text string")
+    return lined.unionByName(plain).mapInArrow(run, "tab_name string, row_id bigint, affected boolean, text string")

@@ -1,7 +1,7 @@
 """Cases that an earlier form of an operator lost."""
 import random
 
-from folioforge.llm import linkage, names
+from folioforge.llm import linkage, names, scans
 from tests.llm.test_operators import REF, TRUTH
 
 
@@ -66,3 +66,29 @@ def test_entities_do_not_depend_on_the_size_of_a_component(spark, monkeypatch):
 
     monkeypatch.setattr(names, "BLOCK", 2, raising=False)
     assert found(2) == found(100_000) and {frozenset(people[i:i + 3]) for i in range(0, 12, 3)} <= found(2)
+
+
+# ---- 1
+def test_the_vectors_tell_a_misreading_from_a_word_that_looks_like_one(spark):
+    rng = random.Random(6)
+    fill = ["river", "basin", "upper", "lower", "chronic", "renal", "viral", "kelp", "coastal", "transect"]
+    rows = []
+    for i in range(400):
+        a, b, c, d = rng.sample(fill, 4)
+        rows.append(f"the {a} notes and the {b} notes were kept, a semi {'arid' if i % 8 == 0 else c} plain lay north, {d} counts among {a} counts rose")
+    rows += [f"the {rng.choice(fill)} counts amonq {rng.choice(fill)} counts rose" for _ in range(12)]  # frequent, yet misread
+    chunks = spark.createDataFrame([(i, "h", 1, i, t, None) for i, t in enumerate(rows)], "chunk_id bigint, doc_hash string, page int, idx int, text string, title string")
+    refs = spark.createDataFrame([], "ref_id bigint, doc_hash string, raw string")
+    model = scans.learn(chunks, refs)
+    with_vectors, without = scans.Repairer(*model), scans.Repairer(*model[:4])
+    assert with_vectors.repair("a semi arid plain", ()) == (False, "a semi arid plain") and without.repair("a semi arid plain", ())[0]
+    assert with_vectors.repair("the viral counts amonq renal counts rose", ()) == (True, "the viral counts among renal counts rose")
+
+
+def test_numbers_in_brackets_are_page_numbers_by_the_papers_other_ones(spark):
+    rows = [(1, "h", 3, "one\n103\ntwo"), (2, "h", 4, "one\n[104]\ntwo"), (3, "h", 5, "one\n[12]\ntwo"), (4, "g", 9, "one\n[2]\ntwo"), (5, "h", 6, "one\n106\ntwo"), (6, None, None, "one\n[7]\ntwo"), (7, "h", None, None)]
+    chunks = spark.createDataFrame([(*r, None) for r in rows], "chunk_id bigint, doc_hash string, page int, text string, title string")
+    refs = spark.createDataFrame([], "ref_id bigint, doc_hash string, page int, raw string")
+    man = spark.createDataFrame([], "doc_hash string, title string")
+    got = {r.row_id: r.affected for r in scans.repaired(chunks, refs, man).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False, 5: True, 6: False, 7: False}
