@@ -4,11 +4,11 @@ Method: skip-gram vectors (negative sampling) are learnt from the corpus' aggreg
 objective depends on the pair counts only, so the learning step has a fixed size. A rare word gets a vector
 too, the mean of the context vectors around its occurrences in a text. It is linked to those frequent words
 that are its neighbours in the vector space and one or two plausible glyph edits away: the likelihood of its
-similarity among words in their own context, against that among words in a foreign one, is weighed with the
-chance that a genuine word of its length lies so near a frequent one by accident. Both distributions are
-counted over all texts. The best neighbour corrects the word. Then running headers and page numbers are
-removed, words broken at line ends are joined where the hyphen isn't their own (corpus counts of the joined
-and the hyphenated form decide), and lines are reflowed into paragraphs.
+similarity among words of one context, against that among words of different ones, is weighed with the
+chance that a genuine word of its length lies so near a frequent one by accident. The best neighbour corrects
+the word. A frequent word is a misreading of a far more frequent one, an edit away, where their mean contexts
+agree. Then running headers and page numbers are removed, words broken at line ends are joined where the hyphen
+isn't their own (corpus counts of the joined and the hyphenated form decide), and lines are reflowed.
 
 A digit or sign within a word is a misreading whatever the word; where no frequent word is near (names), the
 glyph whose letter pairs are the likeliest among the corpus' words replaces it.
@@ -165,35 +165,20 @@ def skip_gram(pair: np.ndarray, n: np.ndarray, size: int, seed: int = 7) -> tupl
     return u, v
 
 
-def context_scores(texts: DataFrame, vocab: dict[str, int], u: np.ndarray, v: np.ndarray) -> DataFrame:
-    """(kind, n, s, q): number, sum and sum of squares of the similarities of frequent words with their own context (0) and another word's (1)."""
+def context_scores(pair: np.ndarray, n: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[tuple[float, float], tuple[float, float]]:
+    """Mean and deviation of the similarity of a word with a word of its own context, and with one of a foreign context.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 3))
-        for b in batches:
-            ids: list[int] = []
-            for t in b.column(0).to_pylist():
-                ids += [vocab.get(w, -1) for w in words(t.lower())]
-                ids += [-1] * AROUND
-            a = np.array(ids, np.int64)
-            for k in range(0, len(a), 200_000):
-                part = a[max(0, k - AROUND):k + 200_000 + AROUND]
-                if len(part) <= 2 * AROUND:
-                    continue
-                known = part >= 0
-                ctx = np.where(known[:, None], v[np.maximum(part, 0)], 0).astype(np.float64)
-                run_sum, run_n = np.cumsum(np.vstack([np.zeros(DIM), ctx]), 0), np.cumsum(np.append(0, known))
-                at = np.arange(AROUND, len(part) - AROUND)
-                q = run_sum[at + AROUND + 1] - run_sum[at - AROUND] - ctx[at]
-                n = run_n[at + AROUND + 1] - run_n[at - AROUND] - known[at]
-                ok = known[at] & (n > 0)
-                own, q = part[at][ok], q[ok] / n[ok][:, None]
-                for kind, x in enumerate((own, np.roll(own, len(own) // 2 + 1))):
-                    d = (u[x] * q).sum(1)
-                    total[kind] += len(d), d.sum(), (d * d).sum()
-        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), *(pa.array(total[:, k]) for k in range(3))], ["kind", "n", "s", "q"])
-
-    return texts.mapInArrow(run, "kind int, n double, s double, q double").groupBy("kind").agg(*[F.sum(c).alias(c) for c in "nsq"])
+    The first over all learnt pairs, the second over all words independently; both weighted by their counts.
+    """
+    size = len(u)
+    if not len(pair):
+        return (0.0, 1.0), (0.0, 1.0)
+    a, b, w = pair // size, pair % size, n / n.sum()
+    x = (u[a] * v[b]).sum(1).astype(np.float64)
+    p, q = np.bincount(a, w, size), np.bincount(b, w, size)
+    own, far = float(w @ x), float((p @ u) @ (q @ v))
+    square = float(np.trace((u.T * p) @ u @ ((v.T * q) @ v)))
+    return (own, max(float(w @ (x * x)) - own * own, 1e-4) ** 0.5), (far, max(square - far * far, 1e-4) ** 0.5)
 
 
 def _cosine(a: np.ndarray, b: np.ndarray) -> float:
@@ -263,18 +248,18 @@ class Repairer:
         return out
 
     def context(self, around: list[str]) -> np.ndarray | None:
-        """The vector of a rare word: the mean of the context vectors around it; None without a known word there."""
+        """The context vectors around a rare word, whose mean is its own vector; None without a known word there."""
         ids = [i for x in around if (i := self.id.get(x)) is not None]
-        return self.v[ids].mean(0) if ids else None
+        return self.v[ids] if ids else None
 
     def odds(self, w: str, cand: str, edits: int, sure: bool, context: np.ndarray | None) -> float:
         """Log-odds that a rare word is a misreading of a frequent one."""
         accident = self.accident[min(len(w), 12)]
         out = np.log(MISREAD) - np.log(1e-4 if sure else min(1.0, accident * 30 ** (edits - 1)))
         if context is not None and cand in self.id:
-            x = float(self.u[self.id[cand]] @ context)
+            x = context @ self.u[self.id[cand]]
             log_p = lambda m, d: -0.5 * ((x - m) / d) ** 2 - np.log(d)
-            out += log_p(*self.own) - log_p(*self.foreign)
+            out += (log_p(*self.own) - log_p(*self.foreign)).mean() * len(x) ** 0.5
         return float(out)
 
     def correct(self, w: str, context: np.ndarray | None) -> str | None:
@@ -427,12 +412,21 @@ def reflow(text: str) -> str:
     return "\n\n".join(re.sub(r"(?<=[぀-ヿ一-鿿。])\n(?=[぀-ヿ一-鿿])", "", p).replace("\n", " ").strip() if not re.search(r"^\s*(?:\d+[.)]|[-•*])\s", p, re.M) else p for p in paras)
 
 
+class _Folds(dict):
+    """Letters and digits of each character's decomposition, filled as characters are met."""
+
+    def __missing__(self, cp: int) -> str:
+        out = self[cp] = "".join(c for c in unicodedata.normalize("NFKD", chr(cp)) if c.isalnum())
+        return out
+
+
+_FOLDS = _Folds()
+
+
 def _squeeze(s: str) -> str:
     """Letters and digits only, folded."""
-    if s.isascii():
-        return _NOT_ALNUM.sub("", s.lower())
-    s = "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c))
-    return "".join(c for c in s if c.isalnum())
+    s = s.lower()
+    return _NOT_ALNUM.sub("", s) if s.isascii() else s.translate(_FOLDS)
 
 
 _READY: dict[str, Repairer] = {}
@@ -456,11 +450,7 @@ def learn(chunks: DataFrame, refs: DataFrame) -> tuple:
     pair, n = p["pair"].to_numpy(np.int64), p["n"].to_numpy(np.float64)
     a, size = pair // max(len(vocab), 1), len(vocab)
     contexts = np.stack([np.bincount(a, n * v[pair % max(size, 1), d], size) for d in range(DIM)], 1) / np.maximum(np.bincount(a, n, size), 1)[:, None]
-    spread = []
-    for r in sorted(context_scores(texts, vocab, u, v).collect(), key=lambda r: r.kind):
-        mean = r.s / max(r.n, 1.0)
-        spread.append((mean, max(r.q / max(r.n, 1.0) - mean * mean, 1e-4) ** 0.5))
-    return list(vocab), rows["n"].tolist(), u, v, *(spread or [(0.0, 1.0)] * 2), contexts.astype(np.float32)
+    return list(vocab), rows["n"].tolist(), u, v, *context_scores(pair, n, u, v), contexts.astype(np.float32)
 
 
 def page_offsets(rows: DataFrame) -> DataFrame:
