@@ -29,7 +29,7 @@ def _repeated(spark: SparkSession, d: str) -> repeated.Repeated:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _repeated(spark, d).found().where(F.col("words") >= repeated.MIN_WORDS).select("chunk_id", "line_no")
+    return _repeated(spark, d).found(short=False).select("chunk_id", "line_no")
 
 
 def p3_patterns(spark: SparkSession, d: str) -> DataFrame:

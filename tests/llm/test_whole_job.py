@@ -1,7 +1,7 @@
 """Cases that an earlier form of an operator lost."""
 import random
 
-from folioforge.llm import linkage, names, scans
+from folioforge.llm import linkage, names, repeated, scans
 from tests.llm.test_operators import REF, TRUTH
 
 
@@ -92,3 +92,43 @@ def test_numbers_in_brackets_are_page_numbers_by_the_papers_other_ones(spark):
     man = spark.createDataFrame([], "doc_hash string, title string")
     got = {r.row_id: r.affected for r in scans.repaired(chunks, refs, man).collect()}
     assert got == {1: True, 2: True, 3: False, 4: False, 5: True, 6: False, 7: False}
+
+
+# ---- 3
+def test_sequences_equal_a_brute_force_search(spark):
+    rng = random.Random(11)
+    notices = [f"notice {c} of the house about its own terms" for c in ("one", "two", "three", "four", "five")] + ["all rights", "see terms"]
+    rows, man = [], []
+    for paper in range(24):
+        pub = ("North", "South", None)[paper % 3]
+        man += [(f"h{paper}", pub), (f"h{paper}", pub if paper % 2 else None)]
+        for idx in range(3):
+            own = [f"body words {paper} {idx} {rng.choice(['kelp', 'reef', 'moss', 'fjord'])} are different {rng.random()} lines here {'abcdefgh'[paper % 8]}{'xyzuvw'[idx]}"]
+            start = rng.randrange(len(notices))
+            rows.append((paper * 10 + idx, f"h{paper}", idx, "\n".join(notices[start:start + rng.randint(0, 5)] + own)))
+    rows += [(900, "h0", 9, None), (901, "h0", 10, ""), (902, None, 0, notices[0])]
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, doc_hash string, idx int, text string")
+    r = repeated.Repeated(chunks, spark.createDataFrame(man, "doc_hash string, publisher string"), min_papers=2, min_share=0.1)
+    pub_of = {h: p for h, p in man if p}
+    papers: dict = {}
+    for i, h, idx, t in sorted(rows, key=lambda x: (x[1] or "", x[2])):
+        if h in pub_of:
+            seq = papers.setdefault((pub_of[h], h), [])
+            seq += [x for x in (t or "").split("\n") if x]
+
+    def support(sequences):
+        n: dict = {}
+        for (p, h), seq in sequences.items():
+            seen = {tuple(seq[i:j]) for i in range(len(seq)) for j in range(i + 1, len(seq) + 1)}
+            for x in seen:
+                n[p, x] = n.get((p, x), 0) + 1
+        return {k: v for k, v in n.items() if v >= 2 and v >= 0.1 * sum(1 for q, _ in sequences if q == k[0])}
+
+    single = {k for k in support({k: list(v) for k, v in papers.items()}) if len(k[1]) == 1}
+    want = support({(p, h): list(dict.fromkeys(x for x in seq if (p, (x,)) in single)) for (p, h), seq in papers.items()})
+    got = [(x.publisher, len(x.pattern), x.papers) for x in r.patterns().collect()]
+    assert sorted(got) == sorted((p, len(x), n) for (p, x), n in want.items()) and max(n for _, n, _ in got) >= 4
+    short = {(p, x) for (p, seq) in want if any(len(y.split()) >= 5 for y in seq) for x in seq}
+    lines = {(i, k) for i, h, _, t in rows if h in pub_of for k, x in enumerate((t or "").split("\n"), 1) if (pub_of[h], x) in short}
+    assert {(x.chunk_id, x.line_no) for x in r.found().collect()} == lines
+    assert {(x.chunk_id, x.line_no) for x in r.found(short=False).collect()} == {(i, k) for i, k in lines if len(next(t for j, _, _, t in rows if j == i).split("\n")[k - 1].split()) >= 5}
