@@ -22,7 +22,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_VOCAB = "/opt/tokenizers/byte_bpe_50k.json"
 CACHE_ENTRIES = 400_000
@@ -225,14 +226,25 @@ def _split(text: str) -> list[str]:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+_SENT: set[tuple[str, str]] = set()
 
 
 def encoder(path: str = DEFAULT_VOCAB) -> Encoder:
+    """The encoder of a vocabulary file; on a worker, of the copy that ``send`` gave it."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        sent = Path(SparkFiles.get(Path(path).name)) if SparkFiles._is_running_on_worker else Path(path)
+        _ENCODERS[path] = Encoder(str(sent if sent.exists() else path))
     return _ENCODERS[path]
 
 
+def send(spark: SparkSession, path: str) -> None:
+    """Give the executors the vocabulary file, once for each application: they need no copy at that path."""
+    sc = spark.sparkContext
+    if (sc.applicationId, path) not in _SENT and Path(path).exists():
+        sc.addFile(path)
+        _SENT.add((sc.applicationId, path))
+
+
 def encode_table(df: DataFrame, id_col: str, text_col: str, vocab: str = DEFAULT_VOCAB) -> DataFrame:
     """(id_col, ids array<int>) for each row; a map over partitions without any shuffle."""
 
@@ -244,6 +256,7 @@ def encode_table(df: DataFrame, id_col: str, text_col: str, vocab: str = DEFAULT
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), ids], [id_col, "ids"])
 
+    send(df.sparkSession, vocab)
     kind = dict(df.dtypes)[id_col]
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 

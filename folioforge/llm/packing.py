@@ -1,14 +1,19 @@
 """Fill fixed-capacity containers with texts measured in tokens (problem 8).
 
-Method: mixture-controlled packing. Texts stand in one queue per source; a deficit round-robin draws
-from the queues so that every window holds the sources in their target token proportions. What a
-source did not get in a window stays in its deficit: it is carried to the next window and, through
-running sums over the lanes, to the next partition. Each window is packed best-fit decreasing into
-the containers still open, so that windows leave no gaps behind; the few containers a lane leaves
-under-filled are packed again in a second pass over groups of lanes.
+Method: mixture-controlled packing. Texts stand in one queue per source, in an order given by a hash. A deficit
+round-robin draws from the queues so that every window holds the sources in their target token proportions: in
+each window a source may take as many tokens as its target share of the window; an item that reaches beyond it
+is charged to the next window, so what a source got too much or too little in one window is carried to the next.
+As a queue's items are drawn in order, the window of an item follows from the tokens before it in its queue:
+running sums over partitions and inside them give every item's window without a queue ever being in one place,
+and deficits are carried over all windows and partitions. A source whose queue is empty leaves the others their
+proportions. Each window is packed best-fit decreasing into containers of its own.
 
-A lane is a hash-salted share of all pieces of about ``lane_tokens`` tokens, so a source that holds a
-third of all rows spreads over all lanes and no task grows with the data.
+Targets are the sources' shares of all tokens unless given. A source without a target comes in windows of its
+own after the others.
+
+Scale: a window has about ``window_tokens`` tokens, so no task grows with the data, and a source that holds a
+third of all rows spreads over all windows.
 
 Defined results: null and empty texts are left out; a text longer than the capacity is cut into
 pieces of exactly the capacity and one rest; other texts are never split; a null source is a source
@@ -17,7 +22,6 @@ of its own; repeated rows are separate items; an empty table gives an empty resu
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,13 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.bpe import DEFAULT_VOCAB, encoder
+from folioforge.llm.bpe import DEFAULT_VOCAB, encoder, send
 from folioforge.session import materialize
 
-OUT = "doc_id bigint, piece int, start_token bigint, n_tokens int, source string, container_id bigint"
-#: Containers filled less than this share at the end of a lane go to the second pass.
-TAIL_FILL = 0.97
-LANE_BLOCK, TAIL_GROUP = 1024, 256
+WINDOW_TOKENS = 4_000_000
 
 
 def token_pieces(df: DataFrame, capacity: int, vocab: str = DEFAULT_VOCAB) -> DataFrame:
@@ -48,6 +49,7 @@ def token_pieces(df: DataFrame, capacity: int, vocab: str = DEFAULT_VOCAB) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32()))],
                                              ["doc_id", "source", "piece", "start_token", "n_tokens"])
 
+    send(df.sparkSession, vocab)
     return df.select(F.col("doc_id").cast("bigint"), "text", "source").where("text is not null and text != ''").mapInArrow(
         run, "doc_id bigint, source string, piece int, start_token bigint, n_tokens int")
 
@@ -69,76 +71,50 @@ class Bins:
         return k
 
 
-def windows(sizes: list[int], sources: list, share: dict, carry: dict, window_tokens: int) -> Iterator[list[int]]:
-    """Positions of the items of each window, drawn by deficit round-robin; ``carry`` is updated."""
-    queues: dict = {}
-    for i, s in enumerate(sources):
-        queues.setdefault(s, deque()).append(i)
-    order = sorted(queues, key=lambda s: (s is None, s or ""))
-    while any(queues.values()):
-        live = sum(share.get(s, 0.0) for s in order if queues[s]) or 1.0
-        drawn: list[int] = []
-        for s in order:
-            q = queues[s]
-            if not q:
-                continue
-            carry[s] = carry.get(s, 0.0) + window_tokens * max(share.get(s, 0.0), 1e-9) / live
-            while q and sizes[q[0]] <= carry[s]:
-                carry[s] -= sizes[q[0]]
-                drawn.append(q.popleft())
-        if drawn:
-            yield drawn
-
-
-def pack_lane(items: pd.DataFrame, quota: pd.DataFrame, capacity: int, window_tokens: int) -> pd.DataFrame:
-    """Pack one lane; ``quota`` has the share and the carried deficit of each source."""
-    items = items.sort_values(["salt", "doc_id", "piece"], kind="mergesort").reset_index(drop=True)
-    sources = [None if pd.isna(s) else s for s in items["source"]]
-    names = [None if pd.isna(s) else s for s in quota["q_source"]]
-    share, carry = dict(zip(names, quota["share"])), dict(zip(names, quota["carry"]))
-    sizes, bins, where = items["n_tokens"].tolist(), Bins(capacity), [0] * len(items)
-    for window in windows(sizes, sources, share, carry, window_tokens):
-        for i in sorted(window, key=lambda i: (-sizes[i], i)):
-            where[i] = bins.put(sizes[i])
-    items["container"] = where
-    fill = items.groupby("container")["n_tokens"].transform("sum")
-    items["tail"] = fill < TAIL_FILL * capacity
-    return items
-
-
-def pack(df: DataFrame, capacity: int = 2048, vocab: str = DEFAULT_VOCAB, lane_tokens: int = 4_000_000, window_containers: int = 128) -> DataFrame:
-    """Container of each text or piece; see the module's docstring. ``df`` has doc_id, text, source."""
-    spark = df.sparkSession
+def draw(pieces: DataFrame, total: int, window_tokens: int, targets: dict[str | None, float] | None) -> DataFrame:
+    """``pieces`` with the window_id in which the deficit round-robin draws each of them."""
+    spark = pieces.sparkSession
+    parts = max(1, -(-total // window_tokens))
+    x = pieces.withColumn("salt", F.xxhash64("doc_id", "piece", "start_token")).withColumn("part", F.pmod("salt", F.lit(parts)))
+    had = x.groupBy("part", "source").agg(F.sum("n_tokens").alias("had"))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    had = had.withColumn("before", F.coalesce(F.sum("had").over(before), F.lit(0)))
+    queues = had.groupBy("source").agg(F.sum("had").alias("all"))
+    if targets is None:
+        queues = queues.select("source", (F.col("all") / F.lit(float(max(total, 1)))).alias("share"), F.lit(0).alias("first"))
+    else:
+        if min(targets.values(), default=0) < 0:
+            raise ValueError("targets are shares of 0 or more")
+        whole = sum(targets.values()) or 1.0
+        given = spark.createDataFrame([(k, v / whole) for k, v in targets.items() if v > 0], "name string, share double")
+        queues = queues.join(given, F.col("source").eqNullSafe(F.col("name")), "left").drop("name")
+        # the windows that the sources with a target need; the others follow
+        last = queues.where("share is not null").agg(F.max(F.ceil(F.col("all") / (F.col("share") * window_tokens)))).first()[0] or 0
+        rest = queues.where("share is null").agg(F.sum("all")).first()[0] or 1
+        queues = queues.select("source", F.coalesce("share", F.col("all") / F.lit(float(rest))).alias("share"), F.when(F.col("share").isNull(), int(last)).otherwise(0).alias("first"))
+    offsets = had.join(queues.withColumnRenamed("source", "q_source"), F.col("source").eqNullSafe(F.col("q_source"))).select(
+        F.col("part").alias("q_part"), "q_source", "before", "share", "first")
+    x = x.join(offsets, (F.col("part") == F.col("q_part")) & F.col("source").eqNullSafe(F.col("q_source"))).drop("q_part", "q_source")
+    own = Window.partitionBy("part", "source").orderBy("salt", "doc_id", "piece", "start_token").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("before") + F.coalesce(F.sum("n_tokens").over(own), F.lit(0))
+    return x.withColumn("window_id", F.col("first") + F.floor(at / (F.col("share") * window_tokens))).select(*pieces.columns, "salt", "window_id")
+
+
+def pack(df: DataFrame, capacity: int = 2048, vocab: str = DEFAULT_VOCAB, window_tokens: int = WINDOW_TOKENS, targets: dict[str | None, float] | None = None) -> DataFrame:
+    """(doc_id, piece, start_token, n_tokens, source, window_id, container_id) of each text or piece.
+
+    ``df`` has doc_id, text, source; ``targets`` are the sources' shares of each window's tokens.
+    """
     pieces = materialize(token_pieces(df, capacity, vocab))
-    total = pieces.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    lanes = max(1, -(-int(total) // lane_tokens))
-    pieces = pieces.withColumn("salt", F.xxhash64("doc_id", "piece")).withColumn("lane", F.pmod("salt", F.lit(lanes)))
-    # quotas: what a source should have had before this lane, less what it had (within a block of lanes)
-    had = pieces.groupBy("lane", "source").agg(F.sum("n_tokens").alias("had"))
-    by_source = had.groupBy("source").agg((F.sum("had") / F.lit(float(max(total, 1)))).alias("share"))
-    block = F.floor(F.col("lane") / LANE_BLOCK)
-    lane_sum = had.groupBy("lane").agg(F.sum("had").alias("lane_had"))
-    before = Window.partitionBy(block).orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
-    lane_sum = lane_sum.withColumn("lane_before", F.coalesce(F.sum("lane_had").over(before), F.lit(0)))
-    mine = Window.partitionBy("source", block).orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
-    quota = (had.withColumn("before", F.coalesce(F.sum("had").over(mine), F.lit(0)))
-             .join(by_source.withColumnRenamed("source", "src"), F.col("source").eqNullSafe(F.col("src"))).drop("src")
-             .join(lane_sum, "lane")
-             .select(F.col("lane").alias("q_lane"), F.col("source").alias("q_source"), "share", (F.col("share") * F.col("lane_before") - F.col("before")).alias("carry")))
-    window_tokens = window_containers * capacity
-
-    def lane(items: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        return pack_lane(items, q, capacity, window_tokens)
-
-    packed = materialize(pieces.groupBy("lane").cogroup(quota.groupBy("q_lane")).applyInPandas(
-        lane, "doc_id bigint, source string, piece int, start_token bigint, n_tokens int, salt bigint, lane bigint, container int, tail boolean"))
-
-    def rest(items: pd.DataFrame) -> pd.DataFrame:
+    total = int(pieces.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0])
+
+    def fill(items: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values(["n_tokens", "salt", "doc_id", "piece"], ascending=[False, True, True, True], kind="mergesort")
         bins = Bins(capacity)
         items["container"] = [bins.put(n) for n in items["n_tokens"].tolist()]
         return items
 
-    ends = packed.where("tail").withColumn("lane", F.lit(lanes) + F.floor(F.col("lane") / TAIL_GROUP)).groupBy("lane").applyInPandas(rest, packed.schema)
-    ident = (F.shiftleft(F.col("lane"), 24) + F.col("container")).alias("container_id")
-    return packed.where("not tail").unionByName(ends).select("doc_id", "piece", "start_token", "n_tokens", "source", ident)
+    drawn = draw(pieces, total, window_tokens, targets)
+    packed = drawn.groupBy("window_id").applyInPandas(fill, "doc_id bigint, source string, piece int, start_token bigint, n_tokens int, salt bigint, window_id bigint, container int")
+    ident = (F.shiftleft(F.col("window_id"), 24) + F.col("container")).alias("container_id")
+    return packed.select("doc_id", "piece", "start_token", "n_tokens", "source", "window_id", ident)

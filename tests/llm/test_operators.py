@@ -44,7 +44,7 @@ def test_packing_is_complete_within_capacity_and_near_the_bound(spark):
     word = "alpha beta gamma delta "
     rows = [(i, word * rng.randint(1, 20), "big" if i % 3 else None) for i in range(900 - 1)] + [(900, word * 3000, "long"), (901, None, "x"), (902, "", "x"), (903, "tie", "x"), (903, "tie", "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("lane", F.lit("clash"))
-    out = packing.pack(df, capacity=256, lane_tokens=8000, window_containers=8).toPandas()
+    out = packing.pack(df, capacity=256, window_tokens=8000).toPandas()
     assert out.groupby("container_id")["n_tokens"].sum().max() <= 256
     want = {(i, s): bpe.encoder().count(t) for i, t, s in rows if t}
     got = out.drop_duplicates(["doc_id", "piece"]).groupby("doc_id")["n_tokens"].sum()
@@ -58,16 +58,29 @@ def test_packing_is_complete_within_capacity_and_near_the_bound(spark):
     for n in sorted(one["n_tokens"], reverse=True):
         best.put(n)
     assert one["n_tokens"].sum() == out["n_tokens"].sum() and one["container_id"].nunique() <= best.n + 2
-    assert packing.pack(df.limit(0)).count() == 0
-
-
-def test_windows_hold_target_proportions_and_carry():
-    sizes, sources = [10] * 300, ["a"] * 200 + ["b"] * 100
-    w = list(packing.windows(sizes, sources, {"a": 2 / 3, "b": 1 / 3}, {}, 300))
-    for win in w[:-2]:
-        share = sum(sources[i] == "a" for i in win) / len(win)
-        assert abs(share - 2 / 3) < 0.1
-    assert sorted(i for win in w for i in win) == list(range(300))
+    assert set(out["window_id"]) == set(range(out["window_id"].max() + 1)) and out.groupby("container_id")["window_id"].nunique().max() == 1
+    assert packing.pack(df.limit(0)).count() == 0 and packing.pack(df, capacity=256, targets={"big": 1.0}).count() == len(out)
+
+
+@pytest.mark.parametrize("targets", [None, {"a": 0.2, "b": 0.5, None: 0.3}, {"b": 1.0, "a": 3.0}, {"b": 0.7, "a": 0.3, "none": 5.0}])
+def test_windows_hold_target_proportions_and_carry(spark, targets):
+    rng = random.Random(4)
+    rows = [(i, ("a", "a", "a", "b", "b", None)[i % 6], rng.randint(1, 60)) for i in range(3000)]
+    pieces = spark.createDataFrame([(i, s, 0, 0, n) for i, s, n in rows], "doc_id bigint, source string, piece int, start_token bigint, n_tokens int")
+    total, w = sum(n for *_, n in rows), 2000
+    out = packing.draw(pieces, total, w, targets).toPandas()
+    assert sorted(out["doc_id"]) == list(range(3000))
+    key = out["source"].where(out["source"].notna(), None).map(lambda x: "-" if x is None else x)
+    held = out.assign(source=key).pivot_table(index="window_id", columns="source", values="n_tokens", aggfunc="sum", fill_value=0)
+    all_ = {k: sum(n for _, s, n in rows if (s or "-") == k) for k in ("a", "b", "-")}
+    share = {k: v / total for k, v in all_.items()} if targets is None else {k or "-": v / sum(targets.values()) for k, v in targets.items()}
+    for k in ("a", "b", "-"):
+        if k in share:  # while the queue lasts, within one item of the target in every window, and over all windows up to it
+            last = held.index[held[k] > 0].max()
+            assert ((held.loc[:last - 1, k] - share[k] * w).abs() <= 60).all()
+            assert ((held.loc[:last - 1, k].cumsum() - share[k] * w * (held.loc[:last - 1].index + 1)).abs() <= 60).all()
+        else:  # sources without a target come after the others
+            assert held.index[held[k] > 0].min() > max(held.index[held[x] > 0].max() for x in ("a", "b") if x in share)
 
 
 # ---- 5
