@@ -7,12 +7,18 @@ inverse mappings are tried: stretches whose characters are bytes of UTF-8 read i
 again for text garbled twice, and texts of one code page read in another. A mapping is taken where the
 restored characters score better in their surroundings.
 
-The pair table has a fixed size: characters are folded to at most ``ALPHABET`` classes (single ones
+Beside it stands ``damaged``, an operator of its own for what no mapping can restore: replacement characters
+(U+FFFD) and control codes that no text has are proof of a wrong decoding whatever their score. ``repaired``
+gives both with ``how``: "mapping" for rows found by segments and inverse mappings, "damage" for rows that only
+hold such characters.
+
+The pair table has a fixed size: characters are folded to at most ``ALPHABET`` = 3,377 classes (single ones
 below U+0530 and in the blocks of punctuation and symbols, else the block), so what reaches the driver
-and the workers is bounded by ALPHABET squared whatever the corpus' size.
+and the workers is bounded by ALPHABET squared whatever the corpus' size: 11.4 million counts, of which real
+texts have a few ten thousand.
 
-Defined results: null, empty and plain ASCII texts are never affected; U+FFFD stands for lost
-characters, so its texts are affected but not restorable there.
+Defined results: null, empty and plain ASCII texts are never affected; lost characters are not restorable,
+their texts are affected.
 """
 from __future__ import annotations
 
@@ -22,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOW, PUNCT0, PUNCT1 = 0x530, 0x2000, 0x2700
@@ -33,6 +39,8 @@ SMOOTH = 1e-4
 MARGIN = 3.0
 #: The same for one-byte pages, in all and for each changed character; prior of a valid UTF-8 sequence.
 SINGLE_MARGIN, PER_CHARACTER, UTF8_BONUS = 7.0, 4.0, 4.0
+#: The same for East Asian pages, in which many short runs are valid by chance.
+ASIAN_MARGIN = 20.0
 #: Code pages a UTF-8 text may have been read in, and pairs (read in, written in) of one-byte pages.
 UTF8_READ_AS = ("cp1252", "latin-1", "mac_roman", "cp1251", "cp1250", "iso8859-2", "cp437", "cp850", "koi8-r", "cp1254")
 READ_WRITTEN = (("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("latin-1", "iso8859-2"), ("cp1252", "cp1250"), ("cp1250", "cp1252"), ("iso8859-2", "latin-1"),
@@ -302,7 +310,7 @@ def _multibyte(model: Model, text: str, wide: np.ndarray, starts: np.ndarray, en
         pieces, last, g = [], 0, 0.0
         for s, e in zip(starts.tolist(), ends.tolist()):
             run = text[s:e]
-            if len(run) < 8 or many[e] - many[s] < 0.4 * len(run):
+            if many[e] - many[s] < 0.4 * len(run):
                 continue
             try:
                 out = b"".join(x.encode(read) if not "\x80" <= x <= "\x9f" else bytes([ord(x)]) for x in run).decode(written)
@@ -345,14 +353,13 @@ def _runs(v: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def restore(model: Model, text: str | None) -> tuple[bool, str | None, float]:
-    """(affected, restored text, nats gained) of one text."""
+    """(found by a mapping, restored text, nats gained) of one text."""
     if not text or text.isascii():
         return False, text, 0.0
     if not _UTF8:
         _setup()
-    lost = "\ufffd" in text
     total, found = 0.0, False
-    for _ in range(3):  # text may be garbled more than once
+    while True:  # text may be garbled more than once; each round that goes on shortens it
         codes = _codes(text)
         c = classes(codes)
         wide = codes > 0x7F
@@ -361,7 +368,7 @@ def restore(model: Model, text: str | None) -> tuple[bool, str | None, float]:
         a, b = low[side], low[side + 1]
         readers = [r for r in _UTF8 if (r.lead[a] & r.cont[b]).any()] if len(side) else []
         single = not found and _may_gain(model, codes, c)
-        asian = len(side) > 8 and int(((codes > 0x7F) & (codes < 0x100)).sum()) > 8
+        asian = bool(((codes[side] < 0x100) | (codes[side + 1] < 0x100)).any()) if len(side) else False
         if not readers and not single and not asian:
             break
         s, e = _runs(np.clip(-model.score[c[:-1], c[1:]], -2.5, 4.0), wide)
@@ -380,20 +387,24 @@ def restore(model: Model, text: str | None) -> tuple[bool, str | None, float]:
         out, g = _from_single(model, codes, c, s, e) if single else (None, 0.0)
         if asian:
             other, g2 = _multibyte(model, text, wide, s, e)
-            if g2 > max(g, SINGLE_MARGIN):
+            if g2 > max(g, ASIAN_MARGIN):
                 text, total, found, g = other, total + g2, True, 0.0
         if out is not None and g > SINGLE_MARGIN:
             text, total, found = out.tobytes().decode("utf-32-le", "surrogatepass"), total + g, True
         break
-    controls = bool(((codes >= 0x80) & (codes < 0xA0) & (codes != 0x85)).any())
-    return found or lost or controls, text, total
+    return found, text, total
+
+
+def damaged(c: Column) -> Column:
+    """Whether a text holds lost characters: replacement characters, or control codes other than the line break U+0085."""
+    return c.rlike("[\\uFFFD\\x80-\\x84\\x86-\\x9F]")
 
 
 _MODELS: dict[str, Model] = {}
 
 
 def repaired(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, affected, restored, gain) of every text that isn't plain ASCII.
+    """(id_col, affected, how, restored, gain) of every text that isn't plain ASCII.
 
     Two passes over the table: the pair counts (one small shuffle) and a map without a shuffle.
     """
@@ -410,7 +421,9 @@ def repaired(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         for b in batches:
             rows = [restore(model, t) for t in b.column(1).to_pylist()]
             a, t, g = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(a, pa.bool_()), pa.array(t, pa.string()), pa.array(g, pa.float64())], [id_col, "affected", "restored", "gain"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(a, pa.bool_()), b.column(2), pa.array(t, pa.string()), pa.array(g, pa.float64())], [id_col, "found", "lost", "restored", "gain"])
 
     kind = dict(df.dtypes)[id_col]
-    return df.select(id_col, text_col).where(F.col(text_col).rlike(r"[^\x00-\x7F]")).mapInArrow(run, f"`{id_col}` {kind}, affected boolean, restored string, gain double")
+    out = df.select(id_col, text_col, damaged(F.col(text_col)).alias("lost")).where(F.col(text_col).rlike(r"[^\x00-\x7F]")).mapInArrow(run, f"`{id_col}` {kind}, found boolean, lost boolean, restored string, gain double")
+    how = F.when(F.col("found"), "mapping").when(F.col("lost"), "damage")
+    return out.select(id_col, how.isNotNull().alias("affected"), how.alias("how"), "restored", "gain")

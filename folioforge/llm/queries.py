@@ -83,7 +83,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_restored(spark: SparkSession, d: str) -> DataFrame:
-    return encodings.repaired(table(spark, d, "documents")).where("affected").select("doc_id", "restored", "gain")
+    return encodings.repaired(table(spark, d, "documents")).where("affected").select("doc_id", "how", "restored", "gain")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_entities, p3_found, p3_patterns, p3_cleaned, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_matches, p7_ids, p8_containers, p9_found, p9_restored)}

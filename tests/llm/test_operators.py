@@ -169,6 +169,21 @@ def test_wrong_encodings_found_and_restored(spark):
     out = {r.doc_id: r for r in encodings.repaired(df).where("affected").collect()}
     assert set(out) == set(bad)
     assert out[1003].restored == base[0] and out[1005].restored == base[0] and out[1002].restored == base[1]
+    assert out[1004].how == "damage" and all(r.how == "mapping" for i, r in out.items() if i != 1004)
+    # the bound that skips texts never skips one in which a mapping would have been found
+    counts = encodings.pair_counts(df).toPandas()
+    model = encodings.Model(counts["pair"].to_numpy(np.int64), counts["n"].to_numpy(np.int64))
+    rng = random.Random(3)
+    texts = [t for _, t, _ in rows[:12]] + list(bad.values())
+    texts += [(x := rng.choice(base))[:k] + x[k:k + 9].encode("cp1252", "ignore").decode(p, "ignore") + x[k + 9:] for p in ("mac_roman", "cp1250", "cp437") for k in range(0, 60, 7)]
+    short, full = [encodings.restore(model, t) for t in texts], []
+    old = encodings._may_gain
+    try:
+        encodings._may_gain = lambda *a: True
+        full = [encodings.restore(model, t) for t in texts]
+    finally:
+        encodings._may_gain = old
+    assert short == full and sum(f for f, _, _ in full) > 10
     assert encodings.repaired(df.limit(0)).count() == 0
 
 
