@@ -1,10 +1,12 @@
 """One consistent form for values that look alike but differ in characters (problem 4).
 
-Method: a transducer over grapheme clusters. Its table is computed once from the Unicode data and a
+Method: a transducer over grapheme clusters. Its mapping is computed once from the Unicode data and a
 short list of look-alikes, checked for conflicts (no source with two outputs, no output that is
-itself a source) and compiled to a longest-match dictionary; a value is rewritten in one pass from
-left to right. Look-alike letters depend on their word: the word's script is that of its letters that
-look like no other script's, and only letters foreign to it are replaced.
+itself a source) and compiled to one automaton for each target script, a trie whose states hold their output.
+A value is rewritten in one pass from left to right: from each position the longest match is taken and must end
+where a cluster ends; the few clusters with marks that no source has are compiled when they are met, so each is
+worked out once. Look-alike letters depend on their word, which chooses the automaton: the word's script is that
+of its letters that look like no other script's, and only letters foreign to it are replaced.
 
 Rewritten: widths, spaces, invisible characters, decomposed letters, singletons such as the Kelvin
 sign, ligatures and letter-like compatibility forms, look-alikes. Kept: typographic quotes and dashes,
@@ -79,6 +81,55 @@ _SUSPECT = regex.compile(r"[^\x00-\x7f]")
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}­​-‏⁠-⁤﻿]+")
 _CLUSTER = regex.compile(r"\X")
 _LIKE = {**CYRILLIC_LIKE, **GREEK_LIKE, **ARMENIAN_LIKE}
+_OUT = ""
+
+
+class Transducer:
+    """The mapping for words of one target script ("L" Latin, "C" Cyrillic, "" none), compiled to a trie."""
+
+    def __init__(self, table: dict[str, str], target: str) -> None:
+        self.table, self.target, self.root = table, target, {}
+        for source in table:
+            self._add(source)
+        for ch in _LIKE if target == "L" else LATIN_TO_CYRILLIC if target == "C" else ():
+            self._add(ch)
+
+    def _add(self, source: str) -> str:
+        node = self.root
+        for ch in source:
+            node = node.setdefault(ch, {})
+        node[_OUT] = out = self._output(source)
+        return out
+
+    def _output(self, cluster: str) -> str:
+        """What stands for a cluster: its own entry, or those of its characters, composed."""
+        full = unicodedata.normalize("NFD", cluster)
+        if self.target == "L" and len(full) > 1 and full[0] in _LIKE:
+            return unicodedata.normalize("NFC", _LIKE[full[0]] + "".join(self.table.get(x, x) for x in full[1:]))
+        hit = self.table.get(cluster)
+        if hit is not None:
+            return hit
+        keep = len(cluster) > 1 and _JOINER_SCRIPTS.search(cluster) is not None
+        like = _LIKE if self.target == "L" else LATIN_TO_CYRILLIC if self.target == "C" else {}
+        out = "".join(like[c] if c in like else c if keep else self.table.get(c, c) for c in cluster)
+        return unicodedata.normalize("NFC", out) if len(out) > 1 else out
+
+    def run(self, text: str, out: list[str]) -> None:
+        """Append the rewritten text to ``out``."""
+        root, i, n = self.root, 0, len(text)
+        while i < n:
+            node, j, end, hit = root, i, i + 1, None
+            while j < n and (node := node.get(text[j])) is not None:
+                j += 1
+                if _OUT in node:
+                    end, hit = j, node[_OUT]
+            if end < n and text[end] > "\x7f" and (k := _CLUSTER.match(text, i).end()) != end and k > end:
+                end, hit = k, self._add(text[i:k])  # marks that no source has
+            out.append(text[i:end] if hit is None else hit)
+            i = end
+
+
+_COMPILED: dict[str, Transducer] = {}
 
 
 def _script(ch: str) -> str:
@@ -125,47 +176,27 @@ def form(value: str | None) -> str | None:
     """The consistent form of one value."""
     if not value or not _SUSPECT.search(value):
         return value
-    if not _TABLE:
+    if not _COMPILED:
         _TABLE.update(_build())
+        _COMPILED.update({t: Transducer(_TABLE, t) for t in ("", "L", "C")})
     words = list(_WORD.finditer(value))
     latin_around = sum(any(_script(c) == "L" for c in m.group()) for m in words) * 2 >= len(words) - 1 and \
         not any(sum(_script(c) == "C" and c not in _LIKE for c in m.group()) > 1 for m in words)
     out: list[str] = []
     pos = 0
-
-    def passed(segment: str, target: str) -> None:
-        for m in _CLUSTER.finditer(segment):
-            c = m.group()
-            hit = _TABLE.get(c)  # the longest match: a whole cluster first
-            if hit is None:
-                keep = len(c) > 1 and _JOINER_SCRIPTS.search(c) is not None
-                parts = []
-                for ch in c:
-                    if target == "L" and ch in _LIKE:
-                        ch = _LIKE[ch]
-                    elif target == "C" and ch in LATIN_TO_CYRILLIC:
-                        ch = LATIN_TO_CYRILLIC[ch]
-                    parts.append(ch if keep else _TABLE.get(ch, ch))
-                hit = "".join(parts)
-                if len(hit) > 1:
-                    hit = unicodedata.normalize("NFC", hit)
-            if target == "L" and len(full := unicodedata.normalize("NFD", c)) > 1 and full[0] in _LIKE:
-                hit = unicodedata.normalize("NFC", _LIKE[full[0]] + "".join(_TABLE.get(x, x) for x in full[1:]))
-            out.append(hit)
-
     for m in words:
         s, e = m.span()
         if pos < s:
-            passed(value[pos:s], "")
+            _COMPILED[""].run(value[pos:s], out)
         w = m.group()
         if w.isascii():
             out.append(w)
         else:
             hyphen = value[e:e + 1] in ("-", "‐", "‑") or s > 0 and value[s - 1] in "-‐‑"
-            passed(w, _word_target(w, latin_around, hyphen))
+            _COMPILED[_word_target(w, latin_around, hyphen)].run(w, out)
         pos = e
     if pos < len(value):
-        passed(value[pos:], "")
+        _COMPILED[""].run(value[pos:], out)
     return "".join(out)
 
 
