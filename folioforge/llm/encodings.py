@@ -200,6 +200,9 @@ def _slots(codes: np.ndarray) -> np.ndarray:
 _UTF8: list[_Utf8In] = []
 _SINGLE_TO: np.ndarray
 _SINGLE_CLASS: np.ndarray
+#: Characters that are bytes of the pages an East Asian text may have been read in.
+_IN_ASIAN = np.zeros(PUNCT1 + 1, bool)
+_TO_BYTES: dict[str, dict[int, str]] = {}
 _CANNOT = re.compile("[\x80-\x9f\ufffd]")
 
 
@@ -210,6 +213,11 @@ def _setup() -> None:
         for c, k in r.byte.items():
             r.lead[min(ord(c), PUNCT1)], r.cont[min(ord(c), PUNCT1)] = 0xC2 <= k <= 0xF4, k <= 0xBF
         _UTF8.append(r)
+    for page in {r for r, _ in EAST_ASIAN}:
+        _TO_BYTES[page] = {ord(c): chr(k) for k, c in enumerate(_byte_chars(page)) if ord(c) != k}
+        _TO_BYTES[page] |= {k: "\u0100" for k in range(0xA0, 0x100) if chr(k) not in _byte_chars(page)}  # not of the page
+        for c in _byte_chars(page)[128:]:
+            _IN_ASIAN[min(ord(c), PUNCT1)] |= ord(c) < PUNCT1
     global _SINGLE_TO, _SINGLE_CLASS
     tables = [_Single(*p) for p in READ_WRITTEN]
     _SINGLE_TO = np.stack([t.to for t in tables])
@@ -306,15 +314,24 @@ def _multibyte(model: Model, text: str, wide: np.ndarray, starts: np.ndarray, en
     """Runs of a one-byte page that are valid text of an East Asian one."""
     best, gain = text, 0.0
     many = np.concatenate([[0], np.cumsum(wide)])
-    for read, written in EAST_ASIAN:
+    runs = [(a, b) for a, b in zip(starts.tolist(), ends.tolist()) if many[b] - many[a] >= 0.4 * (b - a)]
+    raw: dict[str, list[bytes | None]] = {}  # the bytes of each run in each page it may have been read in
+    for read, written in EAST_ASIAN if runs else ():
+        if read not in raw:
+            raw[read] = []
+            for a, b in runs:
+                try:
+                    raw[read].append(text[a:b].translate(_TO_BYTES[read]).encode("latin-1"))
+                except UnicodeEncodeError:
+                    raw[read].append(None)
         pieces, last, g = [], 0, 0.0
-        for s, e in zip(starts.tolist(), ends.tolist()):
-            run = text[s:e]
-            if many[e] - many[s] < 0.4 * len(run):
+        for (s, e), byte in zip(runs, raw[read]):
+            if byte is None:
                 continue
+            run = text[s:e]
             try:
-                out = b"".join(x.encode(read) if not "\x80" <= x <= "\x9f" else bytes([ord(x)]) for x in run).decode(written)
-            except (UnicodeDecodeError, UnicodeEncodeError):
+                out = byte.decode(written)
+            except UnicodeDecodeError:
                 continue
             if out == run or _CANNOT.search(out):
                 continue
@@ -368,7 +385,8 @@ def restore(model: Model, text: str | None) -> tuple[bool, str | None, float]:
         a, b = low[side], low[side + 1]
         readers = [r for r in _UTF8 if (r.lead[a] & r.cont[b]).any()] if len(side) else []
         single = not found and _may_gain(model, codes, c)
-        asian = bool(((codes[side] < 0x100) | (codes[side + 1] < 0x100)).any()) if len(side) else False
+        # a pair gains less than ASIAN_MARGIN, so two pairs of bytes are needed
+        asian = int(np.count_nonzero(_IN_ASIAN[a] & _IN_ASIAN[b])) > 1 if len(side) else False
         if not readers and not single and not asian:
             break
         s, e = _runs(np.clip(-model.score[c[:-1], c[1:]], -2.5, 4.0), wide)
