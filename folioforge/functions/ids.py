@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 from folioforge.functions.text import col, normalize_title
 
 PARTICLES = "van|von|de|di|da|du|der|den|del|la|le"
+#: Particles and suffixes of names, what stands for an author or a title, endings of files.
+NAME_PARTICLES = ("van", "von", "de", "der", "den", "del", "della", "di", "da", "do", "dos", "das", "la", "le", "du", "bin", "ibn", "al", "el", "ten", "ter", "y", "e")
+NAME_SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "phd", "md")
+GENERIC_AUTHORS = ("", "unknown", "user", "admin", "administrator", "author", "owner", "guest")
+GENERIC_TITLES = ("", "untitled", "title", "untitled document")
+FILE_ENDINGS = "docx|doc|tex|dvi|pdf|ps|odt|rtf|txt|indd|qxd"
+TEMPLATE_DOIS = ("10.1145/1122445.1122456", "10.475/123_4")
 
 
 def _balanced(c: Column) -> Column:
@@ -25,7 +32,7 @@ def normalize_doi(c) -> Column:
 
 def loose_doi(c) -> Column:
     """Everything from 10.NNNN/ on, trailing marks off, no shape check."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(col(c))), r"^.*?(10\.[0-9]{4,9}/)", "$1"), r"[.,;:)\]}>]+$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(col(c))), r"^.*?(10\.[0-9]{4,9}/)", "$1"), r"[.,;:)\]}']+$", "")
 
 
 def scan_dois(c) -> Column:
@@ -34,8 +41,9 @@ def scan_dois(c) -> Column:
 
 
 def is_placeholder_doi(c) -> Column:
-    """DOIs of templates."""
-    return F.lower(col(c)).rlike(r"^10\.(?:1000|1234|5555|9999)/|x{4,}|/(?:000+|nnn+)$")
+    """DOIs that templates ship: two known ones, or a suffix of the letters n and x and marks only."""
+    d = loose_doi(c)
+    return d.isin(*TEMPLATE_DOIS) | d.rlike(r"^[^/]*/[nx._#-]+$")
 
 
 def normalize_arxiv(c) -> Column:
@@ -73,9 +81,15 @@ def all_years(c) -> Column:
 
 
 def find_year(c) -> Column:
-    """Year in parentheses first, then the first bare one."""
-    inside = F.nullif(F.regexp_extract(col(c), r"\(((?:18|19|20)[0-9]{2})[a-z]?\)", 1), F.lit(""))
-    return F.coalesce(inside.cast("int"), F.nullif(F.regexp_extract(col(c), r"(?<![0-9A-Za-z_])((?:18|19|20)[0-9]{2})(?![0-9A-Za-z_])", 1), F.lit("")).cast("int"))
+    """Year in parentheses first, then the first bare one that isn't part of a page range; a dashed letter may follow."""
+    inside = F.nullif(F.regexp_extract(col(c), r"\(((?:19|20)[0-9]{2})[a-z]?\)", 1), F.lit(""))
+    bare = F.regexp_extract(col(c), r"(?:^|[^0-9–\-—])((?:19|20)[0-9]{2})(?:[–\-][a-z](?:[^\p{L}0-9]|$)|[a-z]?(?:[^0-9–\-—]|$))", 1)
+    return F.coalesce(inside, F.nullif(bare, F.lit(""))).cast("int")
+
+
+def first_year(c) -> Column:
+    """The first year from 1800 to 2099 that is a number of its own."""
+    return F.nullif(F.regexp_extract(col(c), r"(?<![0-9A-Za-z_])((?:18|19|20)[0-9]{2})(?![0-9A-Za-z_])", 1), F.lit("")).cast("int")
 
 
 def year_from_arxiv(c) -> Column:
@@ -96,7 +110,15 @@ def year_from_date(c) -> Column:
 
 
 def family_of(c) -> Column:
-    """Last word of a name in natural order or what stands before the comma, with its particle."""
+    """Last word of a record's author (given, family), with a short lower-case particle before it."""
+    w = F.split(F.trim(F.regexp_replace(col(c), r"\s+", " ")), " ")
+    last, before = F.element_at(w, -1), F.try_element_at(w, F.lit(-2))
+    particle = before.rlike(r"^\p{Ll}") & (F.octet_length(before) <= 4)
+    return F.when(F.coalesce(particle, F.lit(False)), F.concat(before, F.lit(" "), last)).otherwise(last)
+
+
+def printed_family(c) -> Column:
+    """What stands before the comma of a printed name, else its last word with its particles."""
     c = F.trim(col(c))
     last = F.regexp_extract(c, rf"((?:(?:{PARTICLES})\s+)*\S+)$", 1)
     return F.when(c.contains(","), F.trim(F.substring_index(c, ",", 1))).otherwise(last)
@@ -106,7 +128,7 @@ def person_key(c) -> Column:
     """Surname and first initial, folded to lower case."""
     c = F.trim(col(c))
     first = F.when(c.contains(","), F.trim(F.regexp_replace(c, r"^[^,]*,\s*", ""))).otherwise(c)
-    return F.concat_ws("|", F.lower(family_of(c)), F.lower(F.substring(first, 1, 1)))
+    return F.concat_ws("|", F.lower(printed_family(c)), F.lower(F.substring(first, 1, 1)))
 
 
 def author_year_key(surname, year) -> Column:
@@ -116,19 +138,24 @@ def author_year_key(surname, year) -> Column:
 
 
 def looks_like_person(c) -> Column:
-    """Two to five words that begin with capitals and hold no digit."""
-    return F.trim(col(c)).rlike(rf"^\p{{Lu}}[\p{{L}}’'.-]*(?:,?\s+(?:{PARTICLES}|\p{{Lu}}[\p{{L}}’'.-]*)){{1,4}}$")
+    """Two to six words of at most 25 characters that begin with capitals, particles and suffixes aside."""
+    words = F.filter(F.split(F.trim(col(c)), r"\s+"), lambda w: w != "")
+    words = F.transform(words, lambda w: F.regexp_replace(w, r"^[,()]+|[,()]+$", ""))
+    aside = lambda w: w.isin(*NAME_PARTICLES) | F.lower(F.regexp_replace(w, r"\.+$", "")).isin(*NAME_SUFFIXES)
+    good = F.forall(words, lambda w: F.length(w).between(1, 25) & (aside(w) | w.rlike(r"^\p{Lu}[\p{L}'’.-]*$")))
+    return F.size(words).between(2, 6) & good & (F.size(F.filter(words, lambda w: ~aside(w))) >= 2)
 
 
 def author_is_generic(c) -> Column:
-    """Logins and placeholders in place of an author."""
-    return F.lower(F.trim(col(c))).isin("", "user", "admin", "administrator", "author", "unknown", "anonymous", "owner") | F.lower(col(c)).rlike(r"^[a-z]+[0-9]+$")
+    """Placeholders in place of an author, or no letter at all."""
+    t = F.lower(F.trim(col(c)))
+    return t.isin(*GENERIC_AUTHORS) | ~t.rlike(r"\p{L}")
 
 
 def title_is_generic(c) -> Column:
-    """Placeholders and file names in place of a title."""
+    """Placeholders, file names and texts without a letter in place of a title."""
     t = F.lower(F.trim(col(c)))
-    return t.isin("", "untitled", "title", "document", "paper", "manuscript", "unknown") | t.rlike(r"\.(pdf|docx?|tex|dvi|indd)$") | (F.length(t) < 4)
+    return t.isin(*GENERIC_TITLES) | t.rlike(rf"^microsoft (?:word|powerpoint)|\.(?:{FILE_ENDINGS})$") | ~t.rlike(r"\p{L}") | ~t.contains(" ") & t.rlike(r"[._]")
 
 
 def config_digest(m: Column) -> Column:

@@ -117,9 +117,14 @@ def reference_label(c) -> Column:
     return F.when(c.rlike(r"^\s*\[[0-9]+\]"), "bracket").when(c.rlike(r"^\s*[0-9]{1,4}\."), "dot").when(c.rlike(r"^\s*[0-9]{1,4}\)"), "paren").otherwise("none")
 
 
+PAGE_NUMBER = r"^(?:(?i:page|p\.)\s*[0-9]{1,4}(?:\s*(?:(?i:of)|/)\s*[0-9]{1,4})?|[-–—]?\s*[0-9]{1,4}\s*[-–—]?|[0-9]{1,4}\s*/\s*[0-9]{1,4})$"
+ROMAN = r"^(?:x{1,3}(?:ix|iv|v?i{0,3})|ix|iv|vi{0,3}|i{1,3})$"
+
+
 def is_page_number(c) -> Column:
-    """A bare page number, a short roman numeral or "Page n of m" (F06)."""
-    return F.trim(col(c)).rlike(r"^(?i)(?:[-–—]?\s*[0-9]{1,4}\s*[-–—]?|[ivx]{1,6}|page\s+[0-9]+(?:\s+of\s+[0-9]+)?)$")
+    """A bare page number, "p. 12", "3 / 12", "Page n of m" or a roman numeral up to xxxix."""
+    t = F.trim(col(c))
+    return t.rlike(PAGE_NUMBER) | t.rlike(ROMAN)
 
 
 def is_toc(c) -> Column:
@@ -167,7 +172,7 @@ def is_author_year_start(c) -> Column:
 
 
 def cited_numbers(c, most: int = 100) -> Column:
-    """Numbers of a marker such as "3, 7-9"; empty where it is reversed, zero or too wide (X104)."""
+    """Numbers of a marker such as "3, 7-9"; empty where it is reversed, zero or spans ``most`` numbers, which is no marker (X104)."""
     parts = F.split(F.regexp_replace(F.regexp_replace(col(c), r"[\[\]\s]", ""), "–", "-"), ",")
     lo = lambda p: F.try_element_at(F.split(p, "-"), F.lit(1)).try_cast("int")
     hi = lambda p: F.coalesce(F.try_element_at(F.split(p, "-"), F.lit(2)), F.try_element_at(F.split(p, "-"), F.lit(1))).try_cast("int")
@@ -306,3 +311,16 @@ def quoted_title(c) -> Column:
 def find_url(c) -> Column:
     """First URL of an entry without closing marks (X103)."""
     return F.nullif(F.regexp_replace(F.regexp_extract(col(c), r"(https?://[^\s<>\"]+)", 1), r"[.,;)\]]+$", ""), F.lit(""))
+
+
+def family_in_entry(family, entry) -> Column:
+    """Whether a record's family name stands in a printed entry: as a word, without spaces, or close to one of its first words."""
+    raw = collapse(fold_ascii(entry))
+    fam = collapse(fold_ascii(family))
+    ws = F.filter(F.split(raw, " "), lambda w: w != "")
+    squashed, mine = F.replace(raw, F.lit(" "), F.lit("")), F.replace(fam, F.lit(" "), F.lit(""))
+    opening = F.slice(ws, 1, 8)
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(opening), F.lit(1))), lambda i: F.concat(F.coalesce(F.try_element_at(opening, i), F.lit("")), F.coalesce(F.try_element_at(opening, i + 1), F.try_element_at(ws, i + 1), F.lit(""))))
+    close = lambda w: (F.length(w) >= 4) & (similarity(w, mine) >= 0.8)
+    found = F.array_contains(ws, fam) | squashed.startswith(mine) | (F.length(mine) >= 4) & squashed.contains(mine) | F.exists(opening, close) | F.exists(pairs, close)
+    return F.when(mine == "", False).otherwise(found)

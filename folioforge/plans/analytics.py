@@ -36,7 +36,7 @@ def a11(spark, d):
     return ln.groupBy(role.alias("role")).agg(F.count("*").alias("n"))
 
 
-@query("f06_page_number_lines", rf"SELECT chunk_id, line_no, line FROM {LINES} WHERE regexp_matches(trim(line), '^(?i)(?:[-–—]?\s*[0-9]{{1,4}}\s*[-–—]?|[ivx]{{1,6}}|page\s+[0-9]+(?:\s+of\s+[0-9]+)?)$')")
+@query("f06_page_number_lines", rf"SELECT chunk_id, line_no, line FROM {LINES} WHERE regexp_matches(trim(line), '{T.PAGE_NUMBER}') OR regexp_matches(trim(line), '{T.ROMAN}')")
 def f06(spark, d):
     return O.lines(table(spark, d, "chunks").where("text is not null"), "chunk_id").where(T.is_page_number("line"))
 

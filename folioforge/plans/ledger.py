@@ -70,10 +70,13 @@ def a04(spark, d):
     return table(spark, d, "chunks").groupBy("doc_hash").agg(F.count("*").alias("n"), F.count_if(F.length(F.regexp_replace(t, r"\s", "")) < 20).alias("sparse"), F.count_if(t == "").alias("empty"))
 
 
-@query("a05_route", r"""SELECT doc_hash, CASE WHEN empty * 2 > n THEN 'ocr' WHEN sparse * 4 > n THEN 'layout' ELSE 'default' END AS route FROM (
-SELECT doc_hash, count(*) AS n, count(*) FILTER (length(regexp_replace(coalesce(text, ''), '\s', '', 'g')) < 20) AS sparse, count(*) FILTER (coalesce(text, '') = '') AS empty FROM chunks GROUP BY doc_hash)""")
+@query("a05_route", r"""SELECT doc_hash, pages, unmapped, scanned, CASE WHEN unmapped > 0 THEN 'mapping' WHEN scanned > 0 THEN 'ocr' ELSE 'default' END AS route FROM (
+SELECT doc_hash, count(*) AS pages, count(*) FILTER (regexp_matches(coalesce(text, ''), '[\x{FFFD}\x{E000}-\x{F8FF}]')) AS unmapped, count(*) FILTER (length(regexp_replace(coalesce(text, ''), '\s', '', 'g')) < 20) AS scanned FROM chunks GROUP BY doc_hash)""")
 def a05(spark, d):
-    return a04(spark, d).select("doc_hash", F.when(F.col("empty") * 2 > F.col("n"), "ocr").when(F.col("sparse") * 4 > F.col("n"), "layout").otherwise("default").alias("route"))
+    """Counts of pages with unmapped characters and with (almost) no text; unmapped ones decide before scanned ones."""
+    t = F.coalesce("text", F.lit(""))
+    x = table(spark, d, "chunks").groupBy("doc_hash").agg(F.count("*").alias("pages"), F.count_if(t.rlike("[\\uFFFD\\uE000-\\uF8FF]")).alias("unmapped"), F.count_if(F.length(F.regexp_replace(t, r"\s", "")) < 20).alias("scanned"))
+    return x.select("*", F.when(F.col("unmapped") > 0, "mapping").when(F.col("scanned") > 0, "ocr").otherwise("default").alias("route"))
 
 
 @query("k01_publish", f"SELECT run_id, doc_hash, status, landed_at FROM {ONE_RUN}")

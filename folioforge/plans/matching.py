@@ -104,9 +104,10 @@ def j24(spark, d):
     return M.asof_join(left, e.where("event_type = 'purchase'").select("user_id", "ts", "value"), ["user_id"], "ts", ["value"]).select("event_id", "asof_value")
 
 
-@query("f46_family_in_entry", f"SELECT ref_id, contains({NT.format(c='raw')}, {NT.format(c='surname')}) AS found FROM extracted_refs WHERE surname IS NOT NULL AND raw IS NOT NULL")
+@query("f46_family_in_entry", None)
 def f46(spark, d):
-    return table(spark, d, "extracted_refs").where("surname is not null and raw is not null").select("ref_id", T.normalize_title("raw").contains(T.normalize_title("surname")).alias("found"))
+    """The folding has no SQL form; tested by brute force."""
+    return table(spark, d, "extracted_refs").where("surname is not null and raw is not null").select("ref_id", T.family_in_entry("surname", "raw").alias("found"))
 
 
 @query("f47_year_in_entry", f"SELECT ref_id, list_has_any({W.format(c='raw')}, [(year - 1)::VARCHAR, year::VARCHAR, (year + 1)::VARCHAR]) AS found FROM extracted_refs WHERE year IS NOT NULL AND raw IS NOT NULL")
@@ -115,9 +116,24 @@ def f47(spark, d):
     return table(spark, d, "extracted_refs").where("year is not null and raw is not null").select("ref_id", F.arrays_overlap(T.words("raw"), F.array((y - 1).cast("string"), y.cast("string"), (y + 1).cast("string"))).alias("found"))
 
 
-@query("f49_list_plausible", "SELECT doc_hash, run_id, count(*) AS entries, count(label) AS labels, count(year) AS years, count(year) * 2 >= count(*) AS plausible FROM extracted_refs GROUP BY ALL")
+_LABEL, _YEAR = r"^\s*\[?([0-9]{1,3})[.)\]]", r"\b(?:19|20)[0-9][0-9]\b"
+
+
+@query("f49_list_plausible", rf"""SELECT doc_hash, run_id, entries, max_label, years, max_label <= entries + 1 AND years <= entries + entries // 2 + 3 AS plausible FROM (
+SELECT doc_hash, run_id, count(*) AS entries, coalesce(max(list_max(list_transform(string_split(raw, chr(10)), lambda x: coalesce(nullif(regexp_extract(x, '{_LABEL}', 1), '')::INT, 0)))), 0) AS max_label,
+coalesce(sum(len(regexp_extract_all(raw, '{_YEAR}'))), 0)::BIGINT AS years FROM extracted_refs GROUP BY ALL)""")
 def f49(spark, d):
-    return table(spark, d, "extracted_refs").groupBy("doc_hash", "run_id").agg(F.count("*").alias("entries"), F.count("label").alias("labels"), F.count("year").alias("years"), (F.count("year") * 2 >= F.count("*")).alias("plausible"))
+    """A list is implausible if a printed label is beyond its entries, or far more years are printed than entries found."""
+    labels = F.transform(F.split("raw", "\n"), lambda x: F.coalesce(F.nullif(F.regexp_extract(x, _LABEL, 1), F.lit("")).cast("int"), F.lit(0)))
+    x = table(spark, d, "extracted_refs").groupBy("doc_hash", "run_id").agg(F.count("*").alias("entries"), F.coalesce(F.max(F.array_max(labels)), F.lit(0)).alias("max_label"), F.coalesce(F.sum(F.size(F.regexp_extract_all("raw", F.lit(_YEAR), F.lit(0)))), F.lit(0)).alias("years"))
+    return x.withColumn("plausible", (F.col("max_label") <= F.col("entries") + 1) & (F.col("years") <= F.col("entries") + F.floor(F.col("entries") / 2) + 3))
+
+
+@query("x22_title_equal", None)
+def x22(spark, d):
+    """Equality of the titles of hand-labelled pairs without TeX, case, accents and punctuation."""
+    x, t = table(spark, d, "extracted_refs").select("ref_id", F.col("title").alias("xt")), table(spark, d, "latex_refs").select("truth_id", F.col("title").alias("tt"))
+    return table(spark, d, "match_labels").join(x, "ref_id").join(t, "truth_id").select("ref_id", "truth_id", T.title_equal("xt", "tt").alias("same"), T.paper_title_matches("xt", "tt").alias("matches"))
 
 
 @query("j38_label_quality", f"""SELECT is_match, count(*) AS n, count(*) FILTER (x.year = t.year) AS same_year, count(*) FILTER ({NT.format(c='x.title')} = {NT.format(c='t.title')}) AS same_title

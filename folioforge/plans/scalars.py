@@ -58,12 +58,13 @@ scalar("x35_strip_label", "extracted_refs", "ref_id", lambda: text.strip_label("
 scalar("a35_label_style", "extracted_refs", "ref_id", lambda: text.reference_label("raw"),
        r"CASE WHEN regexp_matches(raw, '^\s*\[[0-9]+\]') THEN 'bracket' WHEN regexp_matches(raw, '^\s*[0-9]{1,4}\.') THEN 'dot' WHEN regexp_matches(raw, '^\s*[0-9]{1,4}\)') THEN 'paren' ELSE 'none' END")
 scalar("x67_normalize_doi", "extracted_refs", "ref_id", lambda: ids.normalize_doi("doi"), None)
-scalar("x68_loose_doi", "extracted_refs", "ref_id", lambda: ids.loose_doi("doi"), r"regexp_replace(regexp_replace(lower(trim(doi)), '^.*?(10\.[0-9]{4,9}/)', '\1'), '[.,;:)\]}>]+$', '')")
+scalar("x68_loose_doi", "extracted_refs", "ref_id", lambda: ids.loose_doi("doi"), r"regexp_replace(regexp_replace(lower(trim(doi)), '^.*?(10\.[0-9]{4,9}/)', '\1'), '[.,;:)\]}'']+$', '')")
 SQL["x67_normalize_doi"] = r"""SELECT ref_id, CASE WHEN regexp_matches(d, '^10\.[0-9]{4,9}/\S+$') THEN d END AS value FROM (
 SELECT ref_id, CASE WHEN d LIKE '%)' AND length(d) - length(replace(d, ')', '')) > length(d) - length(replace(d, '(', '')) THEN substring(d, 1, length(d) - 1) ELSE d END AS d FROM (
 SELECT ref_id, regexp_replace(regexp_replace(lower(trim(doi)), '^(?:https?://)?(?:dx\.)?doi\.org/|^doi:\s*', ''), '[.,;:\s]+$', '') AS d FROM extracted_refs))"""
 scalar("x72_scan_dois", "extracted_refs", "ref_id", lambda: joined(ids.scan_dois(F.concat_ws(" ", "raw", "doi"))), None)
-scalar("f30_placeholder_doi", "extracted_refs", "ref_id", lambda: ids.is_placeholder_doi("doi"), r"regexp_matches(lower(doi), '^10\.(?:1000|1234|5555|9999)/|x{4,}|/(?:000+|nnn+)$')")
+_LOOSE = r"regexp_replace(regexp_replace(lower(trim(doi)), '^.*?(10\.[0-9]{4,9}/)', '\1'), '[.,;:)\]}'']+$', '')"
+scalar("f30_placeholder_doi", "extracted_refs", "ref_id", lambda: ids.is_placeholder_doi("doi"), f"{_LOOSE} IN ('10.1145/1122445.1122456', '10.475/123_4') OR regexp_matches({_LOOSE}, '^[^/]*/[nx._#-]+$')")
 scalar("x77_normalize_arxiv", "latex_refs", "truth_id", lambda: ids.normalize_arxiv("arxiv_id"),
        r"CASE WHEN regexp_matches(regexp_replace(regexp_replace(lower(trim(arxiv_id)), '^(?:https?://)?(?:www\.)?arxiv\.org/(?:abs|pdf)/|^arxiv:\s*', ''), 'v[0-9]+$|\.pdf$', ''), '^(?:[0-9]{4}\.[0-9]{4,5}|[a-z-]+(?:\.[a-z]{2})?/[0-9]{7})$') THEN regexp_replace(regexp_replace(lower(trim(arxiv_id)), '^(?:https?://)?(?:www\.)?arxiv\.org/(?:abs|pdf)/|^arxiv:\s*', ''), 'v[0-9]+$|\.pdf$', '') END")
 scalar("x79_find_arxiv", "latex_refs", "truth_id", lambda: ids.find_arxiv("text"), r"nullif(regexp_extract(lower(text), 'arxiv[:\s]+\s*([0-9]{4}\.[0-9]{4,5}|[a-z-]+/[0-9]{7})', 1), '')")
@@ -71,20 +72,27 @@ scalar("x82_normalize_pmid", "manifest_item", "doc_hash", lambda: ids.normalize_
 scalar("x83_normalize_pmcid", "manifest_item", "doc_hash", lambda: ids.normalize_pmcid("pmcid"), "CASE WHEN regexp_matches(upper(trim(pmcid)), '^PMC[0-9]{1,10}$') THEN upper(trim(pmcid)) END")
 scalar("x84_arxiv_from_doi", "extracted_refs", "ref_id", lambda: ids.arxiv_from_doi("doi"), r"nullif(regexp_extract(lower(doi), '^10\.48550/arxiv\.(.+)$', 1), '')")
 scalar("x85_find_year", "extracted_refs", "ref_id", lambda: ids.find_year("raw"),
-       r"coalesce(nullif(regexp_extract(raw, '\(((?:18|19|20)[0-9]{2})[a-z]?\)', 1), '')::INT, nullif(regexp_extract(raw, '\b((?:18|19|20)[0-9]{2})\b', 1), '')::INT)")
+       r"coalesce(nullif(regexp_extract(raw, '\(((?:19|20)[0-9]{2})[a-z]?\)', 1), ''), nullif(regexp_extract(raw, '(?:^|[^0-9–\-—])((?:19|20)[0-9]{2})(?:[–\-][a-z](?:[^\p{L}0-9]|$)|[a-z]?(?:[^0-9–\-—]|$))', 1), ''))::INT")
+scalar("x87_first_year", "latex_refs", "truth_id", lambda: ids.first_year("text"), r"nullif(regexp_extract(text, '\b((?:18|19|20)[0-9]{2})\b', 1), '')::INT")
 scalar("x86_all_years", "chunks", "chunk_id", lambda: F.array_join(ids.all_years("text").cast("array<string>"), " "), r"array_to_string(regexp_extract_all(text, '\b((?:18|19|20)[0-9]{2})\b', 1), ' ')")
 scalar("x89_year_from_arxiv", "latex_refs", "truth_id", lambda: ids.year_from_arxiv("arxiv_id"),
        r"CASE WHEN nullif(regexp_extract(arxiv_id, '^(?:[a-z.-]+/)?([0-9]{2})', 1), '')::INT >= 90 THEN nullif(regexp_extract(arxiv_id, '^(?:[a-z.-]+/)?([0-9]{2})', 1), '')::INT + 1900 ELSE nullif(regexp_extract(arxiv_id, '^(?:[a-z.-]+/)?([0-9]{2})', 1), '')::INT + 2000 END")
 scalar("x90_year_from_doi", "extracted_refs", "ref_id", lambda: ids.year_from_doi("doi"), r"CASE WHEN NOT contains(lower(doi), 'arxiv') THEN nullif(regexp_extract(lower(doi), '[./](19[0-9]{2}|20[0-9]{2})(?:[./]|$)', 1), '')::INT END")
 scalar("x94_year_from_date", "runs", "run_id", lambda: ids.year_from_date(F.col("landed_at").cast("string")), "extract(year FROM landed_at)::INT")
-scalar("x14_family_of", "extracted_refs", "ref_id", lambda: ids.family_of("author"),
+_W14 = r"string_split(trim(regexp_replace(authors[1], '\s+', ' ', 'g')), ' ')"
+scalar("x14_family_of", "latex_refs", "truth_id", lambda: ids.family_of(F.get("authors", F.lit(0))),
+       f"CASE WHEN regexp_matches({_W14}[-2], '^\\p{{Ll}}') AND strlen({_W14}[-2]) <= 4 THEN {_W14}[-2] || ' ' || {_W14}[-1] ELSE {_W14}[-1] END")
+scalar("x15_printed_family", "extracted_refs", "ref_id", lambda: ids.printed_family("author"),
        r"CASE WHEN contains(trim(author), ',') THEN trim(split_part(trim(author), ',', 1)) ELSE regexp_extract(trim(author), '((?:(?:van|von|de|di|da|du|der|den|del|la|le)\s+)*\S+)$', 1) END")
+_W27 = r"list_transform(list_filter(regexp_split_to_array(trim(author), '\s+'), lambda w: w <> ''), lambda w: regexp_replace(w, '^[,()]+|[,()]+$', '', 'g'))"
+_IN = lambda v: "(" + ", ".join(f"'{x}'" for x in v) + ")"
+_ASIDE = f"(w IN {_IN(ids.NAME_PARTICLES)} OR lower(rtrim(w, '.')) IN {_IN(ids.NAME_SUFFIXES)})"
 scalar("f27_person_name", "extracted_refs", "ref_id", lambda: ids.looks_like_person("author"),
-       r"regexp_matches(trim(author), '^\p{Lu}[\p{L}’''.-]*(?:,?\s+(?:van|von|de|di|da|du|der|den|del|la|le|\p{Lu}[\p{L}’''.-]*)){1,4}$')")
+       rf"CASE WHEN author IS NOT NULL THEN len({_W27}) BETWEEN 2 AND 6 AND len(list_filter({_W27}, lambda w: NOT (length(w) BETWEEN 1 AND 25 AND ({_ASIDE} OR regexp_matches(w, '^\p{{Lu}}[\p{{L}}''’.-]*$'))))) = 0 AND len(list_filter({_W27}, lambda w: NOT {_ASIDE})) >= 2 END")
 scalar("f26_author_generic", "extracted_refs", "ref_id", lambda: ids.author_is_generic("author"),
-       "lower(trim(author)) IN ('', 'user', 'admin', 'administrator', 'author', 'unknown', 'anonymous', 'owner') OR regexp_matches(lower(author), '^[a-z]+[0-9]+$')")
+       rf"lower(trim(author)) IN {_IN(ids.GENERIC_AUTHORS)} OR NOT regexp_matches(lower(trim(author)), '\p{{L}}')")
 scalar("f25_title_generic", "extracted_refs", "ref_id", lambda: ids.title_is_generic("title"),
-       r"lower(trim(title)) IN ('', 'untitled', 'title', 'document', 'paper', 'manuscript', 'unknown') OR regexp_matches(lower(trim(title)), '\.(pdf|docx?|tex|dvi|indd)$') OR length(lower(trim(title))) < 4")
+       rf"lower(trim(title)) IN {_IN(ids.GENERIC_TITLES)} OR regexp_matches(lower(trim(title)), '^microsoft (?:word|powerpoint)|\.(?:{ids.FILE_ENDINGS})$') OR NOT regexp_matches(lower(trim(title)), '\p{{L}}') OR (NOT contains(lower(trim(title)), ' ') AND regexp_matches(lower(trim(title)), '[._]'))")
 scalar("f28_reference_evidence", "extracted_refs", "ref_id", lambda: text.has_reference_evidence("raw"), r"regexp_matches(raw, '\b(?:1[89]|20)[0-9]{2}\b|10\.[0-9]{4,9}/|https?://|\b[0-9]+[–-][0-9]+\b')")
 scalar("f29_author_year_start", "extracted_refs", "ref_id", lambda: text.is_author_year_start("raw"), r"regexp_matches(raw, '^\s*\p{Lu}[\p{L}’''-]+(?:,\s*\p{Lu}|\s+\p{Lu}{1,3}\b)')")
 scalar("f22_replacement_share", "documents", "doc_id", lambda: F.round(text.replacement_share("text"), 6),
@@ -111,7 +119,6 @@ scalar("x130_candidates", "manifest_item", "doc_hash", lambda: F.concat_ws(" ",
 scalar("x54_media_type", "runs", "run_id", lambda: F.lower(F.trim(F.split_part(F.concat("backend_name", F.lit("; v="), "backend_version"), F.lit(";"), F.lit(1)))), "lower(trim(backend_name))")
 scalar("f04_extraction_status", "runs", "run_id", lambda: F.exists(F.coalesce(F.from_json("warnings_json", "array<string>"), F.array().cast("array<string>")), lambda w: w.rlike("^(failed|resource_limit|unicode_mapping|extraction_incomplete):")),
        "len(list_filter(coalesce(from_json(warnings_json, '[\"VARCHAR\"]'), []), lambda w: regexp_matches(w, '^(failed|resource_limit|unicode_mapping|extraction_incomplete):'))) > 0")
-scalar("x22_title_equal", "extracted_refs", "ref_id", lambda: text.title_equal("title", "title"), "CASE WHEN title IS NOT NULL THEN true END")
 scalar("x13_verify_record", "extracted_refs", "ref_id", lambda: text.verify_record("title", "surname", "year", "raw")["reason"], None)
 scalar("x08_fold_ascii", "extracted_refs", "ref_id", lambda: text.fold_ascii("surname"), None)
 scalar("f20_page_route", "chunks", "chunk_id", lambda: text.page_route("text")["reason"],
@@ -121,5 +128,6 @@ scalar("x97_numbers", "extracted_refs", "ref_id", lambda: F.concat_ws("|", F.coa
        r"coalesce(nullif(regexp_extract(raw, 'vol\.\s*([0-9]+)(?:,\s*no\.\s*([0-9]+))?,\s*pp\.\s*([0-9]+\s*[–-]\s*[0-9]+)', 1), ''), nullif(regexp_extract(raw, '([0-9]+)\s*(?:\(([0-9]+)\))?\s*[,:]\s*([0-9]+\s*[–-]\s*[0-9]+)', 1), ''), '') || '|' || coalesce(regexp_replace(coalesce(nullif(regexp_extract(raw, 'vol\.\s*([0-9]+)(?:,\s*no\.\s*([0-9]+))?,\s*pp\.\s*([0-9]+\s*[–-]\s*[0-9]+)', 3), ''), nullif(regexp_extract(raw, '([0-9]+)\s*(?:\(([0-9]+)\))?\s*[,:]\s*([0-9]+\s*[–-]\s*[0-9]+)', 3), '')), '\s', '', 'g'), '')")
 scalar("x102_quoted_title", "extracted_refs", "ref_id", lambda: text.quoted_title("raw"), "nullif(regexp_extract(raw, '[“\"]([^“”\"]{4,}?),?[”\"]', 1), '')")
 scalar("x103_find_url", "extracted_refs", "ref_id", lambda: text.find_url("raw"), r"""nullif(regexp_replace(regexp_extract(raw, '(https?://[^\s<>"]+)', 1), '[.,;)\]]+$', ''), '')""")
-scalar("t11_byte_prefix", "extracted_refs", "ref_id", lambda: F.octet_length(text.byte_prefix("title", 40)) <= 40, "CASE WHEN title IS NOT NULL THEN true END")
+scalar("t11_byte_prefix", "extracted_refs", "ref_id", lambda: text.byte_prefix("title", 40),
+       "CASE WHEN strlen(title) <= 40 THEN title WHEN title IS NOT NULL THEN substring(title, 1, list_max(list_filter(range(0, 41), lambda k: strlen(substring(title, 1, k::INT)) <= 40))::INT) END")
 scalar("u06_multiset_overlap", "extracted_refs", "ref_id", lambda: text.multiset_overlap(text.words(F.coalesce("title", F.lit(""))), text.words(F.coalesce("raw", F.lit("")))), None)

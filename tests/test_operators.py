@@ -95,7 +95,7 @@ def test_identifiers(spark):
     assert n(ids.normalize_arxiv, "arXiv:2101.00001v2") == "2101.00001" and n(ids.normalize_arxiv, "hep-th/9901001") == "hep-th/9901001" and n(ids.normalize_arxiv, "x") is None
     assert n(ids.normalize_pmcid, "pmc123") == "PMC123" and n(ids.normalize_pmid, "PMID: 0042") == "42" and n(ids.arxiv_from_doi, "10.48550/arXiv.2101.1") == "2101.1"
     assert n(ids.find_year, "1999–2001 (2005a)") == 2005 and n(ids.year_from_arxiv, "9901001") == 1999 and n(ids.year_from_date, "D:20210304") == 2021
-    assert n(ids.family_of, "Anna van der Berg") == "van der Berg" and n(ids.person_key, "Berg, Anna") == "berg|a"
+    assert n(ids.printed_family, "Anna van der Berg") == "van der Berg" and n(ids.family_of, "Anna van der Berg") == "der Berg" and n(ids.person_key, "Berg, Anna") == "berg|a"
     h = one(spark, ids.fnv1a(F.lit("foobar")))
     assert h % (1 << 64) == 0x85944171F73967E8 and one(spark, ids.fnv1a(F.lit(""))) % (1 << 64) == 0xCBF29CE484222325
 
