@@ -255,7 +255,7 @@ def test_hamming_index_finds_all_pairs_within_the_radius(spark):
         gap, n = abs(p[5] - q[5]), min(p[5], q[5])
         whole = d(p, q, 0) <= linkage.RADIUS[0] and gap <= linkage.SLACK
         begins = n < 36 or d(p, q, 3 if n < 48 else 4) <= linkage.FAR_LONGER
-        first = d(p, q, 1) <= linkage.RADIUS[1] and begins and (gap > linkage.CUT or d(p, q, 0) <= linkage.FAR)
+        first = d(p, q, 1) <= linkage.RADIUS[1] and begins
         return whole or first or d(p, q, 2) <= linkage.RADIUS[2] and gap <= linkage.SHIFT and d(p, q, 0) <= linkage.FAR
 
     assert {(a, b) for a in titles for b in titles if near(vec[a], vec[b])} <= got and len(got) < 0.2 * len(titles) ** 2
