@@ -102,6 +102,7 @@ class Model:
         m /= e
         np.log(m, out=m)
         self.score = m
+        self.readings: dict[str, list] = {}
         #: Characters that clean text has; a class seen less often than this share is not a likely restoration.
         self.seen = (left + right) / (2 * total)
 
@@ -310,36 +311,42 @@ def _may_gain(model: Model, codes: np.ndarray, c: np.ndarray) -> bool:
     return bool(((np.maximum(gain, 0).sum(1) > SINGLE_MARGIN) & ((gain > PER_CHARACTER * changed) & (changed > 0)).any(1)).any())
 
 
+def _asian_readings(model: Model, run: str) -> list[tuple[str, float] | None]:
+    """For each East Asian pair of pages, what a run of characters gives with the nats gained, or None."""
+    hit = model.readings.get(run)
+    if hit is None:
+        hit, raw = [], {}
+        was = model.text(run)
+        for read, written in EAST_ASIAN:
+            try:
+                if read not in raw:
+                    raw[read] = None
+                    raw[read] = run.translate(_TO_BYTES[read]).encode("latin-1")
+                out = raw[read].decode(written) if raw[read] is not None else run
+            except (UnicodeDecodeError, UnicodeEncodeError):
+                out = run
+            step = 0.0 if out == run or _CANNOT.search(out) else model.text(out) - was * len(out) / len(run)
+            hit.append((out, step) if step > 0.5 * len(out) else None)
+        if len(model.readings) > 200_000:
+            model.readings.clear()
+        model.readings[run] = hit
+    return hit
+
+
 def _multibyte(model: Model, text: str, wide: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[str, float]:
     """Runs of a one-byte page that are valid text of an East Asian one."""
-    best, gain = text, 0.0
     many = np.concatenate([[0], np.cumsum(wide)])
-    runs = [(a, b) for a, b in zip(starts.tolist(), ends.tolist()) if many[b] - many[a] >= 0.4 * (b - a)]
-    raw: dict[str, list[bytes | None]] = {}  # the bytes of each run in each page it may have been read in
-    for read, written in EAST_ASIAN if runs else ():
-        if read not in raw:
-            raw[read] = []
-            for a, b in runs:
-                try:
-                    raw[read].append(text[a:b].translate(_TO_BYTES[read]).encode("latin-1"))
-                except UnicodeEncodeError:
-                    raw[read].append(None)
-        pieces, last, g = [], 0, 0.0
-        for (s, e), byte in zip(runs, raw[read]):
-            if byte is None:
-                continue
-            run = text[s:e]
-            try:
-                out = byte.decode(written)
-            except UnicodeDecodeError:
-                continue
-            if out == run or _CANNOT.search(out):
-                continue
-            step = model.text(out) - model.text(run) * len(out) / len(run)
-            if step > 0.5 * len(out):
-                pieces += [text[last:s], out]
-                last, g = e, g + step
+    enough = many[ends] - many[starts] >= 0.4 * (ends - starts)
+    runs = [(s, e, _asian_readings(model, text[s:e])) for s, e in zip(starts[enough].tolist(), ends[enough].tolist())]
+    best, gain = text, 0.0
+    for k in range(len(EAST_ASIAN)):
+        g = sum(r[k][1] for _, _, r in runs if r[k])
         if g > gain:
+            pieces, last = [], 0
+            for s, e, r in runs:
+                if r[k]:
+                    pieces += [text[last:s], r[k][0]]
+                    last = e
             best, gain = "".join(pieces) + text[last:], g
     return best, gain
 
