@@ -187,7 +187,7 @@ def markers(c) -> Column:
 
 def split_keywords(c) -> Column:
     """Keywords separated by comma, semicolon or middle dot (X128)."""
-    return F.filter(F.transform(F.split(col(c), r"[,;·]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(col(c), r"[,;·]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def digit_bag(c) -> Column:

@@ -191,3 +191,9 @@ def rounded_rank(p: float):
 def upper_median(n: Column) -> Column:
     """Position n / 2."""
     return F.floor(n / 2)
+
+
+@F.pandas_udf("string")
+def nfkc(s: pd.Series) -> pd.Series:
+    """Compatibility form of texts, in Arrow batches (X20); Spark has no expression for it."""
+    return s.str.normalize("NFKC")

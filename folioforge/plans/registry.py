@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
-MODULES = ("scalars", "ledger", "search", "matching", "analytics", "streams", "fixtures")
+MODULES = ("scalars", "ledger", "search", "matching", "analytics", "streams", "fixtures", "coverage")
 
 
 def query(name: str, sql: str | None = None):
@@ -23,11 +23,7 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     for m in MODULES:
-        try:
-            importlib.import_module(f"folioforge.plans.{m}")
-        except ModuleNotFoundError as e:
-            if e.name != f"folioforge.plans.{m}":
-                raise
+        importlib.import_module(f"folioforge.plans.{m}")
 
 
 def queries() -> dict[str, Callable]:
