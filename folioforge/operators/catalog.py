@@ -78,7 +78,7 @@ def pair_labels(labels: DataFrame, lines: DataFrame, page_keys: list[str], toler
 def carried_heads(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
     """Pages that end in an open [ or ( group, with its completion at the next page's start."""
     w = Window.partitionBy(doc).orderBy(page)
-    x = pages.select(doc, page, F.regexp_extract(text, r"([\[(][^\])]{0,80})$", 1).alias("open"), F.lead(F.regexp_extract(text, r"^([^\[(]{0,80}?[\])])", 1)).over(w).alias("rest"))
+    x = pages.select(doc, page, F.regexp_extract(text, r"([\[(][^\])]*)$", 1).alias("open"), F.lead(F.regexp_extract(text, r"^([^\[(]*?[\])])", 1)).over(w).alias("rest"))
     return x.where("open != '' and rest != ''").select(doc, page, F.concat_ws(" ", "open", "rest").alias("group"))
 
 

@@ -52,7 +52,7 @@ def page_lines(spans: pd.DataFrame, tolerance: float = 0.4) -> list[dict]:
         if not (r["text"] or "").strip():
             continue
         size = r["size"] or 10.0
-        for ln in reversed(lines[-40:]):
+        for ln in reversed(lines):
             if abs(ln["y0"] - r["y0"]) <= tolerance * size and -0.5 * size <= r["x0"] - ln["x1"] <= 2.5 * size:
                 ln["text"] += ("" if r["x0"] - ln["x1"] < 0.15 * size else " ") + r["text"]
                 ln["x1"], ln["y1"] = max(ln["x1"], r["x1"]), max(ln["y1"], r["y1"])

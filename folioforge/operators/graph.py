@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioforge.session import materialize
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of ``edges``; component is the least node of its component.
 
     Alternating large-star and small-star steps: each node's neighbours are linked to the least of
@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     nodes = e.select("u").union(e.select(F.col("v").alias("u"))).distinct()
     e = materialize(e.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     last = None
-    for _ in range(max_rounds):
+    while True:  # until a round changes nothing
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large-star: neighbours above the node are linked to the least one around it

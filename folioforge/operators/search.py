@@ -19,20 +19,28 @@ def terms(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(words(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+#: Query terms that are few enough to be sent to every task; more are joined by their hash.
+FEW_TERMS = 100_000
+
+
 def bm25(df: DataFrame, queries: DataFrame, key: str, text: str) -> DataFrame:
     """(query_id, key, score) of all texts that hold a query's term.
 
     ``queries`` is (query_id, query). Only postings of query terms are shuffled: the terms are joined
-    before any grouping; document lengths travel with the postings.
+    before any grouping, and the postings are written once with their texts' lengths, so texts are read twice,
+    for the postings and for the mean length.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
     toks = df.select(F.col(key), words(F.col(text)).alias("w")).where("w is not null")
     stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    wanted = q.select("term").distinct()
-    posts = toks.select(key, F.size("w").alias("dl"), F.explode("w").alias("term")).join(F.broadcast(wanted), "term").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    wanted = materialize(q.select("term").distinct())
+    small = wanted.count() <= FEW_TERMS
+    posts = toks.select(key, F.size("w").alias("dl"), F.explode("w").alias("term")).join(F.broadcast(wanted) if small else wanted, "term")
+    posts = materialize(posts.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
     dfs = posts.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     s = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    # one row of statistics
     return posts.join(dfs, "term").crossJoin(F.broadcast(stats)).join(q, "term").groupBy("query_id", key).agg(F.sum(s).alias("score"))
 
 
@@ -62,55 +70,51 @@ def l2_normalize(a: Column) -> Column:
     return F.when(n == 0, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x.cast("double") / n))
 
 
-#: Query vectors in one block; a block is all that is sent to the workers at a time.
-BLOCK = 4096
+#: Vectors in one block of either side.
+BLOCK = 2048
+
+
+def _blocks(df: DataFrame, key: str, vec: str, block: int, name: str) -> DataFrame:
+    """(name_ids, name_v): about ``block`` rows of a side in one row, by the hash of their key."""
+    many = max(1, -(-df.count() // block))
+    g = df.groupBy(F.pmod(F.xxhash64(key), F.lit(many)).alias("b")).agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vec).alias("v"))).alias("r"))
+    return g.select(F.col("r.k").alias(f"{name}_ids"), F.col("r.v").alias(f"{name}_v"))
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(query_id, key, score, rank): exact cosine top k of each query vector, ties by ascending key.
 
-    ``queries`` is (query_id, q). The queries go over all vectors in blocks of fixed size; each
-    partition multiplies a block with its vectors and keeps the k best of each query, so what is
-    shuffled is k rows a query and partition. Vectors of another length than the query score 0, as do
-    zero ones; null vectors aren't found.
+    ``queries`` is (query_id, q), a stated query set. Both sides are cut into blocks of bounded size and every
+    block of queries meets every block of vectors, one matrix product each, in one job; a pair of blocks gives
+    the k best of each query, so what is shuffled is k rows a query and block. Vectors of another length than
+    the query score 0, as do zero ones; null vectors aren't found.
     """
-    spark = vectors.sparkSession
     base = vectors.select(F.col(key), F.col(vec).alias("v")).where("v is not null")
-    qs = materialize(queries.where("q is not null").withColumn("b", F.lit(0)))
-    n = qs.count()
+    qs = materialize(queries.where("q is not null").select("query_id", "q"))
     kinds = dict(base.dtypes)[key], dict(qs.dtypes)["query_id"]
-    parts = None
-    for i in range(max(1, -(-n // block))):
-        mine = qs if n <= block else qs.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // block))) == i)
-        rows = mine.select("query_id", "q").collect()  # a block, by hash: about ``block`` rows
-        sent = spark.sparkContext.broadcast(([r.query_id for r in rows], [list(r.q) for r in rows]))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            best: list[list] = [[] for _ in ids]
-            for dim in {len(x) for x in q}:
-                at = [j for j, x in enumerate(q) if len(x) == dim]
-                m = np.array([q[j] for j in at], np.float64)
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                for batch in (batches if len({len(x) for x in q}) == 1 else (batches := list(batches))):
-                    vs = batch.column(1).to_pylist()
-                    keys = batch.column(0).to_pylist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, vs, q_ids, qv = (batch.column(c)[row].as_py() for c in range(4))
+                out: list[tuple] = []
+                for dim in sorted({len(x) for x in qv}):
+                    at = [j for j, x in enumerate(qv) if len(x) == dim]
+                    m = np.array([qv[j] for j in at], np.float64).reshape(len(at), dim)
+                    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
                     x = np.array([v if len(v) == dim else [0.0] * dim for v in vs], np.float64).reshape(len(vs), dim)
                     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
                     s = np.round(m @ x.T, 9) + 0.0
-                    for row, j in enumerate(at):
-                        top = np.argpartition(-s[row], k - 1)[:k] if len(vs) > k else range(len(vs))
-                        least = min((s[row][t] for t in top), default=0.0)
-                        near = np.flatnonzero(s[row] >= least)  # ties at the end are ranked by key
-                        best[j] = sorted(best[j] + [(-float(s[row][t]), keys[t]) for t in near])[:k]
-            out = [(ids[j], kk, -v) for j, b in enumerate(best) for v, kk in b]
-            yield pa.RecordBatch.from_pydict({"query_id": [o[0] for o in out], key: [o[1] for o in out], "score": [o[2] for o in out]}, schema=schema)
-
-        schema = pa.schema([("query_id", pa.string() if kinds[1] == "string" else pa.int64() if kinds[1] == "bigint" else pa.int32()), (key, pa.string() if kinds[0] == "string" else pa.int64() if kinds[0] == "bigint" else pa.int32()), ("score", pa.float64())])
-        got = base.mapInArrow(run, f"query_id {kinds[1]}, `{key}` {kinds[0]}, score double")
-        got = got if n <= block else materialize(got)
-        parts = got if parts is None else parts.unionByName(got)
-    return top_k(parts, k, key)
+                    for r, j in enumerate(at):
+                        least = np.partition(s[r], len(ids) - k)[len(ids) - k] if len(ids) > k else -2.0
+                        near = sorted((-float(s[r][t]), ids[t]) for t in np.flatnonzero(s[r] >= least))[:k]  # ties at the end are ranked by key
+                        out += [(q_ids[j], kk, -v) for v, kk in near]
+                yield pa.RecordBatch.from_pydict({"query_id": [o[0] for o in out], key: [o[1] for o in out], "score": [o[2] for o in out]}, schema=schema)
+
+    kind = lambda t: pa.string() if t == "string" else pa.int64() if t == "bigint" else pa.int32()
+    schema = pa.schema([("query_id", kind(kinds[1])), (key, kind(kinds[0])), ("score", pa.float64())])
+    pairs = _blocks(base, key, "v", block, "v").crossJoin(_blocks(qs, "query_id", "q", block, "q"))
+    return top_k(pairs.mapInArrow(run, f"query_id {kinds[1]}, `{key}` {kinds[0]}, score double"), k, key)
 
 
 def reciprocal_rank_fusion(lists: DataFrame, key: str, by: str = "query_id") -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from folioforge.functions.text import col, digit_key
 
@@ -165,16 +165,28 @@ def word_error_rate(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+#: Ranges into which each group's values are cut to find a position.
+RANGES = 1024
+
+
 def order_statistic(df: DataFrame, by: str, value: str, index) -> DataFrame:
     """(by, value): the value at a position of each group's sorted values.
 
-    ``index`` maps the group's size (a Column) to a position from 0. Values are counted on the map side
-    and positions found by running sums over the different values, so no group is gathered.
+    ``index`` maps the group's size (a Column) to a position from 0. Values are counted on the map side; RANGES
+    counts a group tell the range that holds the position, and only the different values of that range are
+    sorted, so no group is gathered or sorted as a whole.
     """
     c = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("__c"))
+    x = F.col(value).cast("double")
+    g = c.groupBy(by).agg(F.sum("__c").alias("__n"), F.min(x).alias("__lo"), F.max(x).alias("__hi")).select(F.col(by).alias("__by"), "__lo", "__hi", index(F.col("__n")).alias("__k"))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    c = c.join(g, same(by, "__by")).withColumn("__r", F.when(F.col("__hi") > F.col("__lo"), F.floor((x - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * RANGES)).otherwise(F.lit(0).cast("bigint")))
+    upto = F.sum("__c").over(Window.partitionBy("__by").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = c.groupBy("__by", "__r").agg(F.sum("__c").alias("__c"), F.first("__k").alias("__k")).withColumn("__before", F.coalesce(upto, F.lit(0)))
+    ranges = ranges.where((F.col("__before") <= F.col("__k")) & (F.col("__before") + F.col("__c") > F.col("__k"))).select(F.col("__by").alias("__b2"), F.col("__r").alias("__r2"), "__before")
+    c = c.join(ranges, same("__by", "__b2") & (F.col("__r") == F.col("__r2")))
     w = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = c.groupBy(by).agg(F.sum("__c").alias("__n"))
-    c = c.withColumn("__upto", F.sum("__c").over(w)).join(n, by).withColumn("__k", index(F.col("__n")))
+    c = c.withColumn("__upto", F.col("__before") + F.sum("__c").over(w))
     return c.where((F.col("__upto") > F.col("__k")) & (F.col("__upto") - F.col("__c") <= F.col("__k"))).select(by, value)
 
 
@@ -193,7 +205,7 @@ def upper_median(n: Column) -> Column:
     return F.floor(n / 2)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility form of texts, in Arrow batches (X20); Spark has no expression for it."""
     return s.str.normalize("NFKC")

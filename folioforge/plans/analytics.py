@@ -28,7 +28,7 @@ def w05(spark, d):
     return table(spark, d, "chunks").where("text is not null").select("chunk_id", F.size(F.regexp_extract_all("text", F.lit(r"""([.!?]["”’)\]]*\s+\p{Lu})"""), F.lit(1))).alias("starts"))
 
 
-@query("a11_role_counts", rf"""SELECT role, count(*) AS n FROM (SELECT CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(trim(line), '^(?i)(?:[-–—]?\s*[0-9]{{1,4}}\s*[-–—]?|[ivx]{{1,6}}|page\s+[0-9]+(?:\s+of\s+[0-9]+)?)$') THEN 'page_number'
+@query("a11_role_counts", rf"""SELECT role, count(*) AS n FROM (SELECT CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(trim(line), '{T.PAGE_NUMBER}') OR regexp_matches(trim(line), '{T.ROMAN}') THEN 'page_number'
 WHEN regexp_matches(line, '^\s*(?:Figure|Fig\.|Table|Scheme|Plate)\s+[0-9IVX]+[.:]') THEN 'caption' WHEN regexp_matches(line, '(?:\.\s?){{4,}}\s*[0-9]*\s*$') THEN 'toc' ELSE 'body' END AS role FROM {LINES}) GROUP BY role""")
 def a11(spark, d):
     ln = O.lines(table(spark, d, "chunks").where("text is not null"), "chunk_id")
@@ -77,8 +77,9 @@ def a13(spark, d):
 
 @query("a07_nearest_rank", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events WHERE value IS NOT NULL GROUP BY 1")
 def a07(spark, d):
-    p = lambda q: F.expr(f"percentile_disc({q}) within group (order by value)")
-    return table(spark, d, "events").where("value is not null").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"))
+    e = table(spark, d, "events").select("event_type", "value")
+    p = lambda q, name: O.order_statistic(e, "event_type", "value", O.nearest_rank(q)).withColumnRenamed("value", name)
+    return p(0.5, "p50").join(p(0.95, "p95"), "event_type")
 
 
 @query("a08_rounded_rank", "SELECT doc_hash, list_sort(list(idx))[(round((count(*) - 1) * 0.95) + 1)::INT] AS p95 FROM extracted_refs WHERE idx IS NOT NULL GROUP BY 1")
@@ -88,7 +89,9 @@ def a08(spark, d):
 
 @query("a10_median", "SELECT event_type, round(median(value), 9) AS median FROM events GROUP BY 1")
 def a10(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 9).alias("median"))
+    e = table(spark, d, "events").select("event_type", "value")
+    p = lambda up, name: O.order_statistic(e, "event_type", "value", lambda n: F.floor((n - 1 + up) / 2)).withColumnRenamed("value", name)
+    return p(0, "a").join(p(1, "b"), "event_type").select("event_type", F.round((F.col("a") + F.col("b")) / 2, 9).alias("median"))
 
 
 @query("a16_upper_median", "SELECT doc_hash, list_sort(list(length(raw)))[(count(*) // 2 + 1)::INT] AS med FROM extracted_refs WHERE raw IS NOT NULL GROUP BY 1")

@@ -318,7 +318,7 @@ def j33(spark, d):
     return C.unique_links(x, ["doc_hash", "page"]).select("doc_hash", "page", "uri", "x0", "ref_id")
 
 
-@query("j40_carried_heads", r"""SELECT doc_hash, page, open || ' ' || rest AS "group" FROM (SELECT doc_hash, page, regexp_extract(t, '([\[(][^\])]{0,80})$', 1) AS open, lead(regexp_extract(t, '^([^\[(]{0,80}?[\])])', 1)) OVER (PARTITION BY doc_hash ORDER BY page) AS rest FROM (SELECT doc_hash, page, min(text) AS t FROM chunks GROUP BY ALL)) WHERE open <> '' AND rest <> ''""")
+@query("j40_carried_heads", r"""SELECT doc_hash, page, open || ' ' || rest AS "group" FROM (SELECT doc_hash, page, regexp_extract(t, '([\[(][^\])]*)$', 1) AS open, lead(regexp_extract(t, '^([^\[(]*?[\])])', 1)) OVER (PARTITION BY doc_hash ORDER BY page) AS rest FROM (SELECT doc_hash, page, min(text) AS t FROM chunks GROUP BY ALL)) WHERE open <> '' AND rest <> ''""")
 def j40(spark, d):
     p = table(spark, d, "chunks").groupBy("doc_hash", "page").agg(F.min("text").alias("t"))
     return C.carried_heads(p, "doc_hash", "page", "t")

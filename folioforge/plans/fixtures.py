@@ -41,18 +41,27 @@ def d27(spark, d):
     return D.reference_headings(ln).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-URL = "'HTTPS://Journals.Example.ORG:443/a/../' || lower(pmcid) || '/./pdf?utm_source=x&v=' || doc_version::VARCHAR || '#top'"
+#: Paths of the papers' pages: dot segments, default ports, tracking parameters and fragments by the row.
+_HOST = "CASE doc_version % 2 WHEN 0 THEN 'www.' ELSE '' END || CASE WHEN is_manuscript THEN 'press' ELSE 'journals' END || '.example.' || CASE WHEN pub_year % 3 = 0 THEN 'net' ELSE 'org' END"
+
+
 def _url():
-    return F.concat(F.lit("HTTPS://Journals.Example.ORG:443/a/../"), F.lower("pmcid"), F.lit("/./pdf?utm_source=x&v="), F.col("doc_version").cast("string"), F.lit("#top"))
+    host = F.concat(F.when(F.col("doc_version") % 2 == 0, "WWW.").otherwise(""), F.when(F.col("is_manuscript"), "Press").otherwise("journals"), F.lit(".Example."), F.when(F.col("pub_year") % 3 == 0, "net").otherwise("ORG"))
+    tail = F.when(F.col("pub_year") % 2 == 0, F.concat(F.lit("?utm_source=x&v="), F.col("doc_version").cast("string"))).otherwise("#top")
+    return F.concat(F.lit("HTTPS://"), host, F.lit(":443/a/../"), F.lower("pmcid"), F.when(F.col("pub_year") % 5 == 0, "/./pdf").otherwise("/b/../view"), tail)
+
+
+_NORMAL = f"'https://' || {_HOST} || '/' || lower(pmcid) || CASE WHEN pub_year % 5 = 0 THEN '/pdf' ELSE '/view' END || CASE WHEN pub_year % 2 = 0 THEN '?v=' || doc_version::VARCHAR ELSE '' END"
 
 
-@query("x38_normalize_url", "SELECT pmcid, doc_version, 'https://journals.example.org/' || lower(pmcid) || '/pdf?v=' || doc_version::VARCHAR AS url FROM manifest_item")
+@query("x38_normalize_url", f"SELECT pmcid, doc_version, {_NORMAL} AS url FROM manifest_item")
 def x38(spark, d):
     return table(spark, d, "manifest_item").select("pmcid", "doc_version", U.normalize_url(_url()).alias("url"))
 
 
-@query("f34_host_policy", "SELECT pmcid, doc_version, 'allow' AS action, 'possible' AS pdf FROM manifest_item")
+@query("f34_host_policy", f"SELECT pmcid, doc_version, CASE WHEN pub_year % 3 <> 0 AND is_manuscript IS NOT true THEN 'allow' ELSE 'block' END AS action, CASE WHEN pub_year % 5 = 0 THEN 'possible' ELSE 'no' END AS pdf FROM manifest_item")
 def f34(spark, d):
+    """The longest matching domain rule of each page; without one it is blocked."""
     rules = spark.createDataFrame([("example.org", "block"), ("journals.example.org", "allow"), ("org", "block")], "domain string, action string")
     u = table(spark, d, "manifest_item").select("pmcid", "doc_version", U.normalize_url(_url()).alias("url"))
     return U.host_policy(u, "url", rules).select("pmcid", "doc_version", "action", U.classify_pdf_url("url").alias("pdf"))

@@ -31,12 +31,15 @@ _TY = f"CASE WHEN title IS NOT NULL AND year IS NOT NULL THEN {NT.format(c='titl
 _TT = f"{NT.format(c='title')}"
 
 
-@query("j10_cascade", f"WITH {_pass(1, 'lower(doi)', 'lower(doi)', [])}, {_pass(2, _TY, _TY, [1])}, {_pass(3, _TT, _TT, [1, 2])} SELECT *, 'doi' AS method FROM p1 UNION ALL SELECT *, 'title_year' FROM p2 UNION ALL SELECT *, 'title' FROM p3")
+_LOOSE = r"nullif(regexp_replace(regexp_replace(lower(trim(doi)), '^.*?(10\.[0-9]{4,9}/)', '\1'), '[.,;:)\]}'']+$', ''), '')"
+
+
+@query("j10_cascade", f"WITH {_pass(1, _LOOSE, _LOOSE, [])}, {_pass(2, _TY, _TY, [1])}, {_pass(3, _TT, _TT, [1, 2])} SELECT *, 'doi' AS method FROM p1 UNION ALL SELECT *, 'title_year' FROM p2 UNION ALL SELECT *, 'title' FROM p3")
 def j10(spark, d):
     """Cascade doi, then title and year, then title: each side is used once."""
     t = T.normalize_title("title")
     ty = F.when(F.col("year").isNotNull(), F.concat(t, F.lit("|"), F.col("year").cast("string")))
-    return M.cascade(table(spark, d, "extracted_refs"), table(spark, d, "latex_refs"), [("doi", F.lower("doi"), F.lower("doi")), ("title_year", ty, ty), ("title", t, t)], "ref_id", "truth_id")
+    return M.cascade(table(spark, d, "extracted_refs"), table(spark, d, "latex_refs"), [("doi", F.nullif(ids.loose_doi("doi"), F.lit("")), F.nullif(ids.loose_doi("doi"), F.lit(""))), ("title_year", ty, ty), ("title", t, t)], "ref_id", "truth_id")
 
 
 @query("j13_fuzzy_title", None)

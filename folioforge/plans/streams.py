@@ -11,10 +11,14 @@ from folioforge.streaming import streams as S
 
 
 def _drain(spark, df, mode: str = "append"):
-    """Run a stream to the end into a table of the shared folder."""
+    """Run a stream to the end into a table of the shared folder.
+
+    A batch overwrites the folder of its id, so one that is played again after a failure isn't written twice; with
+    complete output the last batch holds all.
+    """
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    S.run_once(df, lambda b, i: b.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{root}/out"), f"{root}/checkpoint", mode)
-    return spark.read.schema(df.schema).parquet(f"{root}/out")
+    S.run_once(df, lambda b, i: b.write.mode("overwrite").parquet(f"{root}/out/{0 if mode == 'complete' else i:09d}"), f"{root}/checkpoint", mode)
+    return spark.read.schema(df.schema).parquet(f"{root}/out/*")
 
 
 @query("st01_incremental_index", "SELECT doc_hash, count(*) AS chunks, sum(('0x' || substring(sha256(chunk_id::VARCHAR || ':' || coalesce(text, '')), 1, 12))::BIGINT)::VARCHAR AS fingerprint FROM chunks GROUP BY doc_hash")

@@ -55,8 +55,14 @@ def compare_and_set(table: DataFrame, updates: DataFrame, key: str, value: str,
     return j.select(*[F.when(ok, F.col("__v")).otherwise(F.col(value)).alias(value) if c == value else F.col(c) for c in table.columns], ok.alias("applied"))
 
 
+#: Most rows of a report.
+MOST_ROWS = 10_000
+
+
 def markdown(df: DataFrame, title: str) -> str:
-    """A small report table as Markdown (K16); for results that are aggregates already."""
-    rows = df.collect()
+    """A small report table as Markdown (K16); more than MOST_ROWS rows are refused, not cut."""
+    rows = df.limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"a report has at most {MOST_ROWS} rows")
     head = "| " + " | ".join(df.columns) + " |\n|" + "-|" * len(df.columns)
     return f"# {title}\n\n{head}\n" + "\n".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows) + "\n"
