@@ -5,17 +5,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.operators.graph import connected_components
+from folioforge.operators.ledger import row_numbers
+from folioforge.session import materialize
 
 
-def rank_pairing(left: DataFrame, right: DataFrame, key: str, lid: str, rid: str, order: Column | None = None) -> DataFrame:
+def rank_pairing(left: DataFrame, right: DataFrame, key: str, lid: str, rid: str) -> DataFrame:
     """(lid, rid, key): the n-th left row of a key is paired with its n-th right row.
 
-    The same as taking the first unused partner in order, without any state.
+    The same as taking the first unused partner in order, without any state; ids are numbers.
     """
-    wl = Window.partitionBy(key).orderBy(*([order] if order is not None else []), lid)
-    wr = Window.partitionBy(key).orderBy(rid)
-    a = left.where(F.col(key).isNotNull()).select(key, lid, F.row_number().over(wl).alias("rn"))
-    b = right.where(F.col(key).isNotNull()).select(key, rid, F.row_number().over(wr).alias("rn"))
+    a = row_numbers(left.where(F.col(key).isNotNull()).select(key, lid), [key], lid)
+    b = row_numbers(right.where(F.col(key).isNotNull()).select(key, rid), [key], rid)
     return a.join(b, [key, "rn"]).select(lid, rid, key)
 
 
@@ -26,7 +26,8 @@ def cascade(left: DataFrame, right: DataFrame, keys: list[tuple[str, Column, Col
         a, b = left.select(lid, lk.alias("__k")), right.select(rid, rk.alias("__k"))
         if out is not None:
             a, b = a.join(out.select(lid), lid, "left_anti"), b.join(out.select(rid), rid, "left_anti")
-        got = rank_pairing(a, b, "__k", lid, rid).select(lid, rid, F.lit(name).alias("method"))
+        # written once: the passes behind read it, and their counts would repeat all passes before
+        got = materialize(rank_pairing(a, b, "__k", lid, rid).select(lid, rid, F.lit(name).alias("method")))
         out = got if out is None else out.unionByName(got)
     return out
 

@@ -107,8 +107,8 @@ def j03(spark, d):
 
 @query("w03_chunk_index", "SELECT chunk_id, row_number() OVER (PARTITION BY doc_hash, run_id ORDER BY page, idx, chunk_id) - 1 AS pos FROM chunks")
 def w03(spark, d):
-    w = Window.partitionBy("doc_hash", "run_id").orderBy("page", "idx", "chunk_id")
-    return table(spark, d, "chunks").select("chunk_id", (F.row_number().over(w) - 1).alias("pos"))
+    c = table(spark, d, "chunks").select("doc_hash", "run_id", "page", "idx", "chunk_id")
+    return L.row_numbers(c, ["doc_hash", "run_id"], "page", "n", ["idx", "chunk_id"]).select("chunk_id", (F.col("n") - 1).alias("pos"))
 
 
 @query("w08_namespace", """SELECT ref_id, sum(CASE WHEN number <= prev THEN 1 ELSE 0 END) OVER (PARTITION BY doc_hash, run_id ORDER BY idx)::BIGINT AS namespace FROM (

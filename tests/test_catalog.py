@@ -54,3 +54,15 @@ def test_choices(spark):
     assert rows(C.better_result(a, b, "k", ["q"])) == [(1, 5, "a"), (2, 2, "b"), (3, 0, "b")]
     u = spark.createDataFrame([(1, False, ["x"])], "k int, f boolean, m array<string>")
     assert rows(C.append_documents([u, u.withColumn("f", F.lit(True))], "k", "f", "m")) == [(1, True, ["x"])]
+
+
+def test_row_numbers_of_a_hot_key(spark):
+    from folioforge.operators.ledger import row_numbers
+    rows = [("hot", i * 7 % 1000, i) for i in range(1000)] + [("hot", None, 5), (None, 3, 1), (None, 2, 2), ("one", 5, 1), ("tie", 1, 2), ("tie", 1, 1)]
+    df = spark.createDataFrame(rows, "k string, o int, id int")
+    got = {(r.k, r.o, r.id): r.rn for r in row_numbers(df, ["k"], "o", ties=["id"]).collect()}
+    want: dict = {}
+    for key in {r[0] for r in rows}:
+        for n, r in enumerate(sorted((x for x in rows if x[0] == key), key=lambda x: (x[1] is not None, x[1] or 0, x[2])), 1):
+            want[r] = n
+    assert got == want and row_numbers(df.limit(0), ["k"], "o").count() == 0
