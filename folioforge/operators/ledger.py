@@ -64,7 +64,7 @@ def row_numbers(df: DataFrame, by: list[str], order: str, name: str = "rn", ties
     ends = df.agg(F.min(order).cast("double").alias("lo"), F.max(order).cast("double").alias("hi")).first()
     lo, hi = ends.lo or 0.0, ends.hi or 0.0
     r = F.least(F.floor((F.col(order).cast("double") - F.lit(lo)) / F.lit(max(hi - lo, 1e-300)) * RANK_RANGES), F.lit(RANK_RANGES - 1)) if hi > lo else F.lit(0).cast("bigint")
-    x = df.withColumn("__r", F.coalesce(r.cast("bigint"), F.lit(-1).cast("bigint")))  # a null order comes first
+    x = df.withColumn("__r", F.when(F.col(order).isNull(), F.lit(-1).cast("bigint")).otherwise(r.cast("bigint")))  # a null order comes first
     before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1))
     n = x.groupBy(*by, "__r").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(before, F.lit(0)))
     n = n.select(*[F.col(c).alias(f"__{k}") for k, c in enumerate(by)], F.col("__r").alias("__q"), "__before")
