@@ -469,3 +469,21 @@ def variants(authors: DataFrame, name_col: str = "author") -> DataFrame:
     e = materialize(entities(authors, name_col))
     a, b = e.select(F.col("name").alias("author_a"), "entity"), e.select(F.col("name").alias("author_b"), F.col("entity").alias("eb"))
     return a.join(b, F.expr("entity = eb and author_a < author_b")).select("author_a", "author_b")
+
+
+def partners(authors: DataFrame, name_col: str = "author", n: int = 5) -> DataFrame:
+    """(key, partner, cosine, rank): the n most similar partners of each folded name, ties by the partner's id; a report.
+
+    The top-n form of the cosine join; ``entities`` keeps all partners, as a cap could lose links.
+    """
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([fold(x) for x in batch.column(0).to_pylist()], pa.string())], ["key"])
+
+    keys = authors.select(F.col(name_col).alias("name")).where(f"`{name_col}` is not null").distinct().mapInArrow(folded, "key string")
+    keys = materialize(keys.where("key rlike '[^\\\\W_]'").distinct().withColumn("id", F.xxhash64("key")).select("id", "key"))
+    links = materialize(linked_pairs(keys, top_n=n))
+    both = links.select("a", "b", "cosine").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("rank") <= n)
+    k = lambda c, name: keys.select(F.col("id").alias(c), F.col("key").alias(name))
+    return ranked.join(k("a", "key"), "a").join(k("b", "partner"), "b").select("key", "partner", "cosine", "rank")

@@ -24,6 +24,10 @@ def p2_entities(spark: SparkSession, d: str) -> DataFrame:
     return names.entities(table(spark, d, "extracted_refs"))
 
 
+def p2_partners(spark: SparkSession, d: str) -> DataFrame:
+    return names.partners(table(spark, d, "extracted_refs"))
+
+
 def _repeated(spark: SparkSession, d: str) -> repeated.Repeated:
     return repeated.Repeated(table(spark, d, "chunks"), table(spark, d, "manifest_item"))
 
@@ -86,7 +90,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return encodings.repaired(table(spark, d, "documents")).where("affected").select("doc_id", "how", "restored", "gain")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_entities, p3_found, p3_patterns, p3_cleaned, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_matches, p7_ids, p8_containers, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_entities, p2_partners, p3_found, p3_patterns, p3_cleaned, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_matches, p7_ids, p8_containers, p9_found, p9_restored)}
 SQL = {
     "p5_found": "SELECT chunk_id FROM chunks WHERE length(text) > 1500",
 }

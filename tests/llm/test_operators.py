@@ -207,6 +207,16 @@ def test_variants_table(spark):
         want |= {(a, b) for a in g for b in g if a < b}
     assert got == want
     assert names.variants(df.limit(0)).count() == 0
+    # the report: the best partners by cosine of all links, ranked
+    keys = spark.createDataFrame([(i, k) for i, k in enumerate(sorted({names.fold(p) for p in people if p and any(c.isalnum() for c in p)}))], "id bigint, key string")
+    text = {r.id: r.key for r in keys.collect()}
+    links = {(text[r.a], text[r.b]): r.cosine for r in names.linked_pairs(keys).collect()}
+    links |= {(b, a): c for (a, b), c in links.items()}
+    top: dict = {}
+    for r in names.partners(df, n=1).collect():
+        assert r.rank == 1 and abs(links[r.key, r.partner] - r.cosine) < 1e-9
+        top[r.key] = r.cosine
+    assert top == {a: max(c for (x, _), c in links.items() if x == a) for a, _ in links} and names.partners(df.limit(0)).count() == 0
 
 
 def test_linked_pairs_and_the_top_n_report(spark):
