@@ -16,6 +16,11 @@ def normalize_title(c) -> Column:
     return F.trim(F.regexp_replace(F.lower(col(c)), r"[^\p{L}\p{N}]+", " "))
 
 
+def normalize_title_first(c) -> Column:
+    """The same where a capital whose small form has two characters gives the first one only (X02): U+0130 is the only such letter."""
+    return normalize_title(F.translate(col(c), "\u0130", "i"))
+
+
 def words(c) -> Column:
     """Words of the normalised text."""
     return F.filter(F.split(normalize_title(c), " "), lambda w: w != "")

@@ -272,6 +272,26 @@ def latex_to_text(s: str | None) -> str | None:
     return " ".join(unicodedata.normalize("NFC", s).split())
 
 
+DROPPED = "figure|table|equation|align|gather|multline|eqnarray|thebibliography|verbatim|lstlisting|tikzpicture|algorithm|abstract"
+
+
+def body_text(tex: str | None) -> str | None:
+    """Running text of a LaTeX source: its body without comments, front matter, floats, math and cites, a blank line between paragraphs."""
+    if tex is None:
+        return None
+    s = re.sub(r"(?<!\\)%.*", "", tex)
+    m = re.search(r"\\begin\{document\}(.*?)(?:\\end\{document\}|\Z)", s, re.S)
+    s = m.group(1) if m else s
+    s = re.sub(rf"\\begin\{{({DROPPED})\*?\}}.*?\\end\{{\1\*?\}}", "\n\n", s, flags=re.S)
+    s = re.sub(r"\\(?:title|author|date|thanks|label|bibliography|bibliographystyle|includegraphics|vspace|hspace|footnote)\*?(?:\[[^\]]*\])?\{(?:[^{}]|\{[^{}]*\})*\}|\\maketitle\b", "", s)
+    s = re.sub(r"~?\\(?:cite\w*|ref|eqref|autoref|cref)\*?(?:\[[^\]]*\])*\{[^{}]*\}", "", s)
+    s = re.sub(r"\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)|(?<!\\)\$[^$]*(?<!\\)\$", " ", s, flags=re.S)
+    s = re.sub(r"\\(?:part|chapter|(?:sub)*section|paragraph)\*?\{((?:[^{}]|\{[^{}]*\})*)\}", r"\n\n\1\n\n", s)
+    s = re.sub(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?|\\item\b(?:\[[^\]]*\])?", "", s)
+    paras = (latex_to_text(p) for p in re.split(r"\n[ \t]*\n|\\par\b", s))
+    return "\n\n".join(p for p in paras if p)
+
+
 # ---- markers and boxes ----------------------------------------------------------------------------
 
 def author_year_markers(df: DataFrame, key: str, text: str) -> DataFrame:

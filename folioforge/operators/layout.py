@@ -292,6 +292,28 @@ def list_body(lines: DataFrame, sections: DataFrame, by: str = "hash") -> DataFr
     return x.withColumn("__end", F.max(ends.cast("int")).over(w)).where("__end = 0").drop("__p", "__i", "__end")
 
 
+def layout_starts(lines: DataFrame, by: list[str], tolerance: float = 4.0, hanging: float = 60.0, least_share: float = 0.25) -> DataFrame:
+    """(by, page, idx, starts): whether a list's line begins an entry by its indent; null where the list has no hanging indents.
+
+    Left edges within the tolerance of their neighbour are one level. A populated level begins entries unless another
+    populated one stands to its left within a hanging indent; enough lines must be indented against such a level.
+    """
+    w = Window.partitionBy(*by).orderBy("x0")
+    x = lines.where("x0 is not null").select(*by, "page", "idx", "x0", (F.col("x0") - F.lag("x0").over(w)).alias("d"))
+    x = x.withColumn("level", F.sum(F.when(F.col("d") > tolerance, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    n = x.groupBy(*by).agg(F.count("*").alias("n"))
+    lv = x.groupBy(*by, "level").agg(F.min("x0").alias("x"), F.count("*").alias("c")).join(n, by).withColumn("full", F.col("c") >= F.greatest(F.floor(F.col("n") / 20), F.lit(2)))
+    o = lv.where("full").select(*[F.col(c).alias(f"o_{c}") for c in by], F.col("x").alias("ox"))
+    same = None
+    for c in by:
+        same = F.col(c).eqNullSafe(F.col(f"o_{c}")) if same is None else same & F.col(c).eqNullSafe(F.col(f"o_{c}"))
+    left = lv.where("full").join(o, same & (F.col("x") > F.col("ox")) & (F.col("x") - F.col("ox") <= hanging)).select(*by, "level").distinct().withColumn("hangs", F.lit(True))
+    lv = lv.join(left, [*by, "level"], "left").withColumn("hangs", F.coalesce("hangs", F.lit(False)))
+    ok = lv.groupBy(*by).agg((F.sum(F.when(F.col("hangs"), F.col("c")).otherwise(0)) >= least_share * F.max("n")).alias("ok"))
+    r = x.join(lv.select(*by, "level", "full", "hangs"), [*by, "level"]).join(ok, by)
+    return r.select(*by, "page", "idx", F.when(F.col("ok"), F.col("full") & ~F.col("hangs")).alias("starts"))
+
+
 def drop_foreign_columns(lines: DataFrame, by: list[str], reach: Column | float = 60.0) -> DataFrame:
     """Lines of a list without those that start far from where its lines start on that page."""
     at = lines.groupBy(*by, "page").agg(F.percentile("x0", 0.5).alias("__x"), F.min("x0").alias("__lo"))

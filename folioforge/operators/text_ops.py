@@ -82,6 +82,25 @@ def hyphen_policy(cases: DataFrame, vocab: DataFrame, left: str, right: str) ->
     return c.select(*cases.columns, d.alias("decision"))
 
 
+def hyphen_lines(pairs: DataFrame, vocab: DataFrame, first: str = "first", second: str = "second") -> DataFrame:
+    """``pairs`` of successive lines with decision, new_first and new_second.
+
+    It applies where the first line ends in a hyphen behind letters and the next begins with a small letter, or both
+    parts are capitals; then ``hyphen_policy`` decides. A joined word stands at the end of the first line.
+    """
+    left = F.regexp_extract(first, r"(?:^|[\s(\[“\"'‘])(\p{L}+)[-¬‐]\s*$", 1)
+    right = F.regexp_extract(second, r"^\s*([\p{L}\p{N}]+)", 1)
+    small = right.rlike(r"^\p{Ll}")
+    capitals = (F.length(left) >= 2) & left.rlike(r"^\p{Lu}+$") & right.rlike(r"^\p{Lu}+$")
+    x = pairs.withColumn("__pl", left).withColumn("__pr", right).withColumn("__ok", (left != "") & (right != "") & (small | capitals))
+    d = hyphen_policy(x, vocab, "__pl", "__pr").withColumn("decision", F.when(F.coalesce("__ok", F.lit(False)), F.col("decision")).otherwise("none"))
+    joined = F.col("decision") == "join"
+    head = F.regexp_extract(second, r"^\s*(\S+)", 1)
+    new_first = F.when(joined, F.concat(F.regexp_replace(first, r"[-¬‐]\s*$", ""), head)).otherwise(F.col(first))
+    new_second = F.when(joined, F.regexp_replace(second, r"^\s*\S+\s*", "")).otherwise(F.col(second))
+    return d.select(*pairs.columns, "decision", new_first.alias("new_first"), new_second.alias("new_second"))
+
+
 def edge_lines(df: DataFrame, doc: str, page: str, text: str = "text") -> DataFrame:
     """First and last non-blank line of each text with its digit-normalised key."""
     ls = F.filter(F.split(F.col(text), "\n"), lambda x: F.trim(x) != "")

@@ -79,6 +79,17 @@ scalar("x20_text_tokens", "latex_refs", "truth_id", lambda: F.array_join(F.array
 scalar("w06_separator", "extracted_refs", "ref_id", lambda: N.separator(F.lit(0), F.col("idx") % 2, F.lit(1.0), F.lit(10.0)), "CASE WHEN idx % 2 = 1 THEN chr(10) || chr(10) ELSE chr(10) END")
 
 
+scalar("x02_normalize_title_first", "extracted_refs", "ref_id", lambda: T.normalize_title_first("title"), nt("replace(title, 'İ', 'i')"))
+
+
+@query("x29_hyphen_lines", None)
+def x29(spark, d):
+    """Every pair of successive lines of the chunks with what becomes of a hyphen between them; tested by cases."""
+    ln = _lines(spark, d)
+    pairs = ln.select("chunk_id", "line_no", F.col("line").alias("first"), F.lead("line").over(Window.partitionBy("chunk_id").orderBy("line_no")).alias("second")).where(F.col("first").rlike(r"\p{L}[-¬‐]\s*$"))
+    return O.hyphen_lines(pairs, O.vocabulary(table(spark, d, "chunks"), "text"))
+
+
 # ---- citations -----------------------------------------------------------------------------------
 _NUM = r"regexp_replace(regexp_replace(marker, '[\[\]\s]', '', 'g'), '–', '-', 'g')"
 

@@ -34,14 +34,9 @@ scalar("x06_short_digit_key", "extracted_refs", "ref_id", lambda: text.short_dig
 scalar("x12_long_words", "extracted_refs", "ref_id", lambda: F.size(text.long_words("title")), f"len(list_distinct(list_filter({wd('title')}, lambda x: length(x) >= 4)))")
 scalar("x11_title_overlap", "extracted_refs", "ref_id", lambda: F.round(text.title_overlap("title", "raw"), 6),
        f"CASE WHEN len(list_distinct(list_filter({wd('title')}, lambda x: length(x) >= 4))) >= 2 THEN round(len(list_intersect(list_distinct(list_filter({wd('title')}, lambda x: length(x) >= 4)), {wd('raw')}))::DOUBLE / len(list_distinct(list_filter({wd('title')}, lambda x: length(x) >= 4))), 6) END")
-ASCII = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[^\x20-\x7E]", "")
-asc = lambda c: rf"regexp_replace(coalesce({c}, ''), '[^\x20-\x7E]', '', 'g')"
-scalar("x09_similarity", "extracted_refs", "ref_id", lambda: F.round(text.similarity(ASCII("author"), ASCII("surname")), 6),
-       f"CASE WHEN greatest(length({asc('author')}), length({asc('surname')})) = 0 THEN 1.0 ELSE round(1 - levenshtein({asc('author')}, {asc('surname')})::DOUBLE / greatest(length({asc('author')}), length({asc('surname')})), 6) END")
-scalar("x10_title_agreement", "extracted_refs", "ref_id", lambda: F.round(text.title_agreement(ASCII("title"), F.substring(ASCII("raw"), 1, 80)), 6),
-       f"CASE WHEN {nt(asc('title'))} = '' OR {nt('substring(' + asc('raw') + ', 1, 80)')} = '' THEN 0.0 ELSE round(1 - levenshtein({nt(asc('title'))}, {nt('substring(' + asc('raw') + ', 1, 80)')})::DOUBLE / greatest(length({nt(asc('title'))}), length({nt('substring(' + asc('raw') + ', 1, 80)')})), 6) END")
-# the SQL above counts bytes and cuts raw; this is the same over the whole entry and the stored letters, tested by brute force
-scalar("x10_title_agreement_whole", "extracted_refs", "ref_id", lambda: F.round(text.title_agreement(F.coalesce("title", F.lit("")), F.coalesce("raw", F.lit(""))), 6), None)
+# DuckDB's levenshtein counts bytes, so these two, over whole texts and the stored letters, have no SQL and are tested by brute force
+scalar("x09_similarity", "extracted_refs", "ref_id", lambda: F.round(text.similarity(F.coalesce("author", F.lit("")), F.coalesce("surname", F.lit(""))), 6), None)
+scalar("x10_title_agreement", "extracted_refs", "ref_id", lambda: F.round(text.title_agreement(F.coalesce("title", F.lit("")), F.coalesce("raw", F.lit(""))), 6), None)
 scalar("u05_jaccard", "extracted_refs", "ref_id", lambda: F.round(text.jaccard(F.array_distinct(text.words(F.coalesce("title", F.lit("")))), F.array_distinct(text.words("raw"))), 6),
        f"CASE WHEN len({wd(chr(99) + 'oalesce(title, ' + chr(39) * 2 + ')')}) = 0 OR len({wd('raw')}) = 0 THEN 0.0 ELSE round(len(list_intersect(list_distinct({wd('coalesce(title, ' + chr(39) * 2 + ')')}), list_distinct({wd('raw')})))::DOUBLE / len(list_distinct(list_concat({wd('coalesce(title, ' + chr(39) * 2 + ')')}, {wd('raw')}))), 6) END")
 scalar("x17_author_year_key", "extracted_refs", "ref_id", lambda: ids.author_year_key("surname", "year"), f"CASE WHEN year IS NOT NULL AND {nt('surname')} <> '' THEN {nt('surname')} || '|' || year::VARCHAR END")

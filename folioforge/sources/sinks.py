@@ -66,3 +66,8 @@ def markdown(df: DataFrame, title: str) -> str:
         raise ValueError(f"a report has at most {MOST_ROWS} rows")
     head = "| " + " | ".join(df.columns) + " |\n|" + "-|" * len(df.columns)
     return f"# {title}\n\n{head}\n" + "\n".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows) + "\n"
+
+
+def save_manifest(df: DataFrame, path: str) -> None:
+    """A manifest as one JSON file of lines in a new folder (K18); a manifest is a list of papers, written by one task."""
+    df.coalesce(1).write.mode("errorifexists").json(path)

@@ -86,3 +86,32 @@ def test_list_bodies(spark):
     links = spark.createDataFrame([("h", 1, "u"), ("h", 2, "v")], "hash string, page int, uri string")
     frames = spark.createDataFrame([("h", 1, True), ("h", 2, False)], "hash string, page int, same boolean")
     assert Y.union_links(links.limit(1), links, frames).count() == 1
+
+
+def test_layout_starts(spark):
+    xs = [50, 62, 62, 50.5, 62, 50, 62.4, 62]
+    rows = [dict(r, x0=float(x)) for r, x in zip(page([f"line {i}" for i in range(8)], 1), xs)] + [dict(r, hash="flat") for r in page(["a", "b", "c"], 1)]
+    got: dict = {}
+    for r in Y.layout_starts(frame(spark, rows), ["hash"]).collect():
+        got.setdefault(r.hash, {})[r.idx] = r.starts
+    assert got == {"h": {i: x < 55 for i, x in enumerate(xs)}, "flat": {0: None, 1: None, 2: None}}
+    assert Y.layout_starts(frame(spark, rows).limit(0), ["hash"]).count() == 0
+
+
+def test_hyphens_between_lines(spark):
+    from folioforge.operators import text_ops as O
+    vocab = spark.createDataFrame([("northern", 5), ("self-reported", 3), ("reported", 9), ("self-aware", 2)], "w string, n bigint")
+    cases = [("in the nor-", "thern basin", "join"), ("the self-", "reported count", "keep"), ("no hyphen", "here", "none"), ("Nor-", "Thern", "none"), ("NOR-", "THERN X", "join"), ("10-", "fold", "none"), (None, "x", "none"), ("a-", None, "none")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, first string, second string")
+    got = {r.i: r for r in O.hyphen_lines(df, vocab).collect()}
+    assert [got[i].decision for i in range(len(cases))] == [c[2] for c in cases]
+    assert (got[0].new_first, got[0].new_second) == ("in the northern", "basin") and (got[1].new_first, got[1].new_second) == ("the self-", "reported count")
+
+
+def test_body_of_a_source_and_manifest(spark, tmp_path):
+    from folioforge.operators.documents import body_text
+    from folioforge.sources.sinks import save_manifest
+    tex = "\\documentclass{a}\\begin{document}\\title{T}\\maketitle\\begin{abstract}x\\end{abstract}\\section{Intro}We saw~\\cite{a} \\emph{reefs} % no\n at $x=1$ once.\n\nNext.\\begin{figure}f\\end{figure}\\end{document}after"
+    assert body_text(tex) == "Intro\n\nWe saw reefs at once.\n\nNext." and body_text(None) is None and body_text("") == ""
+    save_manifest(spark.createDataFrame([(1, "t")], "id int, title string"), str(tmp_path / "m"))
+    assert spark.read.json(str(tmp_path / "m")).count() == 1

@@ -19,12 +19,21 @@ def distance(a: str, b: str) -> int:
 def test_title_agreement_over_whole_entries(spark, tmp_path):
     rows = [(1, "Größe der Böden", "Zarubamel, Q. and Losobranoski, A. and Klokehaveski, A. and Modrevin, B. and Tarudi, S. Größe der Böden. J. 1"), (2, "renal beams", "renal beams"), (3, None, "x"), (4, "Ёлка", "ёлка!")]
     spark.createDataFrame(rows, "ref_id bigint, title string, raw string").write.parquet(str(tmp_path / "extracted_refs.parquet"))
-    got = {r.ref_id: r.value for r in registry.queries()["x10_title_agreement_whole"](spark, str(tmp_path)).collect()}
+    got = {r.ref_id: r.value for r in registry.queries()["x10_title_agreement"](spark, str(tmp_path)).collect()}
     for i, a, b in rows:
         a, b = (" ".join(re.findall(r"[^\W_]+", (x or "").lower())) for x in (a, b))
         assert got[i] == pytest.approx(1 - distance(a, b) / max(len(a), len(b)) if a and b else 0.0, abs=1e-6)
 
 
+def test_similarity_of_stored_letters(spark, tmp_path):
+    rows = [(1, "Größe, Ä.", "Größe"), (2, None, None), (3, "", "x"), (4, "Ёлка", "Ёлки"), (5, "💡b", "b"), (6, "same", "same")]
+    spark.createDataFrame(rows, "ref_id bigint, author string, surname string").write.parquet(str(tmp_path / "extracted_refs.parquet"))
+    got = {r.ref_id: r.value for r in registry.queries()["x09_similarity"](spark, str(tmp_path)).collect()}
+    for i, a, b in rows:
+        a, b = a or "", b or ""
+        assert got[i] == pytest.approx(1 - distance(a, b) / max(len(a), len(b)) if a or b else 1.0, abs=1e-6)
+
+
 def test_late_deliveries_in_many_files(spark, tmp_path):
     for i in range(10):  # the last files hold the oldest rows
         df = spark.createDataFrame([(i, f"20{20 - i:02d}-01-01 00:00:00"), (0, "2020-01-01 00:00:00")], "run_id bigint, landed_at string")
