@@ -40,3 +40,18 @@ def test_late_deliveries_in_many_files(spark, tmp_path):
         df.coalesce(1).write.mode("append").parquet(str(tmp_path / "runs.parquet"))
     got = [r.run_id for r in registry.queries()["st08_deliveries_once"](spark, str(tmp_path)).collect()]
     assert sorted(got) == list(range(10))
+
+
+def test_word_error_rate_against_word_by_word_distance(spark):
+    import random
+
+    from folioforge.operators.text_ops import word_error_rate
+    rng = random.Random(2)
+    words = ["reef", "kelp", "Größe", "土", "a", "💡"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 7))), " ".join(rng.choices(words, k=rng.randint(0, 7)))) for i in range(80)] + [(900, None, "x"), (901, "x", None), (902, "  ", "x"), (903, " a  a ", "a a")]
+    rows.append((904, " ".join(f"w{k}" for k in range(3000)), " ".join(f"w{k}" for k in range(1, 3000))))
+    got = {r.i: r.v for r in spark.createDataFrame(rows, "i int, a string, b string").select("i", word_error_rate("a", "b").alias("v")).collect()}
+    assert got.pop(904) == pytest.approx(1 / 3000)
+    for i, a, b in rows[:-1]:
+        a, b = (a or "").split(), (b or "").split()
+        assert got[i] == (pytest.approx(distance(a, b) / len(a)) if a else None)
