@@ -193,7 +193,7 @@ def venue_of(c) -> Column:
 
 def page1_year(lines: Column) -> Column:
     """Year of the first dated line (received, accepted, published, copyright), else the first year at all."""
-    y = lambda x: F.nullif(F.regexp_extract(x, r"\b((?:19|20)[0-9]{2})\b", 1), F.lit("")).cast("int")
+    y = lambda x: F.nullif(F.regexp_extract(x, r"(?<![0-9A-Za-z_])((?:19|20)[0-9]{2})(?![0-9A-Za-z_])", 1), F.lit("")).cast("int")
     dated = F.filter(lines, lambda x: x.rlike(r"(?i)\b(?:received|accepted|published|copyright|available online)\b|©") & y(x).isNotNull())
     any_ = F.filter(lines, lambda x: y(x).isNotNull())
     return F.coalesce(y(F.get(dated, F.lit(0))), y(F.get(any_, F.lit(0))))

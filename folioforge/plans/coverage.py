@@ -56,8 +56,11 @@ scalar("x126_json_array", "runs", "run_id", lambda: F.size(N.json_array(F.concat
 scalar("x127_reference_extra", "extracted_refs", "ref_id", lambda: N.reference_extra("label", "page"), None)
 scalar("x129_requires_session", "manifest_item", "doc_hash", lambda: N.requires_session(F.when(F.col("pmid").isNull(), "www.arxiv.org").otherwise("www.x.org"), F.col("license_code").isNotNull()), "license_code IS NULL AND pmid IS NOT NULL")
 scalar("x132_search_url", "manifest_item", "doc_hash", lambda: N.search_url("https://api.example.org/works", "pmcid", 5000), "'https://api.example.org/works?query=' || pmcid || '&rows=1000'")
-scalar("x98_venue", "extracted_refs", "ref_id", lambda: N.venue_of("raw"), None)
-scalar("x92_page1_year", "chunks", "chunk_id", lambda: N.page1_year(F.split("text", "\n")), None)
+_VK = r"(?:Annals|Journal|Letters|Proceedings|Acta|Archives|Reviews|Transactions|Bulletin|Ann|J|Lett|Proc|Arch|Rev|Trans|Bull)\b"
+scalar("x98_venue", "extracted_refs", "ref_id", lambda: N.venue_of("raw"), "coalesce(" + ", ".join(f"nullif(trim(regexp_extract(raw, '{p}', 1), ' .,'), '')" for p in (r"\bIn:\s+([^,;:0-9]+)", r"[”\"],?\s+([^,;:0-9”\"]+),", rf"[.,]\s+({_VK}[^,;:0-9]*)")) + ")")
+_Y92 = r"nullif(regexp_extract(x, '\b((?:19|20)[0-9]{2})\b', 1), '')::INT"
+scalar("x92_page1_year", "chunks", "chunk_id", lambda: N.page1_year(F.split("text", "\n")),
+       rf"coalesce(list_filter(list_transform(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)\b(?:received|accepted|published|copyright|available online)\b|©')), lambda x: {_Y92}), lambda y: y IS NOT NULL)[1], list_filter(list_transform(string_split(text, chr(10)), lambda x: {_Y92}), lambda y: y IS NOT NULL)[1])")
 scalar("x113_encode_component", "manifest_item", "doc_hash", lambda: U.percent_encode(F.concat("pmcid", F.lit(" &/"), F.col("pub_year").cast("string"))), "pmcid || '%20%26%2F' || pub_year::VARCHAR")
 scalar("x41_percent_decode", "manifest_item", "doc_hash", lambda: U.percent_decode(F.concat("pmcid", F.lit("%20%C3%A9+%2"))), "pmcid || '%20%C3%A9+%2'")
 scalar("x40_extension", "manifest_item", "doc_hash", lambda: U.extension(F.concat(F.lit("https://x.org/a.b/"), "pmcid", F.lit(".PDF?x=1"))), "CASE WHEN pmcid IS NOT NULL THEN 'pdf' END")
@@ -73,8 +76,11 @@ scalar("x131_openurl", "manifest_item", "doc_hash", lambda: U.openurl("http://r"
 scalar("x44_host_suffixes", "manifest_item", "doc_hash", lambda: F.array_join(U.host_suffixes(F.concat(F.lower("pmcid"), F.lit(".co.uk"))), " "), "lower(pmcid) || '.co.uk co.uk uk'")
 scalar("f43_public_ip", "customer", "c_custkey", lambda: U.public_ip(F.concat(F.lit("10."), (F.col("c_custkey") % 256).cast("string"), F.lit(".0.1"))), "false")
 scalar("f44_safe_url", "manifest_item", "doc_hash", lambda: U.safe_url(F.concat(F.when(F.col("is_manuscript"), "ftp").otherwise("https"), F.lit("://x.org/"), "pmcid")), "CASE WHEN is_manuscript IS NOT true THEN 'https://x.org/' || pmcid END")
-scalar("x32_spacing_accents", "extracted_refs", "ref_id", lambda: T.spacing_to_combining(F.concat("surname", F.lit("´"))), None)
-scalar("x16_person_key", "extracted_refs", "ref_id", lambda: ids.person_key("author"), None)
+scalar("x32_spacing_accents", "extracted_refs", "ref_id", lambda: T.spacing_to_combining(F.concat("surname", F.lit("´"))),
+       "translate(surname || '´', '´`ˆ˜¨˚¸ˇ˘˙˝', '" + "\u0301\u0300\u0302\u0303\u0308\u030a\u0327\u030c\u0306\u0307\u030b" + "')")
+_FAM = r"CASE WHEN contains(trim(author), ',') THEN trim(split_part(trim(author), ',', 1)) ELSE regexp_extract(trim(author), '((?:(?:van|von|de|di|da|du|der|den|del|la|le)\s+)*\S+)$', 1) END"
+scalar("x16_person_key", "extracted_refs", "ref_id", lambda: ids.person_key("author"),
+       rf"concat_ws('|', lower({_FAM}), lower(substring(CASE WHEN contains(trim(author), ',') THEN trim(regexp_replace(trim(author), '^[^,]*,\s*', '')) ELSE trim(author) END, 1, 1)))")
 scalar("x20_text_tokens", "latex_refs", "truth_id", lambda: F.array_join(F.array_sort(F.array_distinct(T.words(F.regexp_replace(T.join_break_hyphens(O.nfkc("text")), r"^\s*\[[^\]]{1,12}\]\s*", "")))), " "), None)
 scalar("w06_separator", "extracted_refs", "ref_id", lambda: N.separator(F.lit(0), F.col("idx") % 2, F.lit(1.0), F.lit(10.0)), "CASE WHEN idx % 2 = 1 THEN chr(10) || chr(10) ELSE chr(10) END")
 

@@ -42,7 +42,9 @@ def j10(spark, d):
     return M.cascade(table(spark, d, "extracted_refs"), table(spark, d, "latex_refs"), [("doi", F.nullif(ids.loose_doi("doi"), F.lit("")), F.nullif(ids.loose_doi("doi"), F.lit(""))), ("title_year", ty, ty), ("title", t, t)], "ref_id", "truth_id")
 
 
-@query("j13_fuzzy_title", None)
+@query("j13_fuzzy_title", f"""WITH a AS (SELECT {NT.format(c='title')} AS ta, count(*) AS na FROM extracted_refs WHERE title IS NOT NULL GROUP BY 1), b AS (SELECT {NT.format(c='title')} AS tb, count(*) AS nb FROM latex_refs WHERE title IS NOT NULL GROUP BY 1),
+wa AS (SELECT ta, na, list_distinct(string_split(ta, ' ')) AS w FROM a), wb AS (SELECT tb, nb, list_distinct(string_split(tb, ' ')) AS w FROM b)
+SELECT ta, tb, na, nb, inter::INT AS inter, (la + lb - inter)::INT AS uni FROM (SELECT ta, tb, na, nb, len(list_intersect(wa.w, wb.w)) AS inter, len(wa.w) AS la, len(wb.w) AS lb FROM wa, wb WHERE len(wa.w) * 5 >= len(wb.w) * 4 AND len(wb.w) * 5 >= len(wa.w) * 4) WHERE inter * 5 >= (la + lb - inter) * 4""")
 def j13(spark, d):
     """All title classes of both tables with a word Jaccard of at least 4/5, with the number of rows of each."""
     a = table(spark, d, "extracted_refs").where("title is not null").groupBy(T.normalize_title("title").alias("ta")).agg(F.count("*").alias("na"))

@@ -98,7 +98,8 @@ scalar("f17_math_share", "documents", "doc_id", lambda: F.round(text.math_share(
 scalar("x104_cited_numbers", "chunks", "chunk_id", lambda: F.size(F.flatten(F.transform(text.markers("text"), lambda m: text.cited_numbers(m)))), None)
 scalar("d36_numeric_markers", "chunks", "chunk_id", lambda: F.array_join(text.markers("text"), " "), r"array_to_string(regexp_extract_all(text, '(\[[0-9]+(?:\s*[,–-]\s*[0-9]+)*\])', 1), ' ')")
 scalar("a19_digit_bag", "extracted_refs", "ref_id", lambda: joined(text.digit_bag("title")), "array_to_string(list_sort(list_filter(regexp_extract_all(title, '[0-9]+'), lambda x: NOT regexp_matches(x, '^(1[89]|20)[0-9]{2}$'))), ' ')")
-scalar("f33_digits_conflict", "extracted_refs", "ref_id", lambda: text.digits_conflict(text.digit_bag(F.coalesce("title", F.lit(""))), text.digit_bag(F.coalesce("raw", F.lit("")))), None)
+scalar("f33_digits_conflict", "extracted_refs", "ref_id", lambda: text.digits_conflict(text.digit_bag(F.coalesce("title", F.lit(""))), text.digit_bag(F.coalesce("raw", F.lit("")))),
+       "len(list_filter({a}, lambda x: NOT list_contains({b}, x))) > 0 AND len(list_filter({b}, lambda x: NOT list_contains({a}, x))) > 0".format(**{k: f"list_filter(regexp_extract_all(coalesce({c}, ''), '[0-9]+'), lambda y: NOT regexp_matches(y, '^(1[89]|20)[0-9]{{2}}$'))" for k, c in (("a", "title"), ("b", "raw"))}))
 scalar("x115_sha256", "chunks", "chunk_id", lambda: F.sha2("text", 256), "sha256(text)")
 scalar("x116_config_digest", "runs", "run_id", lambda: ids.config_digest(F.create_map(F.lit("backend"), "backend_name", F.lit("version"), "backend_version", F.lit("schema"), F.col("schema_version").cast("string"))),
        "sha256('backend=' || backend_name || chr(10) || 'schema=' || schema_version::VARCHAR || chr(10) || 'version=' || backend_version || chr(10))")
@@ -125,4 +126,5 @@ scalar("x102_quoted_title", "extracted_refs", "ref_id", lambda: text.quoted_titl
 scalar("x103_find_url", "extracted_refs", "ref_id", lambda: text.find_url("raw"), r"""nullif(regexp_replace(regexp_extract(raw, '(https?://[^\s<>"]+)', 1), '[.,;)\]]+$', ''), '')""")
 scalar("t11_byte_prefix", "extracted_refs", "ref_id", lambda: text.byte_prefix("title", 40),
        "CASE WHEN strlen(title) <= 40 THEN title WHEN title IS NOT NULL THEN substring(title, 1, list_max(list_filter(range(0, 41), lambda k: strlen(substring(title, 1, k::INT)) <= 40))::INT) END")
-scalar("u06_multiset_overlap", "extracted_refs", "ref_id", lambda: text.multiset_overlap(text.words(F.coalesce("title", F.lit(""))), text.words(F.coalesce("raw", F.lit("")))), None)
+scalar("u06_multiset_overlap", "extracted_refs", "ref_id", lambda: text.multiset_overlap(text.words(F.coalesce("title", F.lit(""))), text.words(F.coalesce("raw", F.lit("")))),
+       "coalesce(list_sum(list_transform(list_distinct({a}), lambda x: least(len(list_filter({a}, lambda y: y = x)), len(list_filter({b}, lambda y: y = x))))), 0)::INT".format(a=wd("coalesce(title, '')"), b=wd("coalesce(raw, '')")))
