@@ -8,8 +8,8 @@ and average-linkage clustering over each component of linked names groups the va
 the n most similar partners of each name only, as a report; by default all partners are kept.
 
 Scale: everything after the first distinct works on different names, not on rows; postings of rare grams
-are short; all pairs of a component are compared, those of a large one in blocks over the executors, so the
-result doesn't depend on its size. A component's similarities above 0 are clustered in one task.
+are short; all pairs of a component are compared and clustered, those of one with more than FULL_COMPARISON names in
+blocks and rounds over the executors, so the result doesn't depend on its size and no task holds a large component.
 
 Defined results: null and blank names link to nothing; a name that only has initials or one letter
 links to nothing; values with equal folded forms are variants of each other.
@@ -52,7 +52,7 @@ GRAM = 5
 COSINE, LINK = 0.35, 0.5
 #: Most bits in which the signatures of two names with a similarity differ.
 SLIP_BITS, MASK = 6, (1 << 63) - 1
-#: Components of up to this many names are compared in one task, larger ones in blocks of BLOCK names over all.
+#: Components of up to this many names are compared and clustered in one task, larger ones in blocks of BLOCK names and in rounds over all.
 FULL_COMPARISON, BLOCK = 150, 500
 _STOP = {"of", "and", "the", "for", "in"}
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*\.?", re.UNICODE)
@@ -373,6 +373,34 @@ def average_linkage(n: int, links: list[tuple[int, int, float]], least: float =
     return label
 
 
+def linkage_rounds(sims: DataFrame, least: float = LINK) -> DataFrame:
+    """(id, entity): average linkage of any number of items over the executors; ``sims`` is (a, b, sim), a < b, missing pairs count as 0.
+
+    In each round all pairs of clusters that are each other's best partner are merged. The average of a merged
+    cluster to any other is never above the better one of its parts, so this gives the clusters of merging one
+    pair at a time (Bruynooghe's reducibility); equal averages are ordered by the pair's ids in both. No task holds a cluster or a component.
+    """
+    edges = materialize(sims.groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.max("sim").alias("s")))
+    nodes = edges.select("u").union(edges.select(F.col("v").alias("u"))).distinct()
+    member = materialize(nodes.select(F.col("u").alias("id"), F.col("u").alias("entity")))
+    size = member.select(F.col("entity").alias("c"), F.lit(1).cast("bigint").alias("n"))
+    while True:
+        su, sv = size.select(F.col("c").alias("u"), F.col("n").alias("nu")), size.select(F.col("c").alias("v"), F.col("n").alias("nv"))
+        near = edges.join(su, "u").join(sv, "v").select("u", "v", (F.col("s") / (F.col("nu") * F.col("nv"))).alias("avg")).where(F.col("avg") >= least)
+        order = F.struct(-F.round("avg", 12), "u", "v")
+        both = near.select(F.col("u").alias("x"), order.alias("o")).union(near.select(F.col("v").alias("x"), order.alias("o")))
+        best = both.groupBy("x").agg(F.min("o").alias("o")).select("x", "o.u", "o.v")
+        # a pair that is the best of both its ends
+        merged = materialize(best.groupBy("u", "v").agg(F.count("*").alias("ends")).where("ends = 2").select(F.col("v").alias("c"), F.col("u").alias("into")))
+        if merged.isEmpty():
+            return member
+        to = lambda df, col: df.join(merged.withColumnRenamed("c", col), col, "left").withColumn(col, F.coalesce("into", col)).drop("into")
+        e = to(to(edges, "u"), "v").where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "s")
+        edges = materialize(e.groupBy("u", "v").agg(F.sum("s").alias("s")))
+        size = materialize(to(size, "c").groupBy("c").agg(F.sum("n").alias("n")))
+        member = materialize(to(member, "entity").select("id", "entity"))
+
+
 def similar_in_blocks(names: DataFrame) -> DataFrame:
     """(component, a, b, sim) of all pairs with sim > 0 of each component of ``names`` (component, n, node, key); a < b.
 
@@ -426,20 +454,22 @@ def entities(authors: DataFrame, name_col: str = "author", cosine: float = COSIN
     member = materialize(connected_components(links))
     grouped = links.join(member.select(F.col("node").alias("a"), "component"), "a").join(keys.select(F.col("id").alias("a"), F.col("key").alias("ka")), "a").join(keys.select(F.col("id").alias("b"), F.col("key").alias("kb")), "b").select("component", "a", "b", "ka", "kb", "sim")
     large = member.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > FULL_COMPARISON)
-    if not large.isEmpty():  # clustered on the similarities alone, which are complete
+    apart = None
+    if not large.isEmpty():  # compared in blocks and clustered in rounds, over the executors
         inside = member.join(large, "component").join(keys.withColumnRenamed("id", "node"), "node")
-        grouped = grouped.join(large, "component", "left_anti").unionByName(similar_in_blocks(inside).select("component", "a", "b", F.lit(None).cast("string").alias("ka"), F.lit(None).cast("string").alias("kb"), "sim"))
+        grouped = grouped.join(large, "component", "left_anti")
+        apart = linkage_rounds(similar_in_blocks(inside).select("a", "b", "sim"), link)
 
     def cluster(rows: list[tuple]) -> list[tuple[int, int]]:
         ids = sorted({r[1] for r in rows} | {r[2] for r in rows})
         at = {x: k for k, x in enumerate(ids)}
         sims = {(at[a], at[b]): s for _, a, b, _, _, s in rows}
-        if rows[0][3] is not None:  # pairs below the cosine threshold have a similarity too
-            key = {r[1]: r[3] for r in rows} | {r[2]: r[4] for r in rows}
-            for i in range(len(ids)):
-                for j in range(i + 1, len(ids)):
-                    if (i, j) not in sims and (j, i) not in sims and (s := similarity(key[ids[i]], key[ids[j]])) > 0:
-                        sims[i, j] = s
+        # pairs below the cosine threshold have a similarity too
+        key = {r[1]: r[3] for r in rows} | {r[2]: r[4] for r in rows}
+        for i in range(len(ids)):
+            for j in range(i + 1, len(ids)):
+                if (i, j) not in sims and (j, i) not in sims and (s := similarity(key[ids[i]], key[ids[j]])) > 0:
+                    sims[i, j] = s
         label = average_linkage(len(ids), [(i, j, s) for (i, j), s in sims.items()], link)
         return [(x, ids[k]) for x, k in zip(ids, label)]
 
@@ -461,6 +491,7 @@ def entities(authors: DataFrame, name_col: str = "author", cosine: float = COSIN
 
     parts = int(authors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = grouped.repartition(parts, "component").sortWithinPartitions("component").mapInArrow(clusters, "id bigint, entity bigint")
+    found = found if apart is None else found.unionByName(apart)
     return names.join(found, "id", "left").select("name", F.coalesce("entity", "id").alias("entity"))
 
 

@@ -68,6 +68,21 @@ def test_entities_do_not_depend_on_the_size_of_a_component(spark, monkeypatch):
     assert found(2) == found(100_000) and {frozenset(people[i:i + 3]) for i in range(0, 12, 3)} <= found(2)
 
 
+def test_linkage_in_rounds_equals_one_pair_at_a_time(spark):
+    rng = random.Random(12)
+    for n, share in ((6, 0.8), (40, 0.3), (60, 0.1)):
+        links = [(i, j, rng.choice([0.5, 0.7, 0.9]) if n == 6 else rng.random()) for i in range(n) for j in range(i + 1, n) if rng.random() < share]
+        label = names.average_linkage(n, links, 0.4)
+        want: dict = {}
+        for i in {x for a, b, _ in links for x in (a, b)}:
+            want.setdefault(label[i], set()).add(i)
+        got: dict = {}
+        for r in names.linkage_rounds(spark.createDataFrame(links, "a bigint, b bigint, sim double"), 0.4).collect():
+            got.setdefault(r.entity, set()).add(r.id)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert names.linkage_rounds(spark.createDataFrame([], "a bigint, b bigint, sim double")).count() == 0
+
+
 # ---- 1
 def test_the_vectors_tell_a_misreading_from_a_word_that_looks_like_one(spark):
     rng = random.Random(6)
