@@ -142,12 +142,15 @@ def evidence_guard(entries: DataFrame, by: list[str], idx: str, raw: str) -> Dat
     A list in which no entry has evidence is left alone.
     """
     from folioforge.functions.text import has_reference_evidence
-    w = Window.partitionBy(*by).orderBy(idx)
-    e = entries.withColumn("__e", has_reference_evidence(raw).cast("int"))
-    e = e.withColumn("__any", F.max("__e").over(Window.partitionBy(*by)))
-    e = e.withColumn("__grp", F.when(F.col("__any") == 0, F.col(idx) + 1).otherwise(F.sum("__e").over(w)))
-    e = e.withColumn("__later", F.max("__e").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    e = e.where((F.col("__any") == 0) | (F.col("__later") == 1) | (F.col("__e") == 1)).withColumn("__grp", F.greatest("__grp", F.lit(1)))
+    from folioforge.operators.ledger import row_numbers, running_sum
+    e = row_numbers(entries.withColumn("__e", F.coalesce(has_reference_evidence(raw), F.lit(False)).cast("bigint")), by, idx, "__rn")
+    total = e.groupBy(*[F.col(c).alias(f"__t{k}") for k, c in enumerate(by)]).agg(F.sum("__e").alias("__all"))
+    same = None
+    for k, c in enumerate(by):
+        same = F.col(c).eqNullSafe(F.col(f"__t{k}")) if same is None else same & F.col(c).eqNullSafe(F.col(f"__t{k}"))
+    e = running_sum(e, by, "__rn", "__e", "__upto").join(total, same)
+    e = e.where((F.col("__all") == 0) | (F.col("__upto") < F.col("__all")) | (F.col("__e") == 1))
+    e = e.withColumn("__grp", F.greatest(F.when(F.col("__all") == 0, F.col("__rn").cast("bigint")).otherwise(F.col("__upto")), F.lit(1).cast("bigint")))
     texts = F.transform(F.array_sort(F.collect_list(F.struct(idx, raw))), lambda x: x[raw])
     return e.groupBy(*by, "__grp").agg(F.min(idx).alias(idx), F.array_join(texts, " ").alias(raw)).drop("__grp")
 

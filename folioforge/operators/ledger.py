@@ -73,3 +73,28 @@ def row_numbers(df: DataFrame, by: list[str], order: str, name: str = "rn", ties
         same = same & F.col(c).eqNullSafe(F.col(f"__{k}"))
     own = F.row_number().over(Window.partitionBy(*by, "__r").orderBy(order, *ties))
     return x.withColumn("__own", own).join(n, same).select(*df.columns, (F.col("__before") + F.col("__own")).cast("int").alias(name))
+
+
+def running_sum(df: DataFrame, by: list[str], rn: str, value: str, name: str = "upto", block: int = 4096) -> DataFrame:
+    """``df`` with the sum of ``value`` up to each row of ``by`` in the order of its row number ``rn`` (from ``row_numbers``).
+
+    Blocks of row numbers are summed first, so a key with very many rows is spread over its blocks.
+    """
+    x = df.withColumn("__b", F.floor((F.col(rn) - 1) / block))
+    before = F.sum("__s").over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    t = x.groupBy(*by, "__b").agg(F.coalesce(F.sum(value), F.lit(0)).alias("__s")).withColumn("__before", F.coalesce(before, F.lit(0)))
+    t = t.select(*[F.col(c).alias(f"__{k}") for k, c in enumerate(by)], F.col("__b").alias("__q"), "__before")
+    same = F.col("__b") == F.col("__q")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__{k}"))
+    own = F.sum(value).over(Window.partitionBy(*by, "__b").orderBy(rn).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return x.withColumn("__own", F.coalesce(own, F.lit(0))).join(t, same).select(*df.columns, (F.col("__before") + F.col("__own")).alias(name))
+
+
+def shifted(df: DataFrame, by: list[str], rn: str, value: str, by_rows: int, name: str) -> DataFrame:
+    """``df`` with the value of the row ``by_rows`` further on in ``by`` (negative: before), joined by row number."""
+    o = df.select(*[F.col(c).alias(f"__{k}") for k, c in enumerate(by)], (F.col(rn) - by_rows).alias("__rn"), F.col(value).alias(name))
+    same = F.col(rn) == F.col("__rn")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__{k}"))
+    return df.join(o, same, "left").select(*df.columns, name)

@@ -114,16 +114,18 @@ def w03(spark, d):
 @query("w08_namespace", """SELECT ref_id, sum(CASE WHEN number <= prev THEN 1 ELSE 0 END) OVER (PARTITION BY doc_hash, run_id ORDER BY idx)::BIGINT AS namespace FROM (
 SELECT ref_id, doc_hash, run_id, idx, number, lag(number) OVER (PARTITION BY doc_hash, run_id ORDER BY idx) AS prev FROM (SELECT *, nullif(regexp_extract(coalesce(label, ''), '([0-9]{1,6})', 1), '')::INT AS number FROM extracted_refs))""")
 def w08(spark, d):
-    w = Window.partitionBy("doc_hash", "run_id").orderBy("idx")
-    x = table(spark, d, "extracted_refs").select("ref_id", "doc_hash", "run_id", "idx", F.nullif(F.regexp_extract(F.coalesce("label", F.lit("")), "([0-9]{1,6})", 1), F.lit("")).cast("int").alias("number"))
-    x = x.withColumn("prev", F.lag("number").over(w))
-    return x.select("ref_id", F.sum(F.when(F.col("number") <= F.col("prev"), 1).otherwise(0)).over(w).alias("namespace"))
+    by = ["doc_hash", "run_id"]
+    x = table(spark, d, "extracted_refs").select("ref_id", *by, "idx", F.nullif(F.regexp_extract(F.coalesce("label", F.lit("")), "([0-9]{1,6})", 1), F.lit("")).cast("int").alias("number"))
+    x = L.shifted(L.row_numbers(x, by, "idx"), by, "rn", "number", -1, "prev")
+    x = x.withColumn("again", F.when(F.col("number") <= F.col("prev"), 1).otherwise(0).cast("bigint"))
+    return L.running_sum(x, by, "rn", "again", "namespace").select("ref_id", "namespace")
 
 
 @query("w09_numbered_run", "SELECT ref_id FROM (SELECT ref_id, label, lead(label, 1) OVER w AS b, lead(label, 2) OVER w AS c FROM extracted_refs WINDOW w AS (PARTITION BY doc_hash, run_id ORDER BY idx)) WHERE label = '[1]' AND b = '[2]' AND c = '[3]'")
 def w09(spark, d):
-    w = Window.partitionBy("doc_hash", "run_id").orderBy("idx")
-    return table(spark, d, "extracted_refs").select("ref_id", "label", F.lead("label", 1).over(w).alias("b"), F.lead("label", 2).over(w).alias("c")).where("label = '[1]' and b = '[2]' and c = '[3]'").select("ref_id")
+    by = ["doc_hash", "run_id"]
+    x = L.row_numbers(table(spark, d, "extracted_refs").select("ref_id", *by, "idx", "label"), by, "idx")
+    return L.shifted(L.shifted(x, by, "rn", "label", 1, "b"), by, "rn", "label", 2, "c").where("label = '[1]' and b = '[2]' and c = '[3]'").select("ref_id")
 
 
 @query("w18_tie_rank", "SELECT ref_id, row_number() OVER (PARTITION BY doi ORDER BY year IS NULL, surname IS NULL, ref_id) AS rank FROM extracted_refs WHERE doi IS NOT NULL")
