@@ -262,22 +262,41 @@ def _shape_bits(letters: list[str]) -> int:
     return v | (len(letters) * 0x9E3779B1 & 0x7FFFFF) << 40
 
 
+def _given_bits(g: tuple[str, ...]) -> int:
+    """Bits of the letters with which a first given name, or what it is short for, may begin after one slip; one bit of its own for none."""
+    if not g:
+        return 1 << 30
+    v = 0
+    for x in (g[0], SHORT.get(g[0], g[0])):
+        for c in x[:2]:
+            v |= 1 << ord(c) % 30
+    return v
+
+
 @lru_cache(maxsize=100_000)
-def signature(key: str) -> tuple[int | None, int | None, int | None]:
-    """Bits of the surname of each reading of a person, and of the words of an organisation or acronym.
+def signature(key: str) -> tuple[int | None, int | None, int | None, int]:
+    """Bits of the surname of each reading of a person, of the words of an organisation or acronym, and of the given names of both readings.
 
     ``similarity`` above 0 implies that a surname of one name and one of the other, or the words of both,
     differ in at most SLIP_BITS: one edit changes 3 letter pairs of each surname at most, organisations have
     at most two slips, and an acronym stands for as many words as it has letters. Where more than three words
-    follow an acronym their slips are not bounded: the last value is negative, which stands for any.
+    follow an acronym their slips are not bounded: the third value is negative, which stands for any. It also
+    implies that the given names beside such surnames share a bit: equal ones, initials and short forms share their
+    first letter, and one slip leaves one of the first two letters of both in common. The bits of the second reading
+    are shifted by 32.
     """
     kind = parse(key)
     if kind[0] == "org":
-        return None, None, _shape_bits([w[0] for w in kind[1]])
-    families = sorted({_family_bits(s) for s, _ in kind[1]})
+        return None, None, _shape_bits([w[0] for w in kind[1]]), 0
+    given: dict[int, int] = {}
+    for s, g in kind[1]:
+        f = _family_bits(s)
+        given[f] = given.get(f, 0) | _given_bits(g)
+    families = sorted(given)
     acronyms, rest = kind[2]
     shape = None if not acronyms else -1 if len(rest) > 3 else _shape_bits([*"".join(acronyms), *(w[0] for w in rest)])
-    return families[0] if families else None, families[1] if len(families) > 1 else None, shape
+    bits = sum(given[f] << 32 * k for k, f in enumerate(families[:2]))
+    return families[0] if families else None, families[1] if len(families) > 1 else None, shape, bits
 
 
 def linked_pairs(keys: DataFrame, cosine: float = COSINE, top_n: int | None = None) -> DataFrame:
@@ -308,11 +327,12 @@ def linked_pairs(keys: DataFrame, cosine: float = COSINE, top_n: int | None = No
                 sign = signature(key)
                 for x in v[:k]:
                     ids.append(i), out.append(x["gram"]), signs.append(sign)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string()), *(pa.array([x[j] for x in signs], pa.int64()) for j in range(3))], ["id", "gram", "s1", "s2", "s3"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string()), *(pa.array([x[j] for x in signs], pa.int64()) for j in range(4))], ["id", "gram", "s1", "s2", "s3", "g"])
 
-    heads = materialize(vector.select("id", "key", "v").mapInArrow(prefix, "id bigint, gram string, s1 bigint, s2 bigint, s3 bigint").withColumn("gram", F.xxhash64("gram")))
+    heads = materialize(vector.select("id", "key", "v").mapInArrow(prefix, "id bigint, gram string, s1 bigint, s2 bigint, s3 bigint, g bigint").withColumn("gram", F.xxhash64("gram")))
     # counted inside the join, so pairs that can't be linked never leave it
-    near = " or ".join(f"bit_count(x.{p} ^ y.{q}) <= {SLIP_BITS}" for p, q in (("s1", "s1"), ("s1", "s2"), ("s2", "s1"), ("s2", "s2"), ("s3", "s3")))
+    half = {"s1": "{0}.g & 4294967295", "s2": "shiftrightunsigned({0}.g, 32)"}
+    near = " or ".join(f"bit_count(x.{p} ^ y.{q}) <= {SLIP_BITS} and ({half[p].format('x')}) & ({half[q].format('y')}) != 0" for p in half for q in half) + f" or bit_count(x.s3 ^ y.s3) <= {SLIP_BITS}"
     pairs = heads.alias("x").join(heads.alias("y"), F.expr(f"x.gram = y.gram and x.id < y.id and ({near} or (x.s3 < 0 or y.s3 < 0) and x.s3 is not null and y.s3 is not null)"))
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     key = vector.select("id", "key")
@@ -427,7 +447,7 @@ def similar_in_blocks(names: DataFrame) -> DataFrame:
 
 
 def _signs(v: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    signs = [signature(x["key"]) for x in v]
+    signs = [signature(x["key"])[:3] for x in v]
     return np.array([[y or 0 for y in s] for s in signs], np.int64).reshape(-1, 3), np.array([[y is not None for y in s] for s in signs], bool).reshape(-1, 3)
 
 
