@@ -49,6 +49,41 @@ def test_signatures_of_all_similar_names_are_near():
     assert not similar
 
 
+def test_candidates_hold_all_similar_names(spark, monkeypatch):
+    rng = random.Random(21)
+    base = ["Quentin D. Zarubamel", "Zarubamel, Q. D.", "Q. Zarubamel", "Zarubamel", "Bob Zarubamel", "R. Zarubamel", "Robert Leonard", "Leonard, Rob", "Leonard S", "Leonard Staflepi", "Staflepi, L.", "Ford A W", "Alexander William Ford",
+            "Ford, Sandy", "Zarubamel JB", "J. B. Zarubamel", "Institute of Soil and Water, Genvatiwald", "Inst. of Soil and Water, Genvatiwald", "ISW Genvatiwald", "ISW Genva Tiwald", "Institute of Soil and Water, Genva Tiwald",
+            "Univ. of Genvatiwald", "University of Genvatiwald", "Institute of Water", "Inst. of Water", "Institute of Wtr", "Research Council of Materials", "RCM"]
+    keys = {names.fold(x) for x in base}
+    for x in base:
+        for _ in range(12):
+            i = rng.randrange(len(x) - 1)
+            keys.add(names.fold(rng.choice([x[:i] + x[i + 1:], x[:i] + x[i + 1] + x[i] + x[i + 2:], x[:i] + rng.choice("abcxyz") + x[i:]])))
+    text = sorted(k for k in keys if names.grams(k))
+    want = {(i, j) for j in range(len(text)) for i in range(j) if names.similarity(text[i], text[j]) > 0}
+    df = spark.createDataFrame(list(enumerate(text)), "id bigint, key string")
+    for hot, sample, block in ((200, 8, 2000), (0, 1, 3), (8, 2, 5)):  # no key, every key and some keys are split
+        monkeypatch.setattr(names, "HOT", hot), monkeypatch.setattr(names, "SAMPLE", sample), monkeypatch.setattr(names, "WORD_BLOCK", block)
+        got = {(r.a, r.b) for r in names.candidates(df).collect()}
+        assert want <= got and all(a < b for a, b in got)
+    assert names.candidates(df.limit(0)).count() == 0
+
+
+def test_candidates_grow_with_the_table(spark, monkeypatch):
+    # endings, given names and words of organisations are shared by all, surnames and places by few
+    monkeypatch.setattr(names, "HOT", 40), monkeypatch.setattr(names, "SAMPLE", 2)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bdfgklmnprstv") + rng.choice("aeiou") for _ in range(5))
+    forms = ("Leonard {}tiwald", "L. {}tiwald", "Leonard W. {}tiwald", "{}tiwald, L.", "Institute of Soil and Water, {}tiwald", "Inst. of Soil and Water, {}tiwald")
+
+    def count(n: int) -> int:
+        keys = [names.fold(f.format(w.capitalize())) for w in (word() for _ in range(n)) for f in forms]
+        return names.candidates(spark.createDataFrame(list(enumerate(keys)), "id bigint, key string")).count()
+
+    few, many = count(100), count(800)
+    assert 7 * 100 <= few and many < 12 * few
+
+
 def test_entities_do_not_depend_on_the_size_of_a_component(spark, monkeypatch):
     # a slip shares no gram with the name it is of, only the initial links both
     rng = random.Random(9)
