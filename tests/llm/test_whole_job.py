@@ -1,7 +1,8 @@
 """Cases that an earlier form of an operator lost."""
+import itertools
 import random
 
-from folioforge.llm import linkage, names, repeated, scans
+from folioforge.llm import linkage, names, queries, repeated, scans
 from tests.llm.test_operators import REF, TRUTH
 
 
@@ -183,3 +184,21 @@ def test_sequences_equal_a_brute_force_search(spark):
     lines = {(i, k) for i, h, _, t in rows if h in pub_of for k, x in enumerate((t or "").split("\n"), 1) if (pub_of[h], x) in short}
     assert {(x.chunk_id, x.line_no) for x in r.found().collect()} == lines
     assert {(x.chunk_id, x.line_no) for x in r.found(short=False).collect()} == {(i, k) for i, k in lines if len(next(t for j, _, _, t in rows if j == i).split("\n")[k - 1].split()) >= 5}
+
+
+def test_other_lines_may_stand_between_those_of_a_pattern(spark, tmp_path):
+    a, b, c, d = (f"{x} belongs to the notices of this house" for x in ("alpha", "beta", "gamma", "delta"))
+    papers = [[a, c], [a, b, c], [a, "own words here", b, c], [a, b, d, c], [d, a, c], [c, d], [c, a], [b, d], ["nothing of it", d], []]
+    rows = [(i, f"h{i}", 0, "\n".join(p)) for i, p in enumerate(papers)]
+    spark.createDataFrame(rows, "chunk_id bigint, doc_hash string, idx int, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame([(f"h{i}", "North") for i in range(len(papers))], "doc_hash string, publisher string").write.parquet(str(tmp_path / "manifest_item.parquet"))
+    n: dict = {}
+    for p in papers:
+        seq = [x for x in p if x in (a, b, c, d)]
+        for x in {x for k in range(1, len(seq) + 1) for x in itertools.combinations(seq, k)}:
+            n[x] = n.get(x, 0) + 1
+    want = {x: k for x, k in n.items() if k >= 3}
+    assert want[a, c] == 5 and want[a, b, c] == 3
+    got = queries.QUERIES["p3_patterns"](spark, str(tmp_path)).collect()
+    assert sorted((len(r.pattern), r.papers) for r in got) == sorted((len(x), k) for x, k in want.items())
+    assert {tuple(r.pattern) for r in got} >= {tuple(r.pattern) for r in repeated.Repeated(spark.read.parquet(str(tmp_path / "chunks.parquet")), spark.read.parquet(str(tmp_path / "manifest_item.parquet"))).patterns().collect()}
