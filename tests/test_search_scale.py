@@ -60,7 +60,7 @@ def ranked_rows(spark, monkeypatch, name):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["t01_lexical_top", "j39_rank_fusion"])
+@pytest.mark.parametrize("name", ["t01_lexical_top", "j39_rank_fusion", "t04_hybrid"])
 def test_ranking_orders_only_the_best_of_each_batch(spark, monkeypatch, name):
     ranked, scored = ranked_rows(spark, monkeypatch, name)
     assert ranked < scored / 2
