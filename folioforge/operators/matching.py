@@ -1,6 +1,12 @@
 """One-to-one matching, similarity joins and record merging."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,26 +38,77 @@ def cascade(left: DataFrame, right: DataFrame, keys: list[tuple[str, Column, Col
     return out
 
 
+#: Most words whose frequencies order the words of a set; all others are rarer and come first, by their hash.
+FREQUENT = 20_000
+#: Sets of up to so many words meet by several shared words at once; pairs with a larger set by one.
+SMALL_SET = 16
+
+
+def _signatures(sets: DataFrame, frequent: np.ndarray, num: int, den: int) -> DataFrame:
+    """(h, i, n, sketch): what a set meets its partners by.
+
+    A pair at num/den shares at least c = ceil(n * num / den) words of either set, so the first n - c + m words of both hold
+    m common ones. m is as many as a set must have to have a larger partner at all, three at most; smaller sets have only equal ones. The
+    sketch has a bit flipped for each word: two sets differ in at least as many words as their sketches in bits.
+    """
+    most = max(m for m in (1, 2, 3) if (m - 1) * den < m * num)
+    order = np.argsort(frequent, kind="stable")
+    ranked = frequent[order]
+
+    def mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        z = (x ^ y) * np.uint64(0x9E3779B97F4A7C15)
+        return z ^ (z >> np.uint64(29))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, n = b.column(0).to_numpy(), pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+            h, row = b.column(1).flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n)
+            rank = np.zeros(len(h), np.int64)  # 0: rarer than all that are ranked
+            if len(ranked):
+                at = np.minimum(np.searchsorted(ranked, h), len(ranked) - 1)
+                rank = np.where(ranked[at] == h, len(ranked) - order[at], 0)
+            u = h[np.lexsort((h, rank, row))].astype(np.uint64)
+            start = np.cumsum(n) - n
+            sketch = np.bitwise_xor.reduceat(np.uint64(1) << (u >> np.uint64(58)), start).astype(np.int64) if len(n) else np.zeros(0, np.int64)
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            for size in np.unique(n):
+                of = np.flatnonzero(n == size)
+                c = -(-int(size) * num // den)
+                ways = ([min(most, int(size))] if size <= SMALL_SET else []) + ([0] if size >= -(-SMALL_SET * num // den) else [])
+                for m in ways:  # 0: by one word, with or as a large set
+                    for some in combinations(range(size - c + m if 0 < m <= c else size - c + 1), max(m, 1)):
+                        k = np.full(len(of), m + 1, np.uint64)
+                        for j in some:
+                            k = mixed(k, u[start[of] + j])
+                        out.append((k.astype(np.int64), of))
+            if out:
+                at = np.concatenate([o for _, o in out])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _ in out])), pa.array(ids[at]), pa.array(n[at], pa.int32()), pa.array(sketch[at])], ["h", "i", "n", "sketch"])
+
+    return sets.select("i", F.transform("w", lambda w: F.xxhash64(w)).alias("h")).mapInArrow(run, "h bigint, i bigint, n int, sketch bigint")
+
+
 def jaccard_join(left: DataFrame, right: DataFrame, lid: str, rid: str, lw: str, rw: str, num: int = 4, den: int = 5) -> DataFrame:
     """(lid, rid, inter, uni) of all pairs whose word sets have a Jaccard coefficient of at least num/den.
 
-    An exact prefix-filtered join: each set sends only its rarest words, as many as a pair at the
-    threshold must share one of, and sizes are compared before the sets are.
+    An exact prefix-filtered join: sets meet by the rarest words that a pair at the threshold must share,
+    several at once in short sets, and sizes and sketches are compared inside the join, so that little but the pairs
+    themselves leaves it. These are compared word by word.
     """
-    a = left.select(F.col(lid).alias("a"), F.array_distinct(F.col(lw)).alias("wa")).where("size(wa) > 0")
-    b = right.select(F.col(rid).alias("b"), F.array_distinct(F.col(rw)).alias("wb")).where("size(wb) > 0")
-    df = a.select(F.explode("wa").alias("w")).union(b.select(F.explode("wb").alias("w"))).groupBy("w").agg(F.count("*").alias("df"))
-
-    def prefix(x: DataFrame, key: str, ws: str) -> DataFrame:
-        sized = x.select(key, F.size(ws).alias("n"), F.explode(ws).alias("w")).join(df, "w").groupBy(key).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
-        # a pair at num/den shares at least ceil(n * num / den) words, so one of the first n - that + 1
-        return sized.select(key, "n", F.explode(F.slice(F.transform("o", lambda s: s["w"]), F.lit(1), (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int"))).alias("w"))
-
-    pa, pb = prefix(a, "a", "wa").withColumnRenamed("n", "na"), prefix(b, "b", "wb").withColumnRenamed("n", "nb")
-    near = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
-    cand = pa.join(pb, "w").where(near).select("a", "b").distinct()
-    full = cand.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("wa", "wb")).alias("inter"), F.size(F.array_union("wa", "wb")).alias("uni"))
-    return full.where(F.col("inter") * den >= F.col("uni") * num).select(F.col("a").alias(lid), F.col("b").alias(rid), "inter", "uni")
+    def numbered(x: DataFrame, key: str, ws: str) -> DataFrame:
+        return materialize(x.select(F.col(key).alias("id"), F.array_distinct(F.col(ws)).alias("w")).where("size(w) > 0").withColumn("i", F.monotonically_increasing_id()))
+
+    a, b = numbered(left, lid, lw), numbered(right, rid, rw)
+    words = a.select(F.explode("w").alias("w")).unionByName(b.select(F.explode("w").alias("w"))).groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("df"))
+    # at most FREQUENT rows reach the driver, the most frequent first
+    frequent = np.array([r.h for r in words.where("df > 1").orderBy(F.desc("df"), "h").limit(FREQUENT).collect()], np.int64)
+    x, y = _signatures(a, frequent, num, den).alias("x"), _signatures(b, frequent, num, den).alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    near = (n * den >= m * num) & (m * den >= n * num) & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) * (num + den) <= (n + m) * (den - num))
+    cand = x.join(y, (F.col("x.h") == F.col("y.h")) & near).select(F.col("x.i").alias("ia"), F.col("y.i").alias("ib")).distinct()
+    full = cand.join(a.select(F.col("i").alias("ia"), F.col("id").alias(lid), F.col("w").alias("wa")), "ia").join(b.select(F.col("i").alias("ib"), F.col("id").alias(rid), F.col("w").alias("wb")), "ib")
+    full = full.select(lid, rid, F.size(F.array_intersect("wa", "wb")).alias("inter"), F.size(F.array_union("wa", "wb")).alias("uni"))
+    return full.where(F.col("inter") * den >= F.col("uni") * num)
 
 
 def merge_groups(rows: DataFrame, key: str, link_keys: list[Column]) -> DataFrame:
