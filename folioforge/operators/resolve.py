@@ -59,7 +59,9 @@ def paper_records(papers: DataFrame, records: DataFrame, least: float = 0.85, ma
     tp, tr = p.select("pt").distinct(), r.select("rt").distinct()
     near = jaccard_join(tp.withColumn("w", F.split("pt", " ")), tr.withColumn("w", F.split("rt", " ")), "pt", "rt", "w", "w", 3, 5).select("pt", "rt")
     near = near.union(tp.join(tr, F.col("pt") == F.col("rt")).select("pt", "rt")).distinct()
-    j = p.join(near, "pt").join(r, "rt").withColumn("score", T.similarity("pt", "rt")).where(F.col("score") >= least)
+    # over different titles, not over papers and records
+    near = near.withColumn("score", T.similarity("pt", "rt")).where(F.col("score") >= least)
+    j = p.join(near, "pt").join(r, "rt")
     best = j.groupBy("paper").agg(F.max_by(F.struct("doi", "score"), F.struct("score", "doi")).alias("b"))
     rival = j.join(best, "paper").where((F.col("doi") != F.col("b.doi")) & (F.col("b.score") - F.col("score") < margin)).select("paper").distinct()
     return best.join(rival, "paper", "left_anti").select("paper", "b.doi", "b.score")
