@@ -1,11 +1,12 @@
 """Greedy one-to-one matching in full, and resolving entries against landed records."""
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
-from folioforge.session import materialize
+from folioforge.session import materialize, ship
 
 
 def greedy_match(candidates: DataFrame, truth: str, other: str, order: list[Column]) -> DataFrame:
@@ -27,6 +28,27 @@ def greedy_match(candidates: DataFrame, truth: str, other: str, order: list[Colu
     return done if done is not None else left.select(truth, other)
 
 
+def greedy_within(candidates: DataFrame, truth: str, other: str, key: str) -> DataFrame:
+    """(truth, other) of greedy_match with partners in ascending order, where no row has candidates under two keys.
+
+    Each key is gone through row by row in one task, so the work doesn't grow in rounds with the rows of a key;
+    a task holds one key's candidates at a time.
+    """
+    kinds = dict(candidates.dtypes)
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        done: dict = {}
+        used: set = set()
+        for t, o in x.sort_values([truth, other])[[truth, other]].itertuples(index=False):
+            if t not in done and o not in used:
+                done[t] = o
+                used.add(o)
+        return pd.DataFrame({truth: list(done), other: list(done.values())}, columns=[truth, other])
+
+    ship(candidates.sparkSession)
+    return candidates.select(key, truth, other).groupBy(key).applyInPandas(run, f"`{truth}` {kinds[truth]}, `{other}` {kinds[other]}")
+
+
 def verified_entries(entries: DataFrame, records: DataFrame) -> DataFrame:
     """(ref_id, doi, outcome) of entries against registry records of the same normalised title.
 

@@ -215,7 +215,7 @@ def j10_full(spark, d):
     a, b = open_(x, "ref_id").select("ref_id", key.alias("kx"), ids.author_year_key(sx, "year").alias("k")).where("k is not null"), open_(t, "truth_id").select("truth_id", key.alias("kt"), ids.author_year_key(st, "year").alias("k")).where("k is not null")
     c = lambda p: F.coalesce(p, F.lit(""))
     clash = F.col("kx").isNotNull() & F.col("kt").isNotNull() & T.digits_conflict(T.digit_bag(c("kt")), T.digit_bag(c("kx")))
-    ay = R.greedy_match(b.join(a, "k").where(~F.coalesce(clash, F.lit(False))), "truth_id", "ref_id", [F.lit(0)])
+    ay = R.greedy_within(b.join(a, "k").where(~F.coalesce(clash, F.lit(False))), "truth_id", "ref_id", "k")
     done = materialize(done.unionByName(ay.select("ref_id", "truth_id", F.lit("author_year").alias("method"))))
     body = lambda col: F.regexp_replace(T.join_break_hyphens(col), r"^\s*\[[^\]]{1,12}\]\s*", "")
     a, b = open_(x, "ref_id").select("ref_id", T.words(body("raw")).alias("w")), open_(t, "truth_id").select("truth_id", T.words(body("text")).alias("w"))
